@@ -111,80 +111,99 @@ def season_range(season: Column, year: Column) -> Column:
     )
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in `body`: a one-element array stands in for a local variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+DATE_PATTERNS = {
+    "christmas": r"\b(christmas|xmas)( eve)?\s+(\d{4})\b",
+    "new year": r"\bnew year'?s?( eve)?\s+(\d{4})\b",
+    "halloween": r"\bhalloween\s+(\d{4})\b",
+    "month and year": rf"\b({_ANY_MONTH})\s+(\d{{4}})\b",
+    "season": r"\b(last|this|past)?\s*(spring|summer|autumn|fall|winter)(?:\s+(\d{4}))?\b",
+    "today": r"\btoday\b",
+    "yesterday": r"\byesterday\b",
+    "this week": r"\bthis week\b",
+    "last week": r"\blast week\b",
+    "this month": r"\bthis month\b",
+    "last month": r"\blast month\b",
+    "this year": r"\bthis year\b",
+    "last year": r"\blast year\b",
+    "last n": r"\b(?:last|past)\s+(\d+)\s+(day|week|month|year)s?\b",
+    "years ago": r"\b(\d+|a|one|two|three)\s+years?\s+ago\b",
+    "year": r"\b(19[5-9]\d|20\d{2})\b",
+    "month": rf"\b(?:(?:in|during|from)\s+(may)|({_NOT_MAY}))\b",
+}
+
+
 def date_phrase(text: Column, today: Column) -> Column:
-    """The first date rule that matches a lower-case text.
+    """The first date rule (in the order of DATE_PATTERNS) that matches a lower-case text.
 
     Returns struct(pattern, date_from, date_to, month): the matched rule's regex (null when none matches),
     its inclusive range, or a month meant in any year. Holidays without a year match nothing: every year
     has one, so the word stays in the text.
     """
-    year = F.year(today)
+    rule = F.lit(None).cast("struct<name:string,pattern:string>")
+    for name, pattern in reversed(DATE_PATTERNS.items()):
+        hit = F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"))
+        rule = F.when(text.rlike(f"(?U){pattern}"), hit).otherwise(rule)
+
+    def groups(r: Column) -> Column:
+        # three empty groups at the end make every group number valid
+        regex = F.concat(F.lit(f"(?U){fv.PREPOSITION}"), r["pattern"], F.lit("()()()"))
+        found = [F.call_function("regexp_extract", text, regex, F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)]
+        return F.struct(r["name"].alias("name"), r["pattern"].alias("pattern"), *found)
+
+    return F.when(rule.isNotNull(), bind(bind(rule, groups), lambda m: _range(m, today)))
 
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, f"(?U){fv.PREPOSITION}{pattern}", i)
-
-    def number(pattern: str, i: int) -> Column:
-        return group(pattern, i).try_cast("int")
-
-    def rule(pattern: str, start: Column, end: Column, month: Column | None = None) -> tuple[Column, Column]:
-        value = F.struct(
-            F.lit(pattern).alias("pattern"),
-            start.cast("date").alias("date_from"),
-            end.cast("date").alias("date_to"),
-            (month if month is not None else F.lit(None)).cast("int").alias("month"),
-        )
-        return text.rlike(f"(?U){pattern}"), value
-
-    nothing = F.lit(None)
-    monday = F.trunc(today, "week")
-    rules = []
-
-    p = r"\b(christmas|xmas)( eve)?\s+(\d{4})\b"
-    y = number(p, 3)
-    rules.append(rule(p, _day(y, 12, 24), _day(y, 12, F.when(group(p, 2) != "", 24).otherwise(26))))
-    p = r"\bnew year'?s?( eve)?\s+(\d{4})\b"
-    rules.append(rule(p, _day(number(p, 2) - 1, 12, 31), _day(number(p, 2), 1, 1)))
-    p = r"\bhalloween\s+(\d{4})\b"
-    rules.append(rule(p, _day(number(p, 1), 10, 31), _day(number(p, 1), 10, 31)))
-    p = rf"\b({_ANY_MONTH})\s+(\d{{4}})\b"
-    first = _day(number(p, 2), _month_number(group(p, 1)), 1)
-    rules.append(rule(p, first, F.last_day(first)))
-
-    p = r"\b(last|this|past)?\s*(spring|summer|autumn|fall|winter)(?:\s+(\d{4}))?\b"
-    named, rel = number(p, 3), group(p, 1)
-    this_year = season_range(group(p, 2), year)
-    ended = F.when(rel.isin("last", "past"), this_year.date_to < today).otherwise(this_year.date_from <= today)
-    chosen = season_range(group(p, 2), F.coalesce(named, F.when(ended, year).otherwise(year - 1)))
-    clamped = F.when(named.isNotNull(), chosen.date_to).otherwise(F.least(chosen.date_to, today))
-    rules.append(rule(p, chosen.date_from, clamped))
-
-    rules.append(rule(r"\btoday\b", today, today))
-    rules.append(rule(r"\byesterday\b", F.date_sub(today, 1), F.date_sub(today, 1)))
-    rules.append(rule(r"\bthis week\b", monday, today))
-    rules.append(rule(r"\blast week\b", F.date_sub(monday, 7), F.date_sub(monday, 1)))
-    rules.append(rule(r"\bthis month\b", F.trunc(today, "month"), today))
-    previous = F.date_sub(F.trunc(today, "month"), 1)
-    rules.append(rule(r"\blast month\b", F.trunc(previous, "month"), previous))
-    rules.append(rule(r"\bthis year\b", _day(year, 1, 1), today))
-    rules.append(rule(r"\blast year\b", _day(year - 1, 1, 1), _day(year - 1, 12, 31)))
-
-    p = r"\b(?:last|past)\s+(\d+)\s+(day|week|month|year)s?\b"
-    unit = F.when(group(p, 2) == "day", 1).when(group(p, 2) == "week", 7).when(group(p, 2) == "month", 30)
-    rules.append(rule(p, F.date_sub(today, number(p, 1) * unit.otherwise(365)), today))
-    p = r"\b(\d+|a|one|two|three)\s+years?\s+ago\b"
-    word = group(p, 1)
-    back = F.when(word.isin("a", "one"), 1).when(word == "two", 2).when(word == "three", 3).otherwise(number(p, 1))
-    rules.append(rule(p, _day(year - back, 1, 1), _day(year - back, 12, 31)))
-    p = r"\b(19[5-9]\d|20\d{2})\b"
-    rules.append(rule(p, _day(number(p, 1), 1, 1), _day(number(p, 1), 12, 31)))
-    p = rf"\b(?:(?:in|during|from)\s+(may)|({_NOT_MAY}))\b"
-    spoken = F.coalesce(F.nullif(group(p, 1), F.lit("")), group(p, 2))
-    rules.append(rule(p, nothing, nothing, _month_number(spoken)))
-
-    out = F.lit(None)
-    for matched, value in reversed(rules):
-        out = F.when(matched, value).otherwise(out)
-    return out
+
+def _range(m: Column, today: Column) -> Column:
+    """Dates of a matched rule m(name, pattern, g1, g2, g3)."""
+    year = F.year(today)
+    monday, this_month = F.trunc(today, "week"), F.trunc(today, "month")
+    last_month_end = F.date_sub(this_month, 1)
+    n1, n2, n3 = (m[g].try_cast("int") for g in ("g1", "g2", "g3"))
+
+    # a season is over, or has begun, or belongs to the year before
+    now = season_range(m["g2"], year)
+    current = F.when(m["g1"].isin("last", "past"), now.date_to < today).otherwise(now.date_from <= today)
+    season = season_range(m["g2"], F.coalesce(n3, F.when(current, year).otherwise(year - 1)))
+    season_end = F.when(n3.isNotNull(), season.date_to).otherwise(F.least(season.date_to, today))
+
+    month_year = _day(n2, _month_number(m["g1"]), 1)
+    unit = F.when(m["g2"] == "day", 1).when(m["g2"] == "week", 7).when(m["g2"] == "month", 30).otherwise(365)
+    back = F.when(m["g1"].isin("a", "one"), 1).when(m["g1"] == "two", 2).when(m["g1"] == "three", 3).otherwise(n1)
+
+    ranges = {
+        "christmas": (_day(n3, 12, 24), _day(n3, 12, F.when(m["g2"] != "", 24).otherwise(26))),
+        "new year": (_day(n2 - 1, 12, 31), _day(n2, 1, 1)),
+        "halloween": (_day(n1, 10, 31), _day(n1, 10, 31)),
+        "month and year": (month_year, F.last_day(month_year)),
+        "season": (season.date_from, season_end),
+        "today": (today, today),
+        "yesterday": (F.date_sub(today, 1), F.date_sub(today, 1)),
+        "this week": (monday, today),
+        "last week": (F.date_sub(monday, 7), F.date_sub(monday, 1)),
+        "this month": (this_month, today),
+        "last month": (F.trunc(last_month_end, "month"), last_month_end),
+        "this year": (_day(year, 1, 1), today),
+        "last year": (_day(year - 1, 1, 1), _day(year - 1, 12, 31)),
+        "last n": (F.date_sub(today, n1 * unit), today),
+        "years ago": (_day(year - back, 1, 1), _day(year - back, 12, 31)),
+        "year": (_day(n1, 1, 1), _day(n1, 12, 31)),
+    }
+    none = F.lit(None).cast("date")
+    span = F.struct(none.alias("date_from"), none.alias("date_to"))
+    for name, (start, end) in ranges.items():
+        span = F.when(m["name"] == name, F.struct(start.alias("date_from"), end.alias("date_to"))).otherwise(span)
+    month = F.when(m["name"] == "month", _month_number(F.coalesce(F.nullif(m["g1"], F.lit("")), m["g2"])))
+    return bind(
+        span,
+        lambda d: F.struct(
+            m["pattern"].alias("pattern"), d["date_from"].alias("date_from"), d["date_to"].alias("date_to"), month.alias("month")
+        ),
+    )
 
 
 def remove_first(text: Column, pattern: Column, preposition: bool = True) -> Column:

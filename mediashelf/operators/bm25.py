@@ -42,8 +42,11 @@ def postings(tokenized: DataFrame, keys: list[str], n_fields: int, vocabulary: D
     nearly all of them.
     """
     lengths = [F.size(f"_t{i}").alias(f"len{i}") for i in range(n_fields)]
-    tagged = [F.transform(f"_t{i}", lambda t, i=i: F.struct(F.lit(i).alias("f"), t.alias("term"))) for i in range(n_fields)]
-    rows = tokenized.select(*keys, *lengths, F.inline(F.concat(*tagged)))
+
+    def tagged(i: int) -> Column:
+        return F.transform(f"_t{i}", lambda t: F.struct(F.lit(i).alias("f"), t.alias("term")))
+
+    rows = tokenized.select(*keys, *lengths, F.inline(F.concat(*[tagged(i) for i in range(n_fields)])))
     if vocabulary is not None:
         rows = rows.join(vocabulary, [*by, "term"], "left_semi")
     tf = [F.count(F.when(F.col("f") == i, 1)).alias(f"tf{i}") for i in range(n_fields)]

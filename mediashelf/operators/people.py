@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .library import top_k, under
 
 PERSON = ["user_id", "person_id"]
@@ -153,7 +154,8 @@ def merge_people(
     alias = valid.select(
         "user_id", F.explode(merge_sources(F.col("sources"), F.col("target"))).alias("src"), F.col("target").alias("dst"), "ts"
     )
-    moved = compress_aliases(alias).select("user_id", F.col("src").alias("person_id"), F.col("dst").alias("_dst"))
+    # the merges of a batch are read five times below
+    moved = cut_lineage(compress_aliases(alias).select("user_id", F.col("src").alias("person_id"), F.col("dst").alias("_dst")))
     new_faces = faces.join(moved, PERSON, "left").select(
         *[F.coalesce("_dst", "person_id").alias("person_id") if c == "person_id" else F.col(c) for c in faces.columns]
     )
@@ -178,7 +180,7 @@ def store_faces(
     Faces of merged people go to the survivor; unknown person ids become new, unnamed people.
     """
     key = ["user_id", "file_id"]
-    fresh = resolve_alias(found, alias)
+    fresh = cut_lineage(resolve_alias(found, alias))
     before = faces.join(scanned, key, "left_semi")
     new_faces = faces.join(scanned, key, "left_anti").unionByName(fresh.select(*faces.columns))
     newcomers = (

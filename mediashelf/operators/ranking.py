@@ -15,7 +15,10 @@ from ..functions import fixed_values as fv
 from ..functions.text import term_coverage
 from .library import top_k
 
-QUERY = W.partitionBy("query_id")  # a query's candidates are over-fetched top-n lists: bounded
+
+def _best(c: str) -> Column:
+    """Maximum over a query's candidates, which are over-fetched top-n lists and so bounded."""
+    return F.max(c).over(W.partitionBy("query_id"))
 
 
 def image_candidates(k: int) -> int:
@@ -41,7 +44,7 @@ def external_label(score: Column) -> Column:
 
 
 def relative_to_best(c: str) -> Column:
-    best = F.max(c).over(QUERY)
+    best = _best(c)
     return F.when(best > 0, F.col(c) / best).otherwise(F.lit(0.0))
 
 
@@ -65,7 +68,7 @@ def fuse_images(
     )
     c = both.na.fill({"prob": 0.0, "margin": -1.0, "bm25": 0.0})
     c = c.withColumn("kw", relative_to_best("bm25")).withColumn("p_rel", relative_to_best("prob"))
-    best = F.max("prob").over(QUERY)
+    best = _best("prob")
     c = c.withColumn("_visual", (F.col("margin") >= min_margin) & (F.col("prob") >= best * relative_floor))
     c = c.filter(F.col("_visual") | (F.col("kw") >= strong_keyword))
     score = alpha * F.col("p_rel") + (1 - alpha) * F.col("kw")
@@ -108,7 +111,7 @@ def fuse_docs(
     c = union.groupBy("query_id", "file_hash", "page", "text").agg(
         F.min("chunk").alias("chunk"), F.max("cos").alias("cos"), F.max("bm25").alias("bm25")
     )
-    best = F.max("cos").over(QUERY)
+    best = _best("cos")
     c = c.withColumn("kw", relative_to_best("bm25")).withColumn("_best", best)
     c = c.withColumn("_text_ok", (F.col("cos") >= min_cos) & (F.col("cos") >= F.col("_best") - window))
     c = c.filter(F.col("_text_ok") | (F.col("kw") >= strong_keyword))

@@ -48,12 +48,11 @@ def block_top_n(
     """
     sims = np.round(_matrix(q["embedding"]) @ _matrix(x["embedding"]).T, DECIMALS)
     if "filtered" in q and "allowed" in x:
-        rows = {v: i for i, v in enumerate(q[qid])}
         ok = np.repeat(~q["filtered"].to_numpy(dtype=bool)[:, None], len(x), axis=1)
-        for j, allowed in enumerate(x["allowed"]):
-            for v in allowed if allowed is not None else ():
-                if v in rows:
-                    ok[rows[v], j] = True
+        lists = [() if v is None else v for v in x["allowed"]]
+        rows = pd.Index(q[qid]).get_indexer(np.concatenate(lists)) if any(map(len, lists)) else np.array([], dtype=int)
+        cols = np.repeat(np.arange(len(x)), [len(v) for v in lists])
+        ok[rows[rows >= 0], cols[rows >= 0]] = True
         sims = np.where(ok, sims, -np.inf)
     if "seq" in q:
         seq = q["seq"].to_numpy()[:, None]
@@ -111,7 +110,7 @@ def search_blocks(
         return block_top_n(left, right, n, qid, xid, extra)
 
     q_cols = [c for c in (qid, "embedding", "filtered", "seq") if c in q.columns]
-    x_cols = [c for c in (xid, "embedding", "allowed", "seen_from", "seen_to", *extra) if c in x.columns]
+    x_cols = [c for c in dict.fromkeys([xid, "embedding", "allowed", "seen_from", "seen_to", *extra]) if c in x.columns]
     return (
         q.select(*key, *q_cols)
         .groupBy(*key)
@@ -120,8 +119,13 @@ def search_blocks(
     )
 
 
-def scan_blocks(batch: list, index: DataFrame, n: int, space: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per-partition top n for a small, already collected query batch: the index is scanned where it lies."""
+def scan_blocks(
+    batch: list, index: DataFrame, n: int, space: list[str], allow: DataFrame | None = None, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per-partition top n for a small, already collected query batch: the index is scanned where it lies.
+
+    An allow-list joins the index as one short array of admitting queries per file.
+    """
     asked = pd.DataFrame([r.asDict() for r in batch])
     types = {f.name: f.dataType.simpleString() for f in index.schema}
     qid_type = "bigint" if asked["query_id"].map(lambda v: isinstance(v, int)).all() else "string"
@@ -147,7 +151,12 @@ def scan_blocks(batch: list, index: DataFrame, n: int, space: list[str], extra:
 
     users = sorted({r[space[0]] for r in batch})
     wanted = index.filter(F.col(space[0]).isin(users)) if len(users) <= 100 else index
-    return wanted.select(*space, "file_hash", "embedding", *extra).mapInPandas(scan, schema)
+    columns = dict.fromkeys([*space, "file_hash", "embedding", *extra])
+    if allow is not None:
+        admitted = allow.groupBy("file_hash").agg(F.collect_set("query_id").alias("allowed"))
+        wanted = wanted.join(admitted, "file_hash", "left")
+        columns["allowed"] = None
+    return wanted.select(*columns).mapInPandas(scan, schema)
 
 
 def vector_search(
@@ -167,10 +176,11 @@ def vector_search(
     """
     space = space or SPACE
     batch = None
-    if allow is None and small_batch:
-        batch = collect_small(queries.select("query_id", *space, "embedding"), small_batch)
+    if small_batch:
+        asked = [c for c in ("query_id", *space, "embedding", "filtered") if c in queries.columns]
+        batch = collect_small(queries.select(*asked), small_batch)
     if batch:
-        partial = scan_blocks(batch, index, n, space, extra)
+        partial = scan_blocks(batch, index, n, space, allow, extra)
     else:
         partial = search_blocks(queries, index, n, space, allow=allow, extra=extra)
     return top_k(partial, ["query_id"], [F.desc("cos"), F.asc("file_hash")], n, rank="rank")

@@ -29,7 +29,10 @@ def query(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
             body = sql.strip()
             if views:
                 head = with_views(*views)
-                body = head.rstrip() + ",\n" + body[5:] if body.lower().startswith("with ") else head + body
+                if body.startswith("with recursive "):
+                    body = "with recursive " + head[5:].rstrip() + ",\n" + body[15:]
+                else:
+                    body = head.rstrip() + ",\n" + body[5:] if body.startswith("with ") else head + body
             ORACLES[key] = body
         return fn
 
