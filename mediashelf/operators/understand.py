@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..functions.dates import date_phrase, remove_first, strip_dates
+from ..session import cut_lineage
 
 _NO_NAMES = "array<string>"
 
@@ -200,6 +201,7 @@ def merge_extracted(rules: DataFrame, extracted: DataFrame, people: DataFrame, p
     names that are known (case ignored) and resemble words of the query are believed, only valid kinds; dates come from
     rules alone. Queries without an extraction keep the rules' answer.
     """
+    rules = cut_lineage(rules)  # read by every branch below
     base = rules.select("query_id", "user_id", "text")
 
     def believed(column: str, names: DataFrame) -> DataFrame:

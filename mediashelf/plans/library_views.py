@@ -84,7 +84,7 @@ VIEWS = {
           r_name as region, n_name as country
         from {customer} c join {nation} n on c_nationkey = n_nationkey join {region} r on n_regionkey = r_regionkey""",
     "stage_events": """
-        select event_id, concat(cast(user_id as string), '_', cast(event_id % 50 as string)) as flow_id, user_id,
+        select event_id, concat(cast(user_id as string), '_', cast(event_id % 10 as string)) as flow_id, user_id,
           cast(ts as timestamp) as ts,
           case event_type when 'view' then 'upload' when 'click' then 'embed' when 'purchase' then 'faces'
             when 'signup' then 'docindex' else 'finalize' end as stage,
@@ -95,7 +95,7 @@ VIEWS = {
     # enqueue / release pairs of the pending counter
     "queue_events": """
         select event_id, user_id, cast(ts as timestamp) as ts,
-          concat(cast(user_id as string), '_', cast(event_id % 50 as string)) as flow_id,
+          concat(cast(user_id as string), '_', cast(event_id % 10 as string)) as flow_id,
           case when event_type in ('view', 'click', 'signup') then 1 else -1 end as delta
         from {events}""",
     "quota": """
@@ -175,3 +175,13 @@ def with_views(*names: str) -> str:
         visit(n)
     body = ",\n".join(f"{n} as ({re.sub(r'{(' + chr(92) + 'w+)}', chr(92) + '1', _dialect(VIEWS[n], False))})" for n in order)
     return f"with {body}\n"
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A library table over a single driver table, with that table replayed as a file stream."""
+    from ..streaming.streams import replay
+
+    if name in BASE:
+        return replay(spark, sf_dir, name)
+    parts = {i: stream_view(spark, sf_dir, i) for i in _inputs(name)}
+    return spark.sql(_dialect(VIEWS[name], spark=True), **parts)

@@ -202,9 +202,10 @@ def assign_faces_stream(
         known = known_faces().select(*columns).withColumn("person_id", F.col("person_id").cast("string"))
         if batch_id > 0:
             earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            seen = latest(earlier, ["user_id", "face_id"], [F.desc("batch_id")]).select(*columns)
-            rescanned = earlier.select("user_id", "file_id").distinct()
-            known = known.join(rescanned, ["user_id", "file_id"], "left_anti").unionByName(seen)
+            # a rescanned file counts with its last scan only
+            last = earlier.groupBy("user_id", "file_id").agg(F.max("batch_id").alias("batch_id"))
+            seen = earlier.join(last, ["user_id", "file_id", "batch_id"]).select(*columns)
+            known = known.join(last, ["user_id", "file_id"], "left_anti").unionByName(seen)
         append_changes(assign_faces(batch, known, threshold).select(*columns, "score"), batch_id, path)
 
     return _start(new_faces, checkpoint, each)
