@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed_values as fv
-from ..session import cut_lineage
+from ..session import cut_and_count, cut_lineage
 from .library import top_k
 from .vector_search import search_blocks
 
@@ -98,14 +98,15 @@ def follow(choice: DataFrame) -> DataFrame:
     `choice`: face_id, nbr (the next new face, null at an end), person (set at an end). Pointer jumping: log2 of the
     longest chain rounds.
     """
-    state = choice
-    while True:
-        ahead = state.select(F.col("face_id").alias("nbr"), F.col("nbr").alias("_nbr"), F.col("person").alias("_person"))
-        state = cut_lineage(
-            state.join(ahead, "nbr", "left").select("face_id", F.col("_nbr").alias("nbr"), F.coalesce("person", "_person").alias("person"))
-        )
-        if state.filter("person is null").isEmpty():
-            return state.select("face_id", "person")
+    state, left = choice, 1
+    while left:
+        for _ in range(2):  # two jumps per written table: four times the reach
+            ahead = state.select(F.col("face_id").alias("nbr"), F.col("nbr").alias("_nbr"), F.col("person").alias("_person"))
+            state = state.join(ahead, "nbr", "left").select(
+                "face_id", F.col("_nbr").alias("nbr"), F.coalesce("person", "_person").alias("person")
+            )
+        state, left = cut_and_count(state, F.col("person").isNull())
+    return state.select("face_id", "person")
 
 
 def assign_faces(
@@ -162,14 +163,10 @@ def assign_faces(
             # an end keeps its person; a face that follows another new face takes whatever that one becomes
             F.when(F.col("nbr").isNull() | F.col("_end"), F.col("person")).alias("person"),
         )
-        chosen = cut_lineage(chosen)
-        changed = chosen.join(choice, [
-            chosen.face_id == choice.face_id,
-            chosen.nbr.eqNullSafe(choice.nbr),
-            chosen.person.eqNullSafe(choice.person),
-        ], "left_anti")
-        done = changed.isEmpty()
-        choice = chosen
-        if done:
+        before = choice.select("face_id", F.col("nbr").alias("_nbr"), F.col("person").alias("_person"))
+        same = F.col("nbr").eqNullSafe(F.col("_nbr")) & F.col("person").eqNullSafe(F.col("_person"))
+        choice, changed = cut_and_count(chosen.join(before, "face_id").withColumn("_same", same), ~F.col("_same"))
+        choice = choice.select("face_id", "nbr", "person")
+        if not changed:
             out = new.drop("person_id").join(people.withColumnRenamed("person", "person_id"), "face_id")
             return out.drop("_det", "seq", "face_id").withColumnRenamed("_raw", "face_id")

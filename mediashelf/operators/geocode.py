@@ -1,21 +1,29 @@
 """Reverse geocoding: the nearest city of a gazetteer for every point, with the metro rule.
 
 The gazetteer (tens of thousands of rows, size checked) is arranged as small candidate arrays per grid cell: 2-degree
-cells, then 20-degree cells, then one array of everything. A point looks up the 3x3 neighbourhood of its cell by a
-broadcast equi-join and takes the nearest candidate when no city outside the neighbourhood can be nearer;
-otherwise it goes on to the next level. The points are never shuffled, so hot places cost nothing extra.
+cells, 6-degree cells, polar caps, 20-degree cells, then one array of everything. A point looks up the 3x3
+neighbourhood of its cell by a broadcast equi-join and takes the nearest candidate when no city outside the
+neighbourhood can be nearer; otherwise it goes on to the next level. The points are never shuffled, so hot places
+cost nothing extra. Candidates are compared by the squared chord between unit vectors, which orders like the
+great-circle distance at a fraction of its cost; distances in kilometres are computed for the chosen one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.dates import bind
 from ..functions.geo import haversine_km, valid_point
 
-LEVELS = (2, 20)  # cell sizes in degrees; both divide 360 and 180
+CAP = 72  # polar caps begin at this latitude...
+CAP_POINTS = 76  # ...and serve points from this one
+LEVELS = (2, 6, "cap", 20)  # cell sizes in degrees; each divides 360 and 180
 MAX_CITIES = 200_000
+PLACE_TYPE = "struct<area:string,city:string,region:string,country:string>"
 
 
 def _cell(lat: Column, lon: Column, size: int) -> tuple[Column, Column]:
@@ -24,25 +32,54 @@ def _cell(lat: Column, lon: Column, size: int) -> tuple[Column, Column]:
     return row, col
 
 
-def _neighbourhoods(cities: DataFrame, size: int) -> DataFrame:
-    """(cell, near): the cities of a cell and of the eight around it."""
-    row, col = _cell(F.col("lat"), F.col("lon"), size)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = cities.withColumns({"_row": row, "_col": col}).select("*", F.inline(around))
-    cell = (F.col("_row") + F.col("i")) * 1000 + F.pmod(F.col("_col") + F.col("j"), F.lit(360 // size))
-    return spread.groupBy(cell.alias("_cell")).agg(F.collect_list(F.struct(*cities.columns)).alias("_near"))
+def _neighbourhoods(cities: DataFrame, level: int | str | None) -> DataFrame:
+    """(cell, near): candidate cities of each cell of a level: those of the cell and of the eight around it."""
+    if level is None:
+        placed = cities.withColumn("_cell", F.lit(0))
+    elif level == "cap":
+        placed = cities.filter(F.abs("lat") >= CAP).withColumn("_cell", F.signum("lat").cast("int"))
+    else:
+        row, col = _cell(F.col("lat"), F.col("lon"), level)
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        spread = cities.withColumns({"_row": row, "_col": col}).select("*", F.inline(around))
+        cell = (F.col("_row") + F.col("i")) * 1000 + F.pmod(F.col("_col") + F.col("j"), F.lit(360 // level))
+        placed = spread.withColumn("_cell", cell)
+    return placed.groupBy("_cell").agg(F.collect_list(F.struct(*cities.columns)).alias("_near"))
+
+
+def _point_cell(level: int | str | None) -> Column:
+    if level is None:
+        return F.lit(0)
+    if level == "cap":
+        return F.when(F.abs("lat") >= CAP_POINTS, F.signum("lat").cast("int"))
+    row, col = _cell(F.col("lat"), F.col("lon"), level)
+    return row * 1000 + col
+
+
+def _reach_km(level: int | str | None) -> Column:
+    """No city outside the candidates of a point is nearer than this."""
+    if level is None:
+        return F.lit(float("inf"))
+    if level == "cap":
+        return F.radians(F.abs("lat") - CAP) * fv.EARTH_KM
+    # one cell of latitude, or the distance to the meridian one cell away
+    size = math.radians(level)
+    return F.least(F.lit(size), F.asin(F.cos(F.radians("lat")) * math.sin(size))) * fv.EARTH_KM
+
+
+def _unit_vector(lat: Column, lon: Column) -> dict[str, Column]:
+    la, lo = F.radians(lat), F.radians(lon)
+    return {"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)}
 
 
-def _nearest(near: Column) -> Column:
-    """Candidates with their distance to (lat, lon); the distance leads, so array_min is the nearest."""
-    return F.transform(
-        near,
-        lambda c: F.struct(
-            haversine_km(F.col("lat"), F.col("lon"), c["lat"], c["lon"]).alias("km"),
-            c["city_id"].alias("city_id"), c["name"].alias("name"), c["population"].alias("population"),
-            c["region"].alias("region"), c["country"].alias("country"),
-        ),
-    )
+def _candidates(near: Column) -> Column:
+    """struct(chord2, city_id, city) per candidate: array_min is the nearest, the lowest id among equals."""
+
+    def chord2(c: Column) -> Column:
+        dx, dy, dz = (F.col(v) - c[v] for v in ("_x", "_y", "_z"))
+        return dx * dx + dy * dy + dz * dz
+
+    return F.transform(near, lambda c: F.struct(chord2(c).alias("chord2"), c["city_id"].alias("city_id"), c.alias("city")))
 
 
 def reverse_geocode(points: DataFrame, cities: DataFrame, max_cities: int = MAX_CITIES) -> DataFrame:
@@ -57,64 +94,55 @@ def reverse_geocode(points: DataFrame, cities: DataFrame, max_cities: int = MAX_
     )
     if cities.limit(max_cities + 1).count() > max_cities:
         raise ValueError(f"gazetteer has more than {max_cities} cities: too large to broadcast")
-    keep = points.columns
-    df = points.withColumn("_todo", valid_point(F.col("lat"), F.col("lon")))
-    df = df.withColumn("_best", F.lit(None).cast(PLACE_TYPE))
-    for size in (*LEVELS, None):
-        if size is None:
-            table = cities.groupBy().agg(F.collect_list(F.struct(*cities.columns)).alias("_near"))
-            table = table.withColumn("_cell", F.lit(0))
-            cell = F.lit(0)
-        else:
-            table = _neighbourhoods(cities, size)
-            row, col = _cell(F.col("lat"), F.col("lon"), size)
-            cell = row * 1000 + col
-        looked = df.withColumn("_cell", F.when(F.col("_todo"), cell)).join(F.broadcast(table), "_cell", "left")
-        looked = looked.withColumn("_km", _nearest(F.col("_near"))).drop("_near", "_cell")
-        looked = looked.withColumn("_first", F.array_min("_km")).withColumn("_pick", _choose(F.col("_first"), F.col("_km")))
-        if size is None:
-            ok = F.col("_todo")
-        else:
-            # no city outside the 3x3 neighbourhood is nearer than one cell of latitude or of longitude
-            reach = F.least(
-                F.lit(float(size)) * F.lit(3.141592653589793 / 180.0),
-                F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(float(size))))),
-            )
-            km = reach * fv.EARTH_KM
-            ok = F.col("_todo") & F.coalesce((F.col("_first.km") <= km) & (km >= fv.METRO_KM), F.lit(False))
-        looked = looked.withColumn("_best", F.coalesce("_best", F.when(ok, F.col("_pick"))))
-        df = looked.withColumn("_todo", F.col("_todo") & ~ok).drop("_km", "_first", "_pick")
+    cities = cities.withColumns(_unit_vector(F.col("lat"), F.col("lon")))
+    df = points.withColumns(_unit_vector(F.col("lat"), F.col("lon")))
+    df = df.withColumn("_todo", valid_point(F.col("lat"), F.col("lon"))).withColumn("_best", F.lit(None).cast(PLACE_TYPE))
+    for level in (*LEVELS, None):
+        table = F.broadcast(_neighbourhoods(cities, level))
+        looked = df.withColumn("_cell", F.when(F.col("_todo"), _point_cell(level))).join(table, "_cell", "left")
+        looked = looked.withColumn("_found", _candidates(F.col("_near"))).drop("_near", "_cell")
+        looked = looked.withColumn("_first", F.array_min("_found"))
+        km = 2 * fv.EARTH_KM * F.asin(F.sqrt(F.col("_first.chord2")) / 2)
+        ok = F.lit(True) if level is None else (km <= _reach_km(level)) & (_reach_km(level) >= fv.METRO_KM)
+        looked = looked.withColumn("_ok", F.col("_todo") & F.coalesce(ok, F.lit(False)))
+        place = F.when(F.col("_ok"), _choose(F.col("_first.city"), F.col("_found")))
+        df = (
+            looked.withColumn("_best", F.coalesce("_best", place))
+            .withColumn("_todo", F.col("_todo") & ~F.col("_ok"))
+            .drop("_found", "_first", "_ok")
+        )
     parts = F.array_compact(F.array("_best.area", "_best.city", "_best.region", "_best.country"))
     name = F.nullif(F.array_join(F.array_distinct(parts), ", "), F.lit(""))
     return df.select(
-        *[c for c in keep if not c.startswith("place_")],
+        *[c for c in points.columns if not c.startswith("place_")],
         name.alias("place_name"),
         *[F.col(f"_best.{p}").alias(f"place_{p}") for p in ("area", "city", "region", "country")],
     )
 
 
-PLACE_TYPE = "struct<area:string,city:string,region:string,country:string>"
-
-
 def _choose(first: Column, candidates: Column) -> Column:
     """Place names of the nearest city `first`, given every candidate within metro distance."""
-    near = F.filter(candidates, lambda c: c["km"] <= fv.METRO_KM)
+    metro_chord2 = (2 * math.sin(fv.METRO_KM / fv.EARTH_KM / 2)) ** 2
     by_size = F.transform(
-        near, lambda c: F.struct(c["population"].alias("p"), (-c["city_id"]).alias("tie"), c["name"].alias("name"))
-    )
-    big = F.array_max(by_size)
-    is_city = first["km"] <= fv.CITY_KM
-    metro = (
-        is_city
-        & (-big["tie"] != first["city_id"])
-        & (big["p"] >= fv.METRO_POPULATION)
-        & (big["p"] >= fv.METRO_RATIO * F.greatest(first["population"], F.lit(1)))
+        F.filter(candidates, lambda c: c["chord2"] <= metro_chord2),
+        lambda c: F.struct(c["city"]["population"].alias("p"), (-c["city_id"]).alias("tie"), c["city"]["name"].alias("name")),
     )
-    metro = F.coalesce(metro, F.lit(False))
-    place = F.struct(
-        F.when(metro, first["name"]).alias("area"),
-        F.when(metro, big["name"]).when(is_city, first["name"]).alias("city"),
-        F.when(first["km"] <= fv.REGION_KM, first["region"]).alias("region"),
-        first["country"].alias("country"),
-    )
-    return F.when(first.isNotNull(), place)
+
+    def names(near: Column) -> Column:
+        km, big = near["km"], near["big"]
+        is_city = km <= fv.CITY_KM
+        metro = (
+            (-big["tie"] != first["city_id"])
+            & (big["p"] >= fv.METRO_POPULATION)
+            & (big["p"] >= fv.METRO_RATIO * F.greatest(first["population"], F.lit(1)))
+        )
+        metro = F.coalesce(is_city & metro, F.lit(False))
+        return F.struct(
+            F.when(metro, first["name"]).alias("area"),
+            F.when(metro, big["name"]).when(is_city, first["name"]).alias("city"),
+            F.when(km <= fv.REGION_KM, first["region"]).alias("region"),
+            first["country"].alias("country"),
+        )
+
+    km = haversine_km(F.col("lat"), F.col("lon"), first["lat"], first["lon"])
+    return F.when(first.isNotNull(), bind(F.struct(km.alias("km"), F.array_max(by_size).alias("big")), names))

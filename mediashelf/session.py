@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators were planned with. They are defaults for a new session; a cluster's own win.
 DEFAULTS = {
@@ -52,6 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """`cut_lineage`, and how many rows met the condition - counted while writing, without a second job."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return written, seen.get["n"]
+
+
 def collect_small(df: DataFrame, limit: int = SMALL_BATCH) -> list | None:
     """The rows if there are at most `limit` of them, else None. Never pulls more than limit + 1 rows."""
     rows = df.limit(limit + 1).collect()

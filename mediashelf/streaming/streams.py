@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -88,47 +87,43 @@ class FlowProcessor(StatefulProcessor):
         self.handle = handle
         self.flow = handle.getValueState("flow", "uploaded boolean, worked boolean, ended string, stored boolean, heard_ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         user_id, flow_id = key
         uploaded, worked, ended, stored, heard = self.flow.get() or (False, False, None, False, 0)
-        out = []
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for e in events.itertuples():
-            at = e.ts.value // 1000
+        first, out = heard == 0, []
+        for at, _, stage, state in sorted((r.at_us, r.event_id, r.stage, r.state) for r in rows):
             before = ended
-            if e.state == "completed":
-                uploaded = uploaded or e.stage == "upload"
-                worked = worked or e.stage in ("embed", "docindex")
+            heard = max(heard, at // 1000)
+            if state == "completed":
+                uploaded = uploaded or stage == "upload"
+                worked = worked or stage in ("embed", "docindex")
             if ended is None:
-                if e.stage == "cancel":
+                if stage == "cancel":
                     ended = "cancelled"
-                elif e.state == "failed" and e.stage != "faces":
+                elif state == "failed" and stage != "faces":
                     ended = "failed"
                 elif uploaded and worked:
                     ended = "ready"
                 if ended:
-                    out.append((user_id, flow_id, ended, at))
-            elif before == "failed" and e.stage == "upload" and e.state == "completed" and not stored:
+                    out.append(Row(user_id=user_id, flow_id=flow_id, outcome=ended, at_us=at))
+            elif before == "failed" and stage == "upload" and state == "completed" and not stored:
                 stored = True
-                out.append((user_id, flow_id, "stored", at))
+                out.append(Row(user_id=user_id, flow_id=flow_id, outcome="stored", at_us=at))
             if uploaded and before is None and ended == "failed":
                 stored = True  # the cloud copy was there already
-        first = heard == 0
-        heard = max(heard, int(events["ts"].max().value // 1_000_000))
         self.flow.update((uploaded, worked, ended, stored, heard))
         if first:
             self.handle.registerTimer(heard + self.stuck_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "flow_id", "outcome", "at_us"])
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         user_id, flow_id = key
         uploaded, worked, ended, stored, heard = self.flow.get()
         now = expiredTimerInfo.getExpiryTimeInMs()
         if ended is None and uploaded:
             ended = "settled"
             self.flow.update((uploaded, worked, ended, stored, heard))
-            yield pd.DataFrame([(user_id, flow_id, ended, now * 1000)], columns=["user_id", "flow_id", "outcome", "at_us"])
+            yield Row(user_id=user_id, flow_id=flow_id, outcome=ended, at_us=now * 1000)
         if now >= heard + self.keep_ms:
             self.flow.clear()
         else:
@@ -142,8 +137,9 @@ def finalize_stream(stage_events: DataFrame, delay: str = "10 minutes", stuck: i
     """Flow outcomes of a stream of stage events (and control events of stage 'cancel'): user_id, flow_id, outcome, at_us."""
     spark = stage_events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = stage_events.select("user_id", "flow_id", "event_id", "stage", "state", "ts").withWatermark("ts", delay)
-    return rows.groupBy("user_id", "flow_id").transformWithStateInPandas(
+    at = F.unix_micros("ts").alias("at_us")
+    rows = stage_events.withWatermark("ts", delay).select("user_id", "flow_id", "event_id", "stage", "state", "ts", at)
+    return rows.groupBy("user_id", "flow_id").transformWithState(
         FlowProcessor(stuck, keep), outputStructType=OUTCOMES, outputMode="append", timeMode="EventTime"
     )
 

@@ -113,7 +113,7 @@ def test_similar_words_equal_all_pairs(spark):
 def test_nearest_city_equals_all_pairs(spark):
     rnd = random.Random(11)
     cities = [(i, f"c{i}", rnd.uniform(-89, 89), rnd.uniform(-180, 180), rnd.randint(0, 3_000_000), f"r{i % 7}", f"k{i % 5}") for i in range(120)]
-    cities += [(200 + i, f"d{i}", 19 + rnd.uniform(-0.2, 0.2), 179.95 + rnd.uniform(-0.2, 0.05), rnd.randint(0, 3_000_000), "pacific", "k") for i in range(15)]
+    cities += [(200 + i, f"d{i}", 19 + rnd.uniform(-0.2, 0.2), 179.95 + rnd.uniform(-0.2, 0.05), 10 ** rnd.randint(3, 7), "pacific", "k") for i in range(15)]
     pts = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(150)]
     pts += [(200 + i, 19 + rnd.uniform(-0.4, 0.4), rnd.choice([-179.98, 179.9, 180.0, -180.0])) for i in range(40)] + [(300, 90.0, 0.0), (301, -90.0, 12.0)]
 
