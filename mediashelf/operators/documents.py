@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
@@ -17,19 +18,22 @@ def chunk_pages(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.
     """(user_id, file_hash, page, chunk, text): overlapping word windows that never cross a page.
 
     `pages`: user_id, file_hash, page_no (1-based order), page (shown number, null for plain text), text. Windows are cut
-    per page row; only window counts meet per document, to number them through.
+    per page row and numbered through the document by prefix sums in two levels (256 pages, then blocks of them),
+    so a document of any length is spread over tasks.
     """
     cut = pages.withColumn("_words", tx.split_words(F.col("text"))).withColumn(
         "_chunks", tx.chunk_words(F.col("_words"), size, overlap)
     )
-    # pages before this one, as (page_no, windows): numbers only, however long the document
-    counts = cut.groupBy(*DOC).agg(F.collect_list(F.struct("page_no", F.size("_chunks").alias("n"))).alias("_counts"))
-    numbered = cut.join(counts, DOC).withColumn(
-        "_before",
-        F.aggregate("_counts", F.lit(0), lambda acc, c: acc + F.when(c["page_no"] < F.col("page_no"), c["n"]).otherwise(0)),
-    )
-    rows = numbered.select(*DOC, "page", "_before", F.posexplode("_chunks").alias("_i", "text"))
-    return rows.select(*DOC, "page", (F.col("_before") + F.col("_i")).alias("chunk"), "text")
+    cut = cut.drop("text", "_words").withColumn("_block", F.floor(F.col("page_no") / 256))
+    inside = W.partitionBy(*DOC, "_block").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumn("_before", F.coalesce(F.sum(F.size("_chunks")).over(inside), F.lit(0)))
+    blocks = cut.groupBy(*DOC, "_block").agg(F.sum(F.size("_chunks")).alias("_n"))
+    earlier = W.partitionBy(*DOC).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select(*DOC, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    first = (F.col("_before") + F.col("_offset")).cast("int")
+    numbered = local.join(offsets, [*DOC, "_block"]).withColumn("_first", first)
+    rows = numbered.select(*DOC, "page", "_first", F.posexplode("_chunks").alias("_i", "text"))
+    return rows.select(*DOC, "page", (F.col("_first") + F.col("_i")).alias("chunk"), "text")
 
 
 def index_documents(docs: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:

@@ -66,7 +66,9 @@ def face_neighbours(new: DataFrame, known: DataFrame, threshold: float, topn: in
     )
     fresh = new.select("user_id", "face_id", "embedding", F.col("seq").alias("seen_from"), F.lit(FAR).alias("seen_to"))
     index = old.unionByName(fresh).withColumnRenamed("face_id", "nbr")
-    found = search_blocks(new.select("user_id", "face_id", "embedding", "seq"), index, topn, ["user_id"], qid="face_id", xid="nbr")
+    # both sides may be large: wide query blocks keep the copies of the index few
+    asked = new.select("user_id", "face_id", "embedding", "seq")
+    found = search_blocks(asked, index, topn, ["user_id"], qid="face_id", xid="nbr", block_queries=8192)
     best = top_k(found, ["face_id"], [F.desc("cos"), F.asc("nbr")], topn, rank="rank")
     return best.filter(F.col("cos") >= threshold).select("face_id", "nbr", "rank")
 

@@ -21,6 +21,7 @@ from .library import top_k
 SPACE = ["user_id", "embed_model"]
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 256
+SLICE = 256
 DECIMALS = 9
 
 
@@ -41,12 +42,19 @@ def _best(sims: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 def block_top_n(
     q: pd.DataFrame, x: pd.DataFrame, n: int, qid: str, xid: str, extra: tuple[str, ...] = ()
 ) -> pd.DataFrame:
-    """Top n rows of block x for every query of block q.
+    """Top n rows of block x for every query of block q, a few hundred queries per matrix product.
 
     Optional columns: q.filtered with x.allowed (ids of filtering queries that admit the row), q.seq with
     x.seen_from and x.seen_to (row visible to queries with seen_from < seq < seen_to).
     """
-    sims = np.round(_matrix(q["embedding"]) @ _matrix(x["embedding"]).T, DECIMALS)
+    vectors, ids = _matrix(x["embedding"]).T, x[xid].to_numpy()
+    parts = [_slice_top_n(q.iloc[i : i + SLICE], x, vectors, ids, n, qid) for i in range(0, len(q), SLICE)]
+    at, who, cos = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return pd.DataFrame({qid: who, xid: ids[at], "cos": cos} | {c: x[c].to_numpy()[at] for c in extra})
+
+
+def _slice_top_n(q: pd.DataFrame, x: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, n: int, qid: str) -> tuple:
+    sims = np.round(_matrix(q["embedding"]) @ vectors, DECIMALS)
     if "filtered" in q and "allowed" in x:
         ok = np.repeat(~q["filtered"].to_numpy(dtype=bool)[:, None], len(x), axis=1)
         lists = [() if v is None else v for v in x["allowed"]]
@@ -58,12 +66,10 @@ def block_top_n(
         seq = q["seq"].to_numpy()[:, None]
         seen = (x["seen_from"].to_numpy()[None, :] < seq) & (seq < x["seen_to"].to_numpy()[None, :])
         sims = np.where(seen, sims, -np.inf)
-    ids = x[xid].to_numpy()
     hits = [_best(row, ids, n) for row in sims]
-    at = np.concatenate(hits) if hits else np.array([], dtype=int)
+    at = np.concatenate(hits)
     who = np.repeat(np.arange(len(q)), [len(h) for h in hits])
-    out = {qid: q[qid].to_numpy()[who], xid: ids[at], "cos": sims[who, at]}
-    return pd.DataFrame(out | {c: x[c].to_numpy()[at] for c in extra})
+    return at, q[qid].to_numpy()[who], sims[who, at]
 
 
 def search_blocks(

@@ -111,17 +111,14 @@ def _(t, spark):
 
 @query(
     "sort_folders_deepest",
-    """select user_id, path, depth, row_number() over (partition by user_id order by depth desc, path) as position from
-    (select distinct user_id, array_to_string(list_slice(string_split(folder, '/'), 1, i), '/') as path, cast(i as int) as depth from (select *, unnest(range(1, len(string_split(folder, '/')) + 1)) as i from files where folder <> '') x) y""",
+    """select distinct user_id, provider_id, array_to_string(list_slice(string_split(folder, '/'), 1, i), '/') as path, cast(i as int) as depth
+    from (select *, unnest(range(1, len(string_split(folder, '/')) + 1)) as i from files where folder <> '') x""",
     ("files",),
 )
 def _(t, spark):
-    from mediashelf.operators.library import top_k
-
+    """Deletion order: children before parents, by a range-partitioned sort."""
     none = t("files").filter("folder is null")
-    folders = ig.removable_folders(t("files"), none).select("user_id", "path", "depth").distinct()
-    ranked = top_k(folders, ["user_id"], [F.desc("depth"), F.asc("path")], 1 << 30, rank="position")
-    return ranked.withColumn("position", F.col("position").cast("long"))
+    return ig.removable_folders(t("files"), none).orderBy(F.desc("depth"), "user_id", "path")
 
 
 @query(
