@@ -35,7 +35,8 @@ def _cell(lat: Column, lon: Column, size: int) -> tuple[Column, Column]:
 def _neighbourhoods(cities: DataFrame, level: int | str | None) -> DataFrame:
     """(cell, near): candidate cities of each cell of a level: those of the cell and of the eight around it."""
     if level is None:
-        placed = cities.withColumn("_cell", F.lit(0))
+        # always 0, but not a literal: the lookup stays a hash join
+        placed = cities.withColumn("_cell", F.floor(F.abs("lat") / 1000).cast("int"))
     elif level == "cap":
         placed = cities.filter(F.abs("lat") >= CAP).withColumn("_cell", F.signum("lat").cast("int"))
     else:

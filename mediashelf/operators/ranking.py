@@ -86,9 +86,19 @@ def fuse_images(
     )
 
 
-def fuse_docs(
-    vector: DataFrame,
-    keyword: DataFrame,
+def fuse_docs(vector: DataFrame, keyword: DataFrame, queries: DataFrame, k: int | Column, **gate) -> DataFrame:
+    """`fuse_passages` of separate candidate lists.
+
+    `vector`: query_id, file_hash, page, chunk, text, cos. `keyword`: the same with bm25.
+    """
+    cols = ["query_id", "file_hash", "page", "chunk", "text"]
+    zero = F.lit(0.0)
+    both = vector.select(*cols, "cos", zero.alias("bm25")).unionByName(keyword.select(*cols, zero.alias("cos"), "bm25"))
+    return fuse_passages(both, queries, k, **gate)
+
+
+def fuse_passages(
+    candidates: DataFrame,
     queries: DataFrame,
     k: int | Column,
     min_cos: float = 0.82,
@@ -101,14 +111,12 @@ def fuse_docs(
 ) -> DataFrame:
     """Gate passages, keep the best of each document, label and rank.
 
-    `vector`: query_id, file_hash, page, chunk, text, cos. `keyword`: the same with bm25. `queries`: query_id,
-    keywords (for term coverage). A passage passes on similarity (absolute floor and close to the best) or on
-    keywords (strong share of the best score and most query words present).
+    `candidates`: query_id, file_hash, page, chunk, text, cos, bm25 (0 where a search did not find the passage; equal
+    texts on one page count once). `queries`: query_id, keywords (for term coverage). A passage passes on similarity
+    (absolute floor and close to the best) or on keywords (strong share of the best score and most query words present).
     """
-    cols = ["query_id", "file_hash", F.coalesce("page", F.lit(0)).alias("page"), "text", "chunk"]
     zero = F.lit(0.0)
-    union = vector.select(*cols, "cos", zero.alias("bm25")).unionByName(keyword.select(*cols, zero.alias("cos"), "bm25"))
-    c = union.groupBy("query_id", "file_hash", "page", "text").agg(
+    c = candidates.groupBy("query_id", "file_hash", F.coalesce("page", F.lit(0)).alias("page"), "text").agg(
         F.min("chunk").alias("chunk"), F.max("cos").alias("cos"), F.max("bm25").alias("bm25")
     )
     best = _best("cos")

@@ -16,7 +16,7 @@ from ..functions.vectors import dot, match_prob
 from ..operators import library as lb
 from ..operators.bm25 import TAGS_AND_TEXT, TITLE_AND_TEXT, bm25_search
 from ..operators.people import named_people
-from ..operators.ranking import fuse_docs, fuse_images, image_candidates, passage_candidates, rerank_mmr
+from ..operators.ranking import fuse_images, fuse_passages, image_candidates, passage_candidates, rerank_mmr
 from ..operators.understand import understand_queries
 from ..operators.vector_search import vector_search
 from ..session import cut_lineage
@@ -53,11 +53,17 @@ def document_hits(asked: DataFrame, passages: DataFrame, k: int, allow: DataFram
     passage_allow = None if by_passage is None else by_passage.select("query_id", F.col("pid").alias("file_hash"))
     near = vector_search(asked.drop("embed_model"), index, n, allow=passage_allow, space=["user_id"])
     words = bm25_search(asked, passages, TITLE_AND_TEXT, ["file_hash", "chunk"], n, allow)
+    # both lists as ids, merged, then one lookup of the passages themselves
+    zero = F.lit(0.0)
     owner = asked.select("query_id", "user_id")
-    body = ids.select("user_id", "pid", *PASSAGE)
-    near = near.withColumnRenamed("file_hash", "pid").join(owner, "query_id").join(body, ["user_id", "pid"])
-    keyed = words.join(passages.select("user_id", *PASSAGE), ["user_id", "file_hash", "chunk"])
-    return fuse_docs(near, keyed, asked, k, **gate)
+    near = near.withColumnRenamed("file_hash", "pid").join(owner, "query_id")
+    pid = F.concat_ws(":", "file_hash", F.col("chunk").cast("string")).alias("pid")
+    both = near.select("query_id", "user_id", "pid", "cos", zero.alias("bm25")).unionByName(
+        words.select("query_id", "user_id", pid, zero.alias("cos"), "bm25")
+    )
+    merged = both.groupBy("query_id", "user_id", "pid").agg(F.max("cos").alias("cos"), F.max("bm25").alias("bm25"))
+    found = merged.join(ids.select("user_id", "pid", *PASSAGE), ["user_id", "pid"])
+    return fuse_passages(found, asked, k, **gate)
 
 
 def understood(queries: DataFrame, lib: dict[str, DataFrame]) -> DataFrame:
@@ -103,11 +109,13 @@ def search(
 
     n = max(k, fv.RERANK_TOP_N)
     images = image_hits(looking, lib["image_index"], n, scale, bias, allow, **(image_gate or {}))
+    images = cut_lineage(images)  # at most k rows per query, read by the second pass and by the answer
     if rerank:
         images = second_pass(images, looking, lib["image_index"], scale, bias)
     docs = document_hits(
         looking.drop("embedding").withColumnRenamed("doc_embedding", "embedding"), lib["passages"], n, allow, **(doc_gate or {})
-    ).filter(F.col("position") <= n)
+    )
+    docs = cut_lineage(docs)
     only_filters = asked.filter("visual is null").select("query_id")
     newest = lb.newest(allow.join(only_filters, "query_id", "left_semi"), lib["files"], k)
 

@@ -8,6 +8,7 @@ from mediashelf.functions import vectors as vc
 from mediashelf.operators import bm25, geocode, ranking
 from mediashelf.operators import vector_search as vs
 from mediashelf.plans import search as sp
+from mediashelf.session import cut_lineage
 
 from . import query
 
@@ -186,9 +187,9 @@ FUSE_IN = f"""{TOPN}, sv as (select vn.query_id, vn.file_hash, 1 / (1 + exp(-(30
 
 
 def fusion_inputs(t):
-    base = t("image_index").filter("vec_id = 0").select(F.col("embedding").alias("baseline"))  # one content-free caption
-    near = candidates(t, extra=("embedding",)).crossJoin(F.broadcast(base))
-    margin = F.col("cos") - F.round(vc.dot(F.col("baseline"), F.col("embedding")), 9)
+    baseline = t("image_index").filter("vec_id = 0").head().embedding  # the content-free caption: one vector
+    near = candidates(t, extra=("embedding",))
+    margin = F.col("cos") - F.round(vc.dot(F.lit(baseline), F.col("embedding")), 9)
     vec = near.select("query_id", "file_hash", vc.match_prob(F.col("cos"), 30.0, -6.0).alias("prob"), margin.alias("margin"))
     q = t("vector_queries").select("query_id", "user_id", (F.col("query_id") % 10).cast("int").alias("label"))
     kw = q.join(t("image_index"), ["user_id", "label"]).select("query_id", "file_hash", F.round(1.0 + F.col("vec_id") % 17 / 3.0, 9).alias("bm25"))
@@ -348,7 +349,8 @@ def library(t):
         "user_id", F.lit("m1").alias("embed_model"), "file_hash", "embedding", "tags", F.concat_ws(" ", "kind", "place_name", F.array_join("tags", " ")).alias("search_text")
     )
     docs = rows.filter("media_type = 'document'").select("user_id", "file_hash", F.coalesce("title", "name").alias("title"), F.lit(1).alias("page"), F.lit(0).alias("chunk"), "text", "embedding")
-    return {"files": files, "faces": t("faces"), "people": t("people"), "image_index": images, "passages": docs}
+    lib = {"files": files, "faces": t("faces").drop("embedding"), "people": t("people"), "image_index": images, "passages": docs}
+    return {name: cut_lineage(table) for name, table in lib.items()}  # a library is stored tables
 
 
 def text_queries(t):

@@ -130,8 +130,7 @@ COVERAGE_SQL = rf"""with b as (select item_id, list_filter(list_distinct(string_
 @query("str_term_coverage", COVERAGE_SQL)
 def _(t, spark):
     b = t("benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
-    n = b.agg(F.count("*").alias("n"))
-    d = t("documents").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one-row side
+    d = t("documents").withColumn("item_id", F.col("doc_id") % b.count())
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(tx.term_coverage(F.col("q"), F.col("text")), 9).alias("coverage"))
 
 
