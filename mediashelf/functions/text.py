@@ -18,6 +18,7 @@ from . import fixed_values as fv
 TOKEN_GAP = r"[^\p{L}\p{N}]+"  # keyword index: letters and digits
 WORD_GAP = r"[^\p{L}\p{N}_]+"  # plain words: letters, digits, underscore
 SPACE = r"[\s\p{Z}]+"
+BLANKS = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _non_empty(parts: Column) -> Column:
@@ -41,7 +42,7 @@ def split_words(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -144,8 +145,9 @@ def format_bytes(c: Column) -> Column:
 # ---------------------------------------------------------------- documents
 def clean_text(c: Column) -> Column:
     """Soft hyphens out, words broken at a line end re-joined, runs of blanks and newlines capped."""
-    joined = F.regexp_replace(F.translate(c, "­", ""), r"-\n([\p{L}\p{N}_])", "$1")
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    joined = F.regexp_replace(F.replace(c, F.lit("\u00ad"), F.lit("")), r"-\n([\p{L}\p{N}_])", "$1")
+    # single blanks, nearly all of them, are left alone
+    return strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
 
 
 def doc_title(text: Column, filename: Column) -> Column:

@@ -11,6 +11,7 @@ from mediashelf.plans import search as sp
 from mediashelf.session import cut_lineage
 
 from . import query
+from .understanding import UNDERSTOOD_CTE
 
 DBL = "list_transform({0}, lambda x: cast(x as double))"
 
@@ -125,7 +126,7 @@ def tok(c):
     return rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-def bm25_sql(docs, f1, f2, keys, name="bm"):
+def bm25_sql(docs, f1, f2, keys, name="bm", queries="keyword_queries"):
     """BM25 over two fields (boosts 2 and 1) of a relation with user_id, `keys`, f1, f2."""
     k = ", ".join(keys)
     on = " and ".join(f"a.{c} = b.{c}" for c in keys)
@@ -136,7 +137,7 @@ def bm25_sql(docs, f1, f2, keys, name="bm"):
   {name}_d as (select user_id, term, count(*) as df from {name}_p group by all),
   {name}_w as (select p.*, d.df, s.n as n_docs, ln(1 + (s.n - df + 0.5) / (df + 0.5)) as idf, 2 * t1 / (0.25 + 0.75 * coalesce(n1 / nullif(la, 0), 1)) + t2 / (0.25 + 0.75 * coalesce(n2 / nullif(lb, 0), 1)) as tf
     from {name}_p p join {name}_d d using (user_id, term) join {name}_s s using (user_id)),
-  {name}_q as (select query_id, user_id, unnest(list_distinct({tok('keywords')})) as term from keyword_queries),
+  {name}_q as (select query_id, user_id, unnest(list_distinct({tok('keywords')})) as term from {queries}),
   {name} as (select query_id, user_id, {k}, round(sum(idf * tf / (1.2 + tf)), 9) as bm25 from {name}_q join {name}_w using (user_id, term) group by all)"""
 
 
@@ -175,16 +176,19 @@ def _(t, spark):
     return hits.select("query_id", "file_hash", F.round("bm25", 6).alias("bm25"))
 
 
-# ---------------------------------------------------------------- fusion of images
-# keyword candidates of the vector queries: images of the same user and kind label, weighted by their id
-FUSE_IN = f"""{TOPN}, sv as (select vn.query_id, vn.file_hash, 1 / (1 + exp(-(30 * cos - 6))) as prob, cos - {dot('i.embedding', "(select embedding from image_index where vec_id = 0)")} as margin from vn join image_index i on i.file_hash = vn.file_hash),
-  kw as (select q.query_id, i.file_hash, round(1.0 + i.vec_id % 17 / 3.0, 9) as bm25 from vector_queries q join image_index i on i.user_id = q.user_id and i.label = (q.query_id % 10)),
-  al as (select coalesce(sv.query_id, kw.query_id) as query_id, coalesce(sv.file_hash, kw.file_hash) as file_hash, coalesce(prob, 0) as prob, coalesce(margin, -1) as margin, coalesce(bm25, 0) as bm25 from sv full outer join kw on sv.query_id = kw.query_id and sv.file_hash = kw.file_hash),
+# gate, blend and label of vector (sv) and keyword (kw) candidates
+FUSE_TAIL = """al as (select coalesce(sv.query_id, kw.query_id) as query_id, coalesce(sv.file_hash, kw.file_hash) as file_hash, coalesce(prob, 0) as prob, coalesce(margin, -1) as margin, coalesce(bm25, 0) as bm25 from sv full outer join kw on sv.query_id = kw.query_id and sv.file_hash = kw.file_hash),
   mx as (select *, max(prob) over (partition by query_id) as best_p, max(bm25) over (partition by query_id) as best_kw from al),
   sc as (select *, case when best_kw > 0 then bm25 / best_kw else 0 end as kw, case when best_p > 0 then prob / best_p else 0 end as p_rel, margin >= 0.015 and prob >= best_p * 0.01 as visual from mx),
   fu as (select *, 0.75 * p_rel + 0.25 * kw as raw, case when visual and margin >= 0.05 then 'strong' when visual and margin >= 0.03 then 'good' when visual then 'possible' when kw > 0 then 'metadata' else 'possible' end as match from sc where visual or kw >= 0.6),
   hi as (select * from (select *, row_number() over (partition by query_id order by raw desc, prob desc, file_hash) as position from fu) x where position <= 12)"""
 
+# ---------------------------------------------------------------- fusion of images
+# keyword candidates of the vector queries: images of the same user and kind label, weighted by their id
+FUSE_IN = f"""{TOPN}, sv as (select vn.query_id, vn.file_hash, 1 / (1 + exp(-(30 * cos - 6))) as prob, cos - {dot('i.embedding', "(select embedding from image_index where vec_id = 0)")} as margin from vn join image_index i on i.file_hash = vn.file_hash),
+  kw as (select q.query_id, i.file_hash, round(1.0 + i.vec_id % 17 / 3.0, 9) as bm25 from vector_queries q join image_index i on i.user_id = q.user_id and i.label = (q.query_id % 10)),
+  """ + FUSE_TAIL
+
 
 def fusion_inputs(t):
     baseline = t("image_index").filter("vec_id = 0").head().embedding  # the content-free caption: one vector
@@ -248,23 +252,28 @@ def _(t, spark):
     return ranking.rerank_with_scores(hits, scores).select("query_id", "file_hash", "match", F.col("position").cast("long").alias("position"))
 
 
-# ---------------------------------------------------------------- fusion of passages
-GATE = dict(min_cos=0.2, good_cos=0.25, strong_cos=0.3, window=0.15)
-# the query vector of keyword query q is stored vector q
-DOC_FUSE = f"""{DOC_BM}, pv as (select query_id, file_hash, chunk, cos from (select q.query_id, p.file_hash, p.chunk, {dot('e.embedding', 'p.embedding')} as cos, row_number() over (partition by q.query_id order by {dot('e.embedding', 'p.embedding')} desc, concat(p.file_hash, ':', p.chunk)) as r
-    from keyword_queries q join embeddings e on e.vec_id = q.query_id join passages p on p.user_id = q.user_id) x where r <= 40),
-  pk as (select query_id, file_hash, chunk, bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, file_hash, chunk) as r from bm) x where r <= 40),
-  pu as (select query_id, file_hash, chunk, cos, 0.0 as bm25 from pv union all select query_id, file_hash, chunk, 0.0, bm25 from pk),
+# gate, best passage per document and rank of vector (pv) and keyword (pk) candidates over passages ps
+def doc_tail(queries, k):
+    return rf"""pu as (select query_id, file_hash, chunk, cos, 0.0 as bm25 from pv union all select query_id, file_hash, chunk, 0.0, bm25 from pk),
   pg as (select u.query_id, u.file_hash, p.page, p.text, min(u.chunk) as chunk, max(cos) as cos, max(bm25) as bm25 from pu u join ps p on p.file_hash = u.file_hash and p.chunk = u.chunk group by all),
   pm as (select *, max(cos) over (partition by query_id) as best, max(bm25) over (partition by query_id) as best_kw from pg),
   pn as (select pm.*, case when best_kw > 0 then pm.bm25 / best_kw else 0 end as kw, cos >= 0.2 and cos >= best - 0.15 as text_ok,
-    list_filter(list_distinct(string_split_regex(lower(q.keywords), '[^\\p{{L}}\\p{{N}}_]+')), lambda x: length(x) > 2 and x not in ('the', 'and', 'for', 'with', 'about', 'from', 'that', 'this', 'what', 'how', 'are', 'was', 'pdf', 'pdfs', 'doc', 'docs')) as terms,
-    list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) as ws from pm join keyword_queries q using (query_id)),
+    list_filter(list_distinct(string_split_regex(lower(q.keywords), '[^\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 2 and x not in ('the', 'and', 'for', 'with', 'about', 'from', 'that', 'this', 'what', 'how', 'are', 'was', 'pdf', 'pdfs', 'doc', 'docs')) as terms,
+    list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+')) as ws from pm join {queries} q using (query_id)),
   po as (select *, 0.7 * case when text_ok then least(1.0, greatest(0.0, (cos - 0.2) / greatest(best - 0.2, 1e-6))) else 0 end + 0.3 * kw as raw,
     case when not text_ok then 'keyword' when cos >= 0.3 then 'strong' when cos >= 0.25 then 'good' else 'possible' end as match
     from pn where text_ok or (kw >= 0.6 and case when len(terms) = 0 then 1 else len(list_intersect(terms, ws)) / len(terms) end >= 0.6)),
   pb as (select * from (select *, row_number() over (partition by query_id, file_hash order by raw desc, cos desc, page, chunk) as r from po) x where r = 1),
-  ph as (select * from (select *, row_number() over (partition by query_id order by raw desc, cos desc, file_hash) as position from pb) x where position <= 10)"""
+  ph as (select * from (select *, row_number() over (partition by query_id order by raw desc, cos desc, file_hash) as position from pb) x where position <= {k})"""
+
+
+# ---------------------------------------------------------------- fusion of passages
+GATE = dict(min_cos=0.2, good_cos=0.25, strong_cos=0.3, window=0.15)
+# the query vector of keyword query q is stored vector q
+DOC_FUSE = f"""{DOC_BM}, pv as (select query_id, file_hash, chunk, cos from (select q.query_id, p.file_hash, p.chunk, {dot('e.embedding', 'p.embedding')} as cos, row_number() over (partition by q.query_id order by {dot('e.embedding', 'p.embedding')} desc, concat(p.file_hash, ':', p.chunk)) as r
+    from keyword_queries q join embeddings e on e.vec_id = q.query_id join passages p on p.user_id = q.user_id) x where r <= 40),
+  pk as (select query_id, file_hash, chunk, bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, file_hash, chunk) as r from bm) x where r <= 40),
+  """ + doc_tail("keyword_queries", 10)
 
 
 def passage_inputs(t):
@@ -366,11 +375,45 @@ def run_search(t, rerank):
     return out.withColumn("score", F.round("score", 3))
 
 
+LIB_SQL = f"""im as (select f.user_id, f.file_hash, e.embedding, array_to_string(f.tags, ' ') as tags, concat_ws(' ', f.kind, f.place_name, array_to_string(f.tags, ' ')) as search_text from files f join embeddings e on e.vec_id = f.file_id where f.media_type = 'image'),
+  ps as (select f.user_id, f.file_hash, e.embedding, coalesce(f.title, f.name) as title, 1 as page, 0 as chunk, u.text from files f join embeddings e on e.vec_id = f.file_id join uploads u on u.upload_id = f.file_id where f.media_type = 'document')"""
+SEARCH_SQL = f"""with {UNDERSTOOD_CTE}, {LIB_SQL},
+  pi as (select user_id, lower(name) as low, min(person_id) as person_id from people where name is not null and not hidden group by all),
+  a0 as (select u8.*, coalesce((select list(distinct person_id) from pi where pi.user_id = u8.user_id and list_contains(list_transform(coalesce(people, []), lambda p: lower(p)), low)), []) as ids from u8),
+  fl as (select *, date_from is not null or date_to is not null or month is not null or coalesce(len(kinds), 0) > 0 or coalesce(len(places), 0) > 0 or coalesce(len(ids), 0) > 0 as filtered from a0),
+  allow as (select q.query_id, f.user_id, f.file_hash, coalesce(f.taken_at, f.created_at) as event_time from fl q join files f on f.user_id = q.user_id and q.filtered and f.status <> 'failed' and f.provider_file_id is not null
+    and (date_from is null or coalesce(taken_at, created_at) >= date_from) and (date_to is null or coalesce(taken_at, created_at) < date_to + 1) and (q.month is null or q.month = month(coalesce(taken_at, created_at)))
+    and (coalesce(len(kinds), 0) = 0 or list_contains(kinds, kind))
+    and (coalesce(len(places), 0) = 0 or len(list_filter(places, lambda p: coalesce(place_area ilike p, false) or coalesce(place_city ilike p, false) or coalesce(place_region ilike p, false) or coalesce(place_country ilike p, false))) > 0)
+    and (coalesce(len(ids), 0) = 0 or len(ids) = (select count(distinct person_id) from faces x where x.user_id = f.user_id and x.file_id = f.file_id and list_contains(ids, x.person_id)))),
+  lk as (select fl.query_id, fl.user_id, filtered, coalesce(visual_query, case when not filtered then trim(text) end) as visual, lower(coalesce(visual_query, case when not filtered then trim(text) end)) as keywords, e.embedding from fl join embeddings e on e.vec_id = fl.query_id),
+  lo as (select * from lk where visual is not null),
+  ok as (select lo.query_id, x.file_hash from lo join (select user_id, file_hash from im union all select user_id, file_hash from ps) x on x.user_id = lo.user_id where not filtered or exists (select 1 from allow a where a.query_id = lo.query_id and a.file_hash = x.file_hash)),
+  vi as (select lo.query_id, im.file_hash, {dot('lo.embedding', 'im.embedding')} as cos, {dot('list_transform(lo.embedding, lambda x: cast(cast(x as double) * cast(0.01 as double) as float))', 'im.embedding')} as base from lo join im on im.user_id = lo.user_id join ok on ok.query_id = lo.query_id and ok.file_hash = im.file_hash),
+  sv as (select query_id, file_hash, 1 / (1 + exp(-(30 * cos - 6))) as prob, cos - base as margin from (select *, row_number() over (partition by query_id order by cos desc, file_hash) as r from vi) x where r <= 36),
+  {bm25_sql('im', 'tags', 'search_text', ['file_hash'], 'bi', 'lo')},
+  kw as (select query_id, file_hash, bm25 from (select bi.*, row_number() over (partition by bi.query_id order by bm25 desc, bi.file_hash) as r from bi join ok on ok.query_id = bi.query_id and ok.file_hash = bi.file_hash) x where r <= 36),
+  {FUSE_TAIL},
+  {bm25_sql('ps', 'title', 'text', ['file_hash', 'chunk'], 'bd', 'lo')},
+  pv as (select query_id, file_hash, chunk, cos from (select lo.query_id, p.file_hash, p.chunk, {dot('lo.embedding', 'p.embedding')} as cos, row_number() over (partition by lo.query_id order by {dot('lo.embedding', 'p.embedding')} desc, concat(p.file_hash, ':', p.chunk)) as r
+    from lo join ps p on p.user_id = lo.user_id join ok on ok.query_id = lo.query_id and ok.file_hash = p.file_hash) x where r <= 48),
+  pk as (select query_id, file_hash, chunk, bm25 from (select bd.*, row_number() over (partition by bd.query_id order by bm25 desc, bd.file_hash, chunk) as r from bd join ok on ok.query_id = bd.query_id and ok.file_hash = bd.file_hash) x where r <= 48),
+  {doc_tail('lo', 12)},
+  nw as (select query_id, file_hash, position from (select a.*, row_number() over (partition by a.query_id order by event_time desc, a.file_hash) as position from allow a join lk on lk.query_id = a.query_id where lk.visual is null) x where position <= 12),
+  rk as (select query_id, file_hash, match, position from hi where position <= 12 union all select query_id, file_hash, null, position from nw),
+  rw as (select rk.*, f.media_type from rk join lk using (query_id) join files f on f.user_id = lk.user_id and f.file_hash = rk.file_hash)
+  select query_id, 'image' as section, position, file_hash, match, cast(null as int) as page from rw where media_type <> 'document'
+  union all select query_id, 'document', position, file_hash, match, cast(page as int) from ph
+  union all select query_id, 'document', position, file_hash, null, null from rw where media_type = 'document' and query_id not in (select query_id from ph)"""
+
+
 @query("search_pipeline")
 def _(t, spark):
     return run_search(t, True)
 
 
-@query("search_two_phase")
+@query("search_two_phase", SEARCH_SQL, ("text_queries", "people", "files", "faces", "uploads"))
 def _(t, spark):
-    return run_search(t, False)
+    """The fast first phase, without re-ranking."""
+    out = run_search(t, False)
+    return out.select("query_id", "section", F.col("position").cast("long").alias("position"), "file_hash", "match", "page")

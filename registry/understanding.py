@@ -139,9 +139,47 @@ def understood(t):
     return un.understand_queries(t("text_queries"), pp.named_people(t("people")), lb.known_places(t("files")))
 
 
-@query("understand_queries")
+# --- the whole chain in SQL: names, kinds, one date phrase and filler are taken out one after the other
+PREP = fv.PREPOSITION
+WORDS = ", ".join(f"'{w}'" for w, _ in sorted(fv.KIND_WORDS.items(), key=lambda kv: -len(kv[0])))
+RULE_NAMES = {
+    "christmas": "christmas", "new year": "new year", "halloween": "halloween", "my": "month and year", "season": "season", "today": "today",
+    "yesterday": "yesterday", "tw": "this week", "lw": "last week", "tm": "this month", "lm": "last month", "ty": "this year", "ly": "last year",
+    "n": "last n", "ago": "years ago", "year": "year", "m": "month",
+}
+RULE_PATTERN = "case rule " + " ".join(f"when '{r}' then '{dt.DATE_PATTERNS[n].replace(chr(39), chr(39) * 2)}'" for r, n in RULE_NAMES.items()) + " end"
+
+
+def _drop_names(text, names, tail):
+    return rf"list_reduce(list_prepend({text}, {names}), lambda acc, n: regexp_replace(acc, concat('{PREP}\b', regexp_escape(lower(n)), '{tail}\b'), ' '))"
+
+
+DATES_CTE, DATES_SELECT = DATES_SQL.split("\n  select event_id, ", 1)
+UNDERSTOOD_CTE = rf"""npeople as (select distinct user_id, name from people where name is not null and not hidden),
+  nplaces as (select * from (select distinct user_id, unnest([place_area, place_city, place_region, place_country]) as name from files where place_name is not null) x where name is not null),
+  u0 as (select query_id, user_id, text, today, concat(' ', lower(trim(text)), ' ') as q0 from text_queries),
+  u1 as (select *, coalesce((select list(name order by length(name) desc, name) from npeople where npeople.user_id = u0.user_id and regexp_matches(q0, concat('\b', regexp_escape(lower(name)), '(?:''s)?\b'))), []) as people from u0),
+  u2 as (select *, {_drop_names('q0', 'people', "(?:''s)?")} as q1 from u1),
+  u3 as (select *, coalesce((select list(name order by length(name) desc, name) from nplaces where nplaces.user_id = u2.user_id and regexp_matches(q1, concat('\b', regexp_escape(lower(name)), '\b'))), []) as places from u2),
+  u4 as (select *, {_drop_names('q1', 'places', '')} as q2 from u3),
+  kwd(word, kind, n) as (values {KIND_VALUES}),
+  u5 as (select *, coalesce((select list(kind order by n) from (select kind, min(n) as n from kwd where regexp_matches(q2, concat('\b', word, '\b')) group by kind) x), []) as kinds,
+    list_reduce(list_prepend(q2, [{WORDS}]), lambda acc, n: regexp_replace(acc, concat('{PREP}\b', n, '\b'), ' ')) as q from u4),
+  """ + DATES_CTE.split("events),", 1)[1].replace("from t),", "from (select query_id as event_id, * from u5) t),", 1) + rf""",
+  u6 as (select event_id as query_id, user_id, text, people, places, kinds, rule, {DATES_SELECT.rsplit(" from z", 1)[0]}, case when rule is null then q else regexp_replace(q, concat('{PREP}', {RULE_PATTERN}), ' ') end as q4 from z),
+  u7 as (select *, regexp_replace(regexp_replace(q4, '{fv.FILLER_WORDS}', ' ', 'g'), '{fv.GENERIC_WORDS}', ' ', 'g') as r1 from u6),
+  u8 as (select *, nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(r1), '\b({fv.EDGE_WORDS})\s*$', ' '), '^\s*({fv.EDGE_WORDS})\b', ' '), '\s+', ' ', 'g'), ' ,.-'), '') as visual_query from u7)"""
+
+
+@query(
+    "understand_queries",
+    f"with {UNDERSTOOD_CTE} select query_id, coalesce(array_to_string(people, ','), '') as people, coalesce(array_to_string(places, ','), '') as places, coalesce(array_to_string(kinds, ','), '') as kinds, date_from, date_to, month, visual_query from u8",
+    TQ,
+)
 def _(t, spark):
-    return understood(t)
+    lists = [F.array_join(c, ",").alias(c) for c in ("people", "places", "kinds")]
+    month = F.get("months", F.lit(0)).alias("month")
+    return understood(t).select("query_id", *lists, "date_from", "date_to", month, "visual_query")
 
 
 def model_answers(t):
