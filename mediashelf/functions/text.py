@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed_values as fv
+from .dates import bind
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"  # keyword index: letters and digits
 WORD_GAP = r"[^\p{L}\p{N}_]+"  # plain words: letters, digits, underscore
@@ -144,10 +145,24 @@ def format_bytes(c: Column) -> Column:
 
 # ---------------------------------------------------------------- documents
 def clean_text(c: Column) -> Column:
-    """Soft hyphens out, words broken at a line end re-joined, runs of blanks and newlines capped."""
-    joined = F.regexp_replace(F.replace(c, F.lit("\u00ad"), F.lit("")), r"-\n([\p{L}\p{N}_])", "$1")
-    # single blanks, nearly all of them, are left alone
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
+    """Soft hyphens out, words broken at a line end re-joined, runs of blanks and newlines capped.
+
+    A plain substring test spares the regex on texts that do not need it.
+    """
+
+    def where_found(text: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+        def apply(x: Column) -> Column:
+            needed = F.contains(x, F.lit(marks[0]))
+            for mark in marks[1:]:
+                needed = needed | F.contains(x, F.lit(mark))
+            return F.when(needed, F.regexp_replace(x, pattern, by)).otherwise(x)
+
+        return bind(text, apply)
+
+    out = F.replace(c, F.lit("\u00ad"), F.lit(""))
+    out = where_found(out, ("-\n",), r"-\n([\p{L}\p{N}_])", "$1")
+    out = where_found(out, ("  ", "\t"), r"[ \t]{2,}|\t", " ")
+    return strip(where_found(out, ("\n\n\n",), r"\n{3,}", "\n\n"))
 
 
 def doc_title(text: Column, filename: Column) -> Column:
