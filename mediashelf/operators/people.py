@@ -120,7 +120,7 @@ def name_conflicts(people: DataFrame) -> DataFrame:
 def compress_aliases(alias: DataFrame, rounds: int = 4) -> DataFrame:
     """Follow merge chains src -> dst to their end by pointer jumping.
 
-    Each round doubles the reach, so four rounds follow 16 links; the reference stops after 10. Several merges
+    Each round doubles the reach, so four rounds follow 16 links. Several merges
     of one source keep the newest.
     """
     newest = alias.groupBy("user_id", "src").agg(F.max_by("dst", F.struct("ts", "dst")).alias("dst"))
