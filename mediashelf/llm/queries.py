@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import langid, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,21 @@ def op5_shard(t):
 def op7_simhash_groups(t):
     """Near-duplicate groups of all documents by 64-bit fingerprints."""
     return simhash.near_duplicates(t("documents"))
+
+
+@query
+def op10_toxicity(t):
+    """Toxicity of all documents; four fifths of the labelled ones teach."""
+    docs, labels = t("documents").select("doc_id", "text"), t("labels")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    rows = toxicity.scored(docs, labels, where=part != 0)
+    return rows.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language(t):
+    """Language of all documents; two thirds of those with a language teach."""
+    docs = t("documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit(docs, where=F.coalesce(part != 1, F.lit(True)))
+    return langid.classify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
