@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, simhash, toxicity
+from . import langid, mixing, sharding, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op8_language(t):
     part = F.crc32(F.col("doc_id").cast("string")) % 3
     model = langid.fit(docs, where=F.coalesce(part != 1, F.lit(True)))
     return langid.classify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_url_filter(t):
+    """Verdicts on the urls of all pages."""
+    return urls.judge(t("pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
