@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, simhash, toxicity, urls
+from . import chat, langid, mixing, sharding, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,28 @@ def op8_language(t):
 def op9_url_filter(t):
     """Verdicts on the urls of all pages."""
     return urls.judge(t("pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_chat_format(t):
+    """All conversations and one whose texts are control strings, formatted; digests of what is read back."""
+    turns = t("conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = turns.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.digest(chat.format_conversations(turns.unionByName(extra)))
+
+
+ORACLES["op3_chat_format"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped as (
+  select *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|im_start|>', '\l|im_start|>'), '<|im_end|>', '\l|im_end|>'),
+    '<|endoftext|>', '\l|endoftext|>'), '<s>', '\ls>'), '</s>', '\l/s>'), '[INST]', '\bINST]'), '[/INST]', '\b/INST]'), '<<SYS>>', '\l<SYS>>'), '<</SYS>>', '\l</SYS>>') as body from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(24 + length(role) + length(body))::bigint as formatted_chars
+from escaped group by conv_id
+"""
