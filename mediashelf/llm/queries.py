@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, sharding, simhash, toxicity, urls
+from . import chat, langid, mixing, sharding, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,24 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sum(24 + length(role) + length(body))::bigint as formatted_chars
 from escaped group by conv_id
 """
+
+
+@query
+def op2_top_k(t):
+    """The five nearest other vectors of every fiftieth vector, by integer inner product."""
+    vectors = topk.quantised(t("embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
+
+
+ORACLES["op2_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
