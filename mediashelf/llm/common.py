@@ -55,12 +55,18 @@ def steps(values: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, list
         yield first, [x or b"" for x in texts.slice(first).to_pylist()]
 
 
+#: A-Z as a-z, digits and bytes of other alphabets kept, all else a blank.
+PLAIN = np.full(256, 32, np.uint8)
+PLAIN[128:] = np.arange(128, 256)
+PLAIN[48:58] = np.arange(48, 58)
+PLAIN[97:123] = PLAIN[65:91] = np.arange(97, 123)
+
+
 class Words:
-    """The words of some texts as spans of one byte array in which a blank line parts the texts."""
+    """The words of some texts as spans of one byte array, read through a table of bytes, in which a blank parts the texts."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        self.data = LOWER[data] if lower else data
+    def __init__(self, texts: list[bytes], table: np.ndarray = LOWER):
+        self.data = table[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         self.row_start = np.concatenate(([0], np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))))
         space = np.concatenate(([True], SPACE[self.data]))
         turns = np.flatnonzero(space[1:] != space[:-1])

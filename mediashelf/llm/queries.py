@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, sharding, simhash, topk, toxicity, urls
+from . import chat, decontaminate, langid, mixing, sharding, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,9 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+
+@query
+def op6_decontaminate(t):
+    """Benchmark texts held by documents."""
+    return decontaminate.contaminated(t("documents"), t("benchmark"))
