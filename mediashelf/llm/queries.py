@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, sharding, simhash, topk, toxicity, urls
+from . import chat, decontaminate, langid, mixing, repeats, sharding, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,10 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 def op6_decontaminate(t):
     """Benchmark texts held by documents."""
     return decontaminate.contaminated(t("documents"), t("benchmark"))
+
+
+@query
+def op4_remove_repeats(t):
+    """What is left of all documents without strings of 200 bytes that also start elsewhere."""
+    rows = repeats.remove_repeats(t("documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
