@@ -123,8 +123,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     a null `conv` is a conversation of its own; repeated rows are repeated turns; no turns give no conversations; other columns play no part.
     """
     template = template or Template()
-    rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(role, F.lit("")).alias("_role"), F.coalesce(text, F.lit("")).alias("_text"))
-    ordered = rows.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").drop("_turn")
+    rows = turns.select(F.col(conv).alias("_llm_conv"), F.col(turn).alias("_llm_turn"), F.coalesce(role, F.lit("")).alias("_llm_role"), F.coalesce(text, F.lit("")).alias("_llm_text"))
+    ordered = rows.repartition("_llm_conv").sortWithinPartitions("_llm_conv", "_llm_turn", "_llm_role", "_llm_text").drop("_llm_turn")
 
     def build(held: list[pa.RecordBatch], last: int | None) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
         """What is complete, formatted, and the rest; `last`: rows that belong to a conversation that may go on."""
@@ -153,7 +153,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         if held:
             yield build(held, None)[0]
 
-    schema = rows.select(F.col("_conv").alias(conv)).withColumns({
+    schema = rows.select(F.col("_llm_conv").alias(conv)).withColumns({
         "n_turns": F.lit(0).cast("long"), "formatted": F.lit(""),
         "loss_mask": F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"))),
     }).schema

@@ -256,18 +256,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     under null; repeated rows count once, with the highest values; an empty benchmark or no documents give no rows; other columns play no part.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).cast("binary").alias("_body"))
+    source = docs.select(F.col(key).alias("_llm_key"), F.col(text).alias("_llm_text"))
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_llm_item"), F.col(item_text).cast("binary").alias("_llm_body"))
     blocks = max(1, -(-items.count() // BLOCK))
-    kind = items.select(F.col("_item").alias(item)).schema
-    schema = source.select(F.col("_key").alias(key)).withColumns({item: F.lit(None).cast(kind[0].dataType), "cosine": F.lit(0.0), "in_order": F.lit(0.0)}).schema
+    kind = items.select(F.col("_llm_item").alias(item)).schema
+    schema = source.select(F.col("_llm_key").alias(key)).withColumns({item: F.lit(None).cast(kind[0].dataType), "cosine": F.lit(0.0), "in_order": F.lit(0.0)}).schema
     out = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("_item", "_body"), F.lit(blocks)) == k).collect()
-        parts = Parts.of(sorted(((r["_item"], bytes(r["_body"])) for r in rows), key=str))
+        rows = items.where(F.pmod(F.xxhash64("_llm_item", "_llm_body"), F.lit(blocks)) == k).collect()
+        parts = Parts.of(sorted(((r["_llm_item"], bytes(r["_llm_body"])) for r in rows), key=str))
         if not parts.items:
             continue
-        space = latent_space(source, parts, "_text")
+        space = latent_space(source, parts, "_llm_text")
         ship = spark.sparkContext.broadcast(space)
 
         def run(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
@@ -289,8 +289,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no benchmark text, with all their columns; rows with a null key stay."""
-    gone = contaminated(docs, benchmark, key, text, item, item_text).select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = contaminated(docs, benchmark, key, text, item, item_text).select(F.col(key).alias("_llm_gone")).where("_llm_gone is not null").distinct()
+    return docs.join(gone, F.col(key) == F.col("_llm_gone"), "left_anti")
 
 
 __all__ = ["Parts", "Space", "clean", "contaminated", "held_parts", "longest_common"]

@@ -229,7 +229,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def _labelled(docs: DataFrame, model: Model, text: str, with_spans: bool) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "spans")]
-    source = docs.select(F.col(text).alias("_body"), *(F.col(f"`{c}`") for c in kept))
+    source = docs.select(F.col(text).alias("_llm_body"), *(F.col(f"`{c}`") for c in kept))
     ship = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     step = max(50_000, STEP_BYTES * 8 // max(8, len(model.languages)))
@@ -247,7 +247,7 @@ def _labelled(docs: DataFrame, model: Model, text: str, with_spans: bool) -> Dat
             more = [pa.array(found, span)] if with_spans else []
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate(shares)), *more], names=[*kept, "lang_pred", "score", *["spans"] * with_spans])
 
-    schema = source.drop("_body").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
+    schema = source.drop("_llm_body").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
     if with_spans:
         schema = schema.withColumn("spans", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"), F.lit("").alias("lang"))))
     return source.mapInArrow(run, schema.schema)

@@ -61,18 +61,18 @@ def mix(
     same number, so repeated rows are repeated alike; no documents give no rows; input columns named like a result
     (`size source_size target copies taken`) are replaced.
     """
-    sized = docs.select("*", word_count(F.col(text)).alias("_words"), F.col(source).alias("_of"))
-    sizes = sized.groupBy(F.col("_of").alias("source")).agg(F.sum("_words").alias("source_size"))
+    sized = docs.select("*", word_count(F.col(text)).alias("_llm_words"), F.col(source).alias("_llm_of"))
+    sizes = sized.groupBy(F.col("_llm_of").alias("source")).agg(F.sum("_llm_words").alias("source_size"))
     targets = cut_lineage(source_targets(sizes, weights, share_percent, max_times)).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("source").alias("_llm_source"), F.col("source_size").alias("_llm_source_size"), F.col("target").alias("_llm_target")
     )
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    rate = F.when(F.col("_llm_source_size") > 0, F.col("_llm_target") / F.col("_llm_source_size")).otherwise(0.0)
     copies = F.floor(rate) + F.when(uniform(seed, F.col(key)) < rate - F.floor(rate), 1).otherwise(0)
-    joined = sized.join(targets, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("_copies", copies.cast("int"))
+    joined = sized.join(targets, F.col("_llm_of").eqNullSafe(F.col("_llm_source"))).withColumn("_llm_copies", copies.cast("int"))
     keep = [c for c in docs.columns if c.lower() not in RESULT]
     return joined.select(
-        *(F.col(f"`{c}`") for c in keep), F.col("_words").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_words") * F.col("_copies")).alias("taken"),
+        *(F.col(f"`{c}`") for c in keep), F.col("_llm_words").alias("size"), F.col("_llm_source_size").alias("source_size"),
+        F.col("_llm_target").alias("target"), F.col("_llm_copies").alias("copies"), (F.col("_llm_words") * F.col("_llm_copies")).alias("taken"),
     )
 
 

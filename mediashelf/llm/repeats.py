@@ -274,9 +274,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     kept = [c for c in docs.columns if c.lower() not in (*RESULT, "removed")]
-    marked = docs.select(*(F.col(f"`{c}`") for c in kept), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_sha"))
-    key = F.unhex(F.substring("_sha", 1, 32))
-    texts = _bucketed(docs.select(F.sha2(body, 256).alias("_sha"), body.alias("body")).select(key.alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")))
+    marked = docs.select(*(F.col(f"`{c}`") for c in kept), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_llm_sha"))
+    key = F.unhex(F.substring("_llm_sha", 1, 32))
+    texts = _bucketed(docs.select(F.sha2(body, 256).alias("_llm_sha"), body.alias("body")).select(key.alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")))
     ranges = repeated(texts.select("key", "body"), length)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +299,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")))
     copied = texts.where((F.col("copies") > 1) & (size >= length)).select("key", size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept"), whole.alias("removed"))
     changed = cut_lineage(single.union(copied))
-    joined = marked.withColumn("_key", key).join(changed, F.col("_key") == F.col("key"), "left")
+    joined = marked.withColumn("_llm_key", key).join(changed, F.col("_llm_key") == F.col("key"), "left")
     none = F.lit(0).cast("long")
     return joined.select(
         *(F.col(f"`{c}`") for c in kept), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept", "_sha").alias("kept_sha256"), "removed",
+        F.coalesce("kept", "_llm_sha").alias("kept_sha256"), "removed",
     )
 
 

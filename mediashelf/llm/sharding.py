@@ -49,32 +49,32 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     weight = F.octet_length(body).cast("long") + 16 if size is None else size
     marked = docs.select(
         *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT),
-        weight.alias("size"), F.crc32(body).alias("text_crc32"), together.alias("_group"), F.xxhash64(key, text).alias("_at"),
+        weight.alias("size"), F.crc32(body).alias("text_crc32"), together.alias("_llm_group"), F.xxhash64(key, text).alias("_llm_at"),
     )
-    groups = cut_lineage(marked.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    groups = cut_lineage(marked.groupBy("_llm_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     total = groups.agg(F.sum("bytes")).head()[0] or 0
     most = shards * bundles
     large = F.col("bytes") * most > F.lit(total)
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("_group"), F.lit(most)).cast("string"))
-    units = groups.groupBy(F.when(large, F.col("_group")).otherwise(bundle).alias("_unit")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("_llm_group"), F.lit(most)).cast("string"))
+    units = groups.groupBy(F.when(large, F.col("_llm_group")).otherwise(bundle).alias("_llm_unit")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [row for b in batches for row in zip(b["_unit"], b["bytes"], b["rows"], strict=True)]
+        held = [row for b in batches for row in zip(b["_llm_unit"], b["bytes"], b["rows"], strict=True)]
         rows = {u: n for u, _, n in held}
-        out = pd.DataFrame(longest_first(held, shards), columns=["_unit", "_shard", "_first"])
-        yield out.assign(_chunks=[-(-rows[u] // CHUNK_ROWS) for u in out["_unit"]])
+        out = pd.DataFrame(longest_first(held, shards), columns=["_llm_unit", "_llm_shard", "_llm_first"])
+        yield out.assign(**{"_llm_chunks": [-(-rows[u] // CHUNK_ROWS) for u in out["_llm_unit"]]})
 
-    placed = cut_lineage(units.coalesce(1).mapInPandas(place, "_unit string, _shard int, _first long, _chunks int"))
-    alone = F.broadcast(groups.where(large).select(F.col("_group"), F.lit(True).alias("_alone")))
-    rows = marked.join(alone, "_group", "left").withColumn("_unit", F.when(F.col("_alone"), F.col("_group")).otherwise(bundle)).drop("_alone", "_group")
-    rows = rows.join(F.broadcast(placed), "_unit").withColumn("_chunk", F.pmod("_at", "_chunks"))
-    counts = rows.groupBy("_unit", "_chunk").agg(F.count("*").alias("n"), F.first("_first").alias("_first"))
-    earlier = Window.partitionBy("_unit").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_unit", "_chunk", (F.col("_first") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_start"))
-    within = Window.partitionBy("_unit", "_chunk").orderBy(F.col(key), "text_crc32", "size")
-    numbered = rows.drop("_first", "_chunks").join(starts, ["_unit", "_chunk"]).withColumn("slot", F.col("_start") + F.row_number().over(within) - 1)
+    placed = cut_lineage(units.coalesce(1).mapInPandas(place, "_llm_unit string, _llm_shard int, _llm_first long, _llm_chunks int"))
+    alone = F.broadcast(groups.where(large).select(F.col("_llm_group"), F.lit(True).alias("_llm_alone")))
+    rows = marked.join(alone, "_llm_group", "left").withColumn("_llm_unit", F.when(F.col("_llm_alone"), F.col("_llm_group")).otherwise(bundle)).drop("_llm_alone", "_llm_group")
+    rows = rows.join(F.broadcast(placed), "_llm_unit").withColumn("_llm_chunk", F.pmod("_llm_at", "_llm_chunks"))
+    counts = rows.groupBy("_llm_unit", "_llm_chunk").agg(F.count("*").alias("n"), F.first("_llm_first").alias("_llm_first"))
+    earlier = Window.partitionBy("_llm_unit").orderBy("_llm_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_llm_unit", "_llm_chunk", (F.col("_llm_first") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_llm_start"))
+    within = Window.partitionBy("_llm_unit", "_llm_chunk").orderBy(F.col(key), "text_crc32", "size")
+    numbered = rows.drop("_llm_first", "_llm_chunks").join(starts, ["_llm_unit", "_llm_chunk"]).withColumn("slot", F.col("_llm_start") + F.row_number().over(within) - 1)
     keep = [c for c in docs.columns if c.lower() not in RESULT]
     return numbered.select(
-        *(F.col(f"`{c}`") for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"),
+        *(F.col(f"`{c}`") for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_llm_shard").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

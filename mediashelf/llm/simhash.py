@@ -47,21 +47,21 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, lanes: int =
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", *, words: int = 3, seed: int = 42, lanes: int = 1, repeats: bool = True, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """(the columns in `keep`, default all, _fp array<long> of the lanes); the text is read once, batch by batch."""
+    """(the columns in `keep`, default all, _llm_fp array<long> of the lanes); the text is read once, batch by batch."""
     kept = [c for c in docs.columns if keep is None or c in keep]
-    source = docs.select(F.col(text).cast("binary").alias("_body"), *(F.col(f"`{c}`") for c in kept))
-    schema = source.drop("_body").withColumn("_fp", F.array(F.lit(0).cast("long"))).schema
+    source = docs.select(F.col(text).cast("binary").alias("_llm_body"), *(F.col(f"`{c}`") for c in kept))
+    schema = source.drop("_llm_body").withColumn("_llm_fp", F.array(F.lit(0).cast("long"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = pa.array((fingerprint(x.as_py(), words, seed, lanes, repeats) for x in b.column(0)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], prints], names=[*kept, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], prints], names=[*kept, "_llm_fp"])
 
     return source.mapInArrow(run, schema)
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints (column _fp, each once) that connect all pairs at two or fewer bits.
+    """(a, b): links between different fingerprints (column _llm_fp, each once) that connect all pairs at two or fewer bits.
 
     The 64 bits are two segments of 32. For each segment the ball of radius 1 around its value is enumerated, the other
     segment as it is: 65 keys with the fingerprint itself. Two fingerprints at distance 2 meet at two keys (flip one of the two bits in one, the other
@@ -70,10 +70,10 @@ def links(prints: DataFrame) -> DataFrame:
     The complete distance is verified all the same.
     """
     segments = [[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(low, low + 32)] for low in (0, 32)]
-    ball = F.array(F.col("_fp"), *(F.col("_fp").bitwiseXOR(flip) for flips in segments for flip in flips))
-    near = prints.select("_fp", F.explode(ball).alias("key"))
-    fetched = near.select("_fp", F.lag("_fp").over(Window.partitionBy("key").orderBy("_fp")).alias("before"))
-    return fetched.where(F.col("before").isNotNull()).where(distance("_fp", "before") <= 2).select(F.col("before").alias("a"), F.col("_fp").alias("b")).distinct()
+    ball = F.array(F.col("_llm_fp"), *(F.col("_llm_fp").bitwiseXOR(flip) for flips in segments for flip in flips))
+    near = prints.select("_llm_fp", F.explode(ball).alias("key"))
+    fetched = near.select("_llm_fp", F.lag("_llm_fp").over(Window.partitionBy("key").orderBy("_llm_fp")).alias("before"))
+    return fetched.where(F.col("before").isNotNull()).where(distance("_llm_fp", "before") <= 2).select(F.col("before").alias("a"), F.col("_llm_fp").alias("b")).distinct()
 
 
 def distance(a: str, b: str) -> Column:
@@ -90,14 +90,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     Null, empty and blank texts have fingerprint zero and are linked like others; null keys never name a component (its id is
     null only if all its keys are); repeated rows give repeated rows; no documents give no rows; other columns play no part.
     """
-    marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, keep=(key,)).withColumn("_fp", F.col("_fp")[0]))
-    nodes = cut_lineage(marked.groupBy("_fp").agg(F.min(key).alias("_least")))
+    marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, keep=(key,)).withColumn("_llm_fp", F.col("_llm_fp")[0]))
+    nodes = cut_lineage(marked.groupBy("_llm_fp").agg(F.min(key).alias("_llm_least")))
     roots = components(cut_lineage(links(nodes)))
-    rooted = cut_lineage(nodes.join(roots, nodes["_fp"] == roots["node"]).select("_fp", "root", "_least"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("_id")), "root").select("_fp", "_id")
-    known = nodes.join(named, "_fp", "left").select("_fp", F.when(F.col("_id").isNull(), F.col("_least")).otherwise(F.col("_id")).alias("component_id"))
-    joined = marked.join(known, "_fp")
-    return joined.select(key, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = cut_lineage(nodes.join(roots, nodes["_llm_fp"] == roots["node"]).select("_llm_fp", "root", "_llm_least"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("_llm_least").alias("_llm_id")), "root").select("_llm_fp", "_llm_id")
+    known = nodes.join(named, "_llm_fp", "left").select("_llm_fp", F.when(F.col("_llm_id").isNull(), F.col("_llm_least")).otherwise(F.col("_llm_id")).alias("component_id"))
+    joined = marked.join(known, "_llm_fp")
+    return joined.select(key, F.lpad(F.lower(F.hex("_llm_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, seed: int = 42, lanes: int = LANES, indexed: int = INDEXED, most: int = MOST) -> DataFrame:
@@ -111,18 +111,18 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank texts are alike.
     """
     marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, lanes=lanes, repeats=False, keep=(key,)).where(F.col(key).isNotNull()))
-    nodes = cut_lineage(marked.groupBy("_fp").agg(F.min(key).alias("node")))
+    nodes = cut_lineage(marked.groupBy("_llm_fp").agg(F.min(key).alias("node")))
     bits = [F.lit(1 << b) for b in range(32)]
     low = F.lit((1 << 32) - 1)
-    segments = [part for k in range(indexed) for part in (F.col("_fp")[k].bitwiseAND(low), F.shiftrightunsigned(F.col("_fp")[k], 32))]
+    segments = [part for k in range(indexed) for part in (F.col("_llm_fp")[k].bitwiseAND(low), F.shiftrightunsigned(F.col("_llm_fp")[k], 32))]
     keys = F.concat(*(F.array(*(F.lit(i << 32).bitwiseOR(part.bitwiseXOR(flip)) for flip in (F.lit(0), *bits))) for i, part in enumerate(segments)))
     near = nodes.select("node", F.explode(keys).alias("key"))
     met = near.select("node", F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("before")).where(F.col("before").isNotNull()).distinct()
-    ends = met.join(nodes.select(F.col("node"), F.col("_fp").alias("x")), "node").join(nodes.select(F.col("node").alias("before"), F.col("_fp").alias("y")), "before")
+    ends = met.join(nodes.select(F.col("node"), F.col("_llm_fp").alias("x")), "node").join(nodes.select(F.col("node").alias("before"), F.col("_llm_fp").alias("y")), "before")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, lanes)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
     roots = components(cut_lineage(ends.where(apart <= most).select(F.col("before").alias("a"), F.col("node").alias("b"))))
-    named = nodes.join(roots.select("node", "root"), "node", "left").select("_fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "_fp").select(key, "component_id")
+    named = nodes.join(roots.select("node", "root"), "node", "left").select("_llm_fp", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(named, "_llm_fp").select(key, "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
@@ -130,5 +130,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: in
 
     Documents with a null key aren't told apart and stay; of rows repeated with one key, all stay.
     """
-    groups = cut_lineage(similar(docs, key, text, **how).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    return docs.join(groups, F.col(key) == F.col("_gone"), "left_anti")
+    groups = cut_lineage(similar(docs, key, text, **how).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_llm_gone")).distinct())
+    return docs.join(groups, F.col(key) == F.col("_llm_gone"), "left_anti")

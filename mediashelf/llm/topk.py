@@ -26,7 +26,7 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     """(id, v array<long>): floor(scale * x) of each component; rows with a null or non-finite component, null vectors and null keys are left out."""
     x = F.transform(vector, lambda c: c.cast("double"))
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"), whole.alias("_whole")).where("_whole and id is not null").drop("_whole")
+    return vectors.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"), whole.alias("_llm_whole")).where("_llm_whole and id is not null").drop("_llm_whole")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -211,11 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     channel = Channel(letter_counts(docs, text))
     use = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    use = (use if where is None else use.where(where)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    use = (use if where is None else use.where(where)).groupBy(key).agg(F.max(label).cast("int").alias("_llm_label"))
     rows = use.count()
     share = min(1.0, fit_rows / max(rows, 1))
-    picked = use.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).withColumnRenamed(key, "_key")
-    sample = docs.select(F.col(key).alias("_key"), text).join(F.broadcast(picked), "_key").select("_label", text)
+    picked = use.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).withColumnRenamed(key, "_llm_key")
+    sample = docs.select(F.col(key).alias("_llm_key"), text).join(F.broadcast(picked), "_llm_key").select("_llm_label", text)
     ship = spark.sparkContext.broadcast(channel)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 for r in np.unique(once // BUCKETS):
                     yield pa.RecordBatch.from_arrays([pa.array([(once[once // BUCKETS == r] % BUCKETS).tolist()], pa.list_(pa.int32()))], names=["has"])
 
-    held = [set(map(int, x)) for x in sample.where("_label = 1").select(text).mapInArrow(hits, "has array<int>").toPandas()["has"]]
+    held = [set(map(int, x)) for x in sample.where("_llm_label = 1").select(text).mapInArrow(hits, "has array<int>").toPandas()["has"]]
     where_found: dict[int, set[int]] = {}
     for i, has in enumerate(held):
         for g in has:
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts have nothing against them and get the score of a text without any telling sequence.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    source = docs.select(F.col(text).alias("_body"), *(F.col(f"`{c}`") for c in kept))
+    source = docs.select(F.col(text).alias("_llm_body"), *(F.col(f"`{c}`") for c in kept))
     ship = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = np.concatenate([ship.value.scores(texts) for _, texts in steps(b.column(0))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    schema = source.drop("_body").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    schema = source.drop("_llm_body").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return source.mapInArrow(run, schema)
 
 

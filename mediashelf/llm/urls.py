@@ -119,26 +119,26 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", *, rule
     host, path = host_and_path(F.col(url))
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parsed = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path")).withColumns({"_names": pieces(F.col("host")), "_words": pieces(F.col("path"))})
-    marked = parsed.withColumn("_list", F.concat(F.array_join("_names", " "), F.lit("/"), F.array_join("_words", " ")))
+    parsed = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path")).withColumns({"_llm_names": pieces(F.col("host")), "_llm_words": pieces(F.col("path"))})
+    marked = parsed.withColumn("_llm_list", F.concat(F.array_join("_llm_names", " "), F.lit("/"), F.array_join("_llm_words", " ")))
 
-    lists = cut_lineage(marked.select("_list", "_names", "_words").groupBy("_list").agg(F.first("_names").alias("_names"), F.first("_words").alias("_words"), F.count("*").alias("n")))
-    names = lists.select(F.explode("_names").alias("name")).distinct()
+    lists = cut_lineage(marked.select("_llm_list", "_llm_names", "_llm_words").groupBy("_llm_list").agg(F.first("_llm_names").alias("_llm_names"), F.first("_llm_words").alias("_llm_words"), F.count("*").alias("n")))
+    names = lists.select(F.explode("_llm_names").alias("name")).distinct()
     split = cut_lineage(segment(names, cut_lineage(unigrams(pages, url, html))))
-    in_host = lists.select("_list", "n", F.explode("_names").alias("name")).join(split, "name").select("_list", "n", F.explode("parts").alias("token"), F.lit(True).alias("host"))
-    in_path = lists.select("_list", "n", F.explode("_words").alias("token"), F.lit(False).alias("host"))
+    in_host = lists.select("_llm_list", "n", F.explode("_llm_names").alias("name")).join(split, "name").select("_llm_list", "n", F.explode("parts").alias("token"), F.lit(True).alias("host"))
+    in_path = lists.select("_llm_list", "n", F.explode("_llm_words").alias("token"), F.lit(False).alias("host"))
     tokens = cut_lineage(in_host.union(in_path))
-    blocked = tokens.groupBy("_list").agg(F.max(F.col("host") & F.col("token").isin(*marks)).alias("bad"))
-    classed = tokens.join(blocked, "_list")
+    blocked = tokens.groupBy("_llm_list").agg(F.max(F.col("host") & F.col("token").isin(*marks)).alias("bad"))
+    classed = tokens.join(blocked, "_llm_list")
     counts = classed.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
     counts = cut_lineage(counts)
     sums = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("words")).head()
-    urls = lists.join(blocked, "_list", "left").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")).head()
+    urls = lists.join(blocked, "_llm_list", "left").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")).head()
     bad, of = urls["bad"] or 0, urls["all"] or 0
     weight = counts.select("token", (F.log((F.col("bad") + 1) / (sums["bad"] + sums["words"] + 1)) - F.log((F.col("good") + 1) / (sums["good"] + sums["words"] + 1))).alias("w"))
     prior = F.log(F.lit((bad + 1) / (of - bad + 1)))
-    odds = tokens.join(weight, "token").groupBy("_list").agg((F.sum("w") + prior).alias("_odds"))
-    verdicts = cut_lineage(odds.select(F.col("_list").alias("_of"), (F.col("_odds") > 0).alias("_block")))
-    joined = marked.join(verdicts, F.col("_list") == F.col("_of"), "left")
-    own = F.when(F.col("_block"), F.lit("block")).otherwise(F.lit("allow"))
+    odds = tokens.join(weight, "token").groupBy("_llm_list").agg((F.sum("w") + prior).alias("_llm_odds"))
+    verdicts = cut_lineage(odds.select(F.col("_llm_list").alias("_llm_of"), (F.col("_llm_odds") > 0).alias("_llm_block")))
+    joined = marked.join(verdicts, F.col("_llm_list") == F.col("_llm_of"), "left")
+    own = F.when(F.col("_llm_block"), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select(*(F.col(f"`{c}`") for c in kept), "host", "path", rule.alias("rule"), F.coalesce(ruled, own).alias("verdict"))
