@@ -80,7 +80,7 @@ def anchors(body: bytes, length: int, k: int, seed: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def pieces(body: bytes, wanted: np.ndarray, length: int, k: int, seed: int) -> Iterator[tuple[int, int, int, bool]]:
+def pieces(body: bytes, wanted: np.ndarray, length: int, k: int, seed: int, most: int = PIECE) -> Iterator[tuple[int, int, int, bool]]:
     """(first string, number of strings, anchor, whether it stands there twice) of runs of neighbouring strings that have one anchor, if it is wanted."""
     wanted = np.sort(wanted)
     for at, data in parts(body, length):
@@ -90,8 +90,8 @@ def pieces(body: bytes, wanted: np.ndarray, length: int, k: int, seed: int) -> I
         value, n = least[cut], np.diff(np.append(cut, len(least)))
         found = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value if len(wanted) else np.zeros(len(cut), bool)
         for s, m, v in zip(cut[found].tolist(), n[found].tolist(), value[found].tolist(), strict=True):
-            for first in range(s, s + m, PIECE):
-                some = min(PIECE, s + m - first)
+            for first in range(s, s + m, most):
+                some = min(most, s + m - first)
                 yield at + first, some, v, bool(np.count_nonzero(h[first : first + some + width - 1] == v) > 1)
 
 
@@ -199,7 +199,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, done: int = 0) -> DataFrame
     4. An anchor with more bytes of pieces than a block holds is cut anew by another hash, and in the last round to single strings, which
        leaves nothing to index: no anchor's pieces ever have to meet in one task.
     """
-    k, seed = (ANCHOR, 101 + done) if done < ROUNDS else (length, 0)
+    k, seed, most = (ANCHOR, 101 + done, PIECE) if done < ROUNDS else (length, 0, 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,7 +212,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, done: int = 0) -> DataFrame
             rows: list[tuple] = []
             for key, body, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 body = body.as_py()
-                for s, n, v, twice in pieces(body, wanted.values.to_numpy(), length, k, seed):
+                for s, n, v, twice in pieces(body, wanted.values.to_numpy(), length, k, seed, most):
                     piece = body[s : s + n + length - 1]
                     rows.append((key, s, n, v, twice, hashlib.blake2b(piece, digest_size=16).digest(), piece))
                 if len(rows) > 20_000:
