@@ -167,7 +167,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Colum
                     mine[BUCKETS:] += [(kinds == 1 << i).sum() for i in range(16)]
         for name, mine in counts.items():
             at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(mine[at])], names=["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "at", "n"])
 
     found = sample.mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
