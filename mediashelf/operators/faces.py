@@ -126,8 +126,9 @@ def assign_faces(
     raw = F.col("face_id")
     new = new_faces.withColumn("_det", in_photo).withColumn("_raw", raw)
     new = new.withColumn("face_id", F.concat(F.lit("n:"), raw.cast("string")))
-    # at most 1024 faces per photo, so (file, detection) orders a user without sorting one
-    new = cut_lineage(new.withColumn("seq", F.col("file_seq").cast("long") * 1024 + F.col("_det")))
+    # (file, detection) orders a user without sorting one; the fullest photo says how far apart files must be
+    most = new.agg(F.max("_det")).head()[0] or 0
+    new = cut_lineage(new.withColumn("seq", F.col("file_seq").cast("long") * (most + 1) + F.col("_det")))
     known = known_faces.withColumns(
         {"face_id": F.concat(F.lit("k:"), raw.cast("string")), "person_id": F.col("person_id").cast("string")}
     )

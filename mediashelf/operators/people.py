@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_and_count, cut_lineage
 from .library import top_k, under
 
 PERSON = ["user_id", "person_id"]
@@ -117,19 +117,26 @@ def name_conflicts(people: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- aliases and merges
-def compress_aliases(alias: DataFrame, rounds: int = 4) -> DataFrame:
+def compress_aliases(alias: DataFrame) -> DataFrame:
     """Follow merge chains src -> dst to their end by pointer jumping.
 
-    Each round doubles the reach, so four rounds follow 16 links. Several merges
-    of one source keep the newest.
+    Each round doubles the reach and is written; rounds end when nothing moves. Several merges of one source keep the newest,
+    a merge into itself counts for nothing. Chains that still move when they would have passed every alias run in a circle: an error.
     """
-    newest = alias.groupBy("user_id", "src").agg(F.max_by("dst", F.struct("ts", "dst")).alias("dst"))
-    for _ in range(rounds):
-        ahead = newest.select("user_id", F.col("src").alias("dst"), F.col("dst").alias("_further"))
-        newest = newest.join(ahead, ["user_id", "dst"], "left").select(
-            "user_id", "src", F.coalesce("_further", "dst").alias("dst")
+    newest = alias.filter("src <> dst").groupBy("user_id", "src").agg(F.max_by("dst", F.struct("ts", "dst")).alias("dst"))
+    now, n = cut_and_count(newest, F.lit(True))
+    reach = 1
+    while True:
+        ahead = now.select("user_id", F.col("src").alias("dst"), F.col("dst").alias("_further"))
+        step = now.join(ahead, ["user_id", "dst"], "left").select(
+            "user_id", "src", F.coalesce("_further", "dst").alias("dst"), F.col("_further").isNotNull().alias("_moved")
         )
-    return newest
+        now, moved = cut_and_count(step, F.col("_moved"))
+        now, reach = now.drop("_moved"), reach * 2
+        if not moved:
+            return now
+        if reach > 2 * n:
+            raise ValueError("merges form a circle")
 
 
 def resolve_alias(faces: DataFrame, alias: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import SMALL_BATCH, collect_small
+from ..session import SMALL_BATCH, collect_small, cut_lineage
 from .library import top_k
 
 SPACE = ["user_id", "embed_model"]
@@ -126,7 +126,7 @@ def search_blocks(
 
 
 def scan_blocks(
-    batch: list, index: DataFrame, n: int, space: list[str], allow: DataFrame | None = None, extra: tuple[str, ...] = ()
+    batch: list, qid_type: str, index: DataFrame, n: int, space: list[str], allow: DataFrame | None = None, extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per-partition top n for a small, already collected query batch: the index is scanned where it lies.
 
@@ -134,7 +134,6 @@ def scan_blocks(
     """
     asked = pd.DataFrame([r.asDict() for r in batch])
     types = {f.name: f.dataType.simpleString() for f in index.schema}
-    qid_type = "bigint" if asked["query_id"].map(lambda v: isinstance(v, int)).all() else "string"
     schema = f"query_id {qid_type}, file_hash {types['file_hash']}, cos double"
     schema += "".join(f", {c} {types[c]}" for c in extra)
     shared = index.sparkSession.sparkContext.broadcast({k: g for k, g in asked.groupby(space)})
@@ -186,19 +185,21 @@ def vector_search(
         asked = [c for c in ("query_id", *space, "embedding", "filtered") if c in queries.columns]
         batch = collect_small(queries.select(*asked), small_batch)
     if batch:
-        partial = scan_blocks(batch, index, n, space, allow, extra)
+        partial = scan_blocks(batch, queries.schema["query_id"].dataType.simpleString(), index, n, space, allow, extra)
     else:
         partial = search_blocks(queries, index, n, space, allow=allow, extra=extra)
     return top_k(partial, ["query_id"], [F.desc("cos"), F.asc("file_hash")], n, rank="rank")
 
 
 def vector_search_approx(
-    queries: DataFrame, index: DataFrame, n: int, tables: int = 8, bits: int = 6, seed: int = 7
+    queries: DataFrame, index: DataFrame, n: int, tables: int = 6, bits: int = 6, radius: int = 2, seed: int = 7
 ) -> DataFrame:
     """Approximate search by random-hyperplane hashing; same output as `vector_search`.
 
-    A vector's bucket in each table is the sign pattern of `bits` random projections. Buckets become part of the
-    block key of the exact search, so a full bucket is split like any other busy group.
+    A vector's bucket in each table is the sign pattern of `bits` random projections. A query also probes the buckets whose
+    pattern differs in up to `radius` signs: even neighbours at a cosine of 0.4 are then found with a probability of about
+    0.99, closer ones more surely. Buckets become part of the block key of the exact search, so a full bucket is split like any
+    other busy group. Queries left with fewer than n hits are searched exactly, so none gets fewer than there are.
     """
     dim_row = index.select(F.size("embedding").alias("d")).head()
     if dim_row is None:
@@ -214,10 +215,15 @@ def vector_search_approx(
     def hashed(df: DataFrame, *cols: str) -> DataFrame:
         return df.select(*cols, *SPACE, "embedding", F.posexplode(buckets("embedding")).alias("_table", "_bucket"))
 
+    flips = F.array(*(F.lit(m) for m in range(1 << bits) if m.bit_count() <= radius))
     q, x = hashed(queries, "query_id"), hashed(index, "file_hash")
+    q = q.withColumn("_flip", F.explode(flips)).withColumn("_bucket", F.col("_bucket").bitwiseXOR(F.col("_flip"))).drop("_flip")
     found = search_blocks(q, x, n, [*SPACE, "_table", "_bucket"])
-    once = found.groupBy("query_id", "file_hash").agg(F.max("cos").alias("cos"))
-    return top_k(once, ["query_id"], [F.desc("cos"), F.asc("file_hash")], n, rank="rank")
+    once = cut_lineage(found.groupBy("query_id", "file_hash").agg(F.max("cos").alias("cos")))
+    served = once.groupBy("query_id").agg(F.count("*").alias("_hits")).filter(F.col("_hits") >= n)
+    short = queries.join(served, "query_id", "left_anti")
+    best = top_k(once.join(served.select("query_id"), "query_id", "left_semi"), ["query_id"], [F.desc("cos"), F.asc("file_hash")], n, rank="rank")
+    return best.unionByName(vector_search(short, index, n))
 
 
 def lookup_vectors(keys: DataFrame, index: DataFrame) -> DataFrame:

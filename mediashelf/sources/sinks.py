@@ -60,34 +60,44 @@ def replace_documents(passages: DataFrame, new: DataFrame) -> DataFrame:
     return passages.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def apply_patch(files: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
+def apply_patch(files: DataFrame, patches: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Overwrite only the fields a patch names.
 
     `patches` has the keys, a column `fields` (array of field names present) and nullable value columns: a
-    named field may be set to null, an unnamed one stays.
+    named field may be set to null, an unnamed one stays. Of several patches of a key that name a field the one last by `order`, a
+    further column, counts (without it, or where it ties, the greatest value).
     """
-    values = [c for c in patches.columns if c not in (*keys, "fields")]
+    values = [c for c in patches.columns if c not in (*keys, "fields", order)]
     unknown = set(values) - set(files.columns)
     if unknown:
         raise ValueError(f"not file columns: {sorted(unknown)}")
-    p = patches.select(*keys, F.col("fields").alias("_fields"), *[F.col(c).alias(f"_p_{c}") for c in values])
+    at = F.lit(0) if order is None else F.col(order)
+
+    def last(c: str) -> Column:
+        return F.max(F.when(F.array_contains("fields", c), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(f"_p_{c}")
 
     def patched(c: str) -> Column:
-        present = F.coalesce(F.array_contains("_fields", c), F.lit(False))
-        return F.when(present, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c)
+        return F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}")["value"]).otherwise(F.col(c)).alias(c)
 
+    p = patches.groupBy(*keys).agg(*map(last, values)) if values else patches.select(*keys).distinct()
     return files.join(p, keys, "left").select(*[patched(c) if c in values else F.col(c) for c in files.columns])
 
 
 def patch_people(people: DataFrame, patches: DataFrame) -> DataFrame:
     """Rename (trimmed, 60 characters, empty clears) and/or hide. Absent fields stay.
 
-    `patches`: user_id, person_id, has_name, new_name, new_hidden (null = unchanged).
+    `patches`: user_id, person_id, has_name, new_name, new_hidden (null = unchanged), and `ts` if a person may have several: per
+    field the last one counts (without ts, or where it ties, the greatest value).
     """
     from ..functions.text import strip
 
     clean = F.nullif(F.substring(strip(F.col("new_name")), 1, 60), F.lit(""))
-    return people.join(patches, ["user_id", "person_id"], "left").select(
+    at = F.col("ts") if "ts" in patches.columns else F.lit(0)
+    named = F.max(F.when(F.col("has_name"), F.struct(at.alias("at"), F.col("new_name").alias("value"))))
+    hidden = F.max(F.when(F.col("new_hidden").isNotNull(), F.struct(at.alias("at"), F.col("new_hidden").alias("value"))))
+    once = patches.groupBy("user_id", "person_id").agg(named.alias("_named"), hidden.alias("_hidden"))
+    once = once.select("user_id", "person_id", F.col("_named").isNotNull().alias("has_name"), F.col("_named")["value"].alias("new_name"), F.col("_hidden")["value"].alias("new_hidden"))
+    return people.join(once, ["user_id", "person_id"], "left").select(
         *[
             F.when(F.coalesce("has_name", F.lit(False)), clean).otherwise(F.col("name")).alias("name")
             if c == "name"

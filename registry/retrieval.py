@@ -42,9 +42,17 @@ def _(t, spark):
     return out.select("query_id", "file_hash", F.col("rank").cast("long").alias("rank"))
 
 
-@query("vector_search_approx")
+@query(
+    "vector_search_approx",
+    "select q.query_id, true as complete, true as recalled from vector_queries q where exists (select 1 from image_index i where i.user_id = q.user_id and i.embed_model = q.embed_model)",
+    VQ,
+)
 def _(t, spark):
-    return vs.vector_search_approx(t("vector_queries"), t("image_index"), 10)
+    """Per query whether it got as many hits as the exact search, and nine tenths of the same ones."""
+    found = vs.vector_search_approx(t("vector_queries"), t("image_index"), 10).select("query_id", "file_hash", F.lit(1).alias("got"))
+    both = vs.vector_search(t("vector_queries"), t("image_index"), 10).select("query_id", "file_hash", F.lit(1).alias("best")).join(found, ["query_id", "file_hash"], "full_outer")
+    seen = both.groupBy("query_id").agg(F.sum("got").alias("got"), F.sum("best").alias("best"), F.sum(F.col("got") * F.col("best")).alias("common"))
+    return seen.select("query_id", (F.col("got") == F.col("best")).alias("complete"), (F.col("common") >= F.ceil(0.9 * F.col("best"))).alias("recalled"))
 
 
 @query("win_topk_per_query", f"with {TOPN} select query_id, file_hash, rank from vn where rank <= 5", VQ)

@@ -16,6 +16,7 @@ from mediashelf.operators import geocode, ingest, people, understand
 from mediashelf.operators import vector_search as vs
 from mediashelf.operators.library import list_files
 from mediashelf.plans.library_views import stream_view
+from mediashelf.sources import sinks
 from mediashelf.streaming import streams as st
 
 
@@ -97,6 +98,25 @@ def test_approximate_search_finds_most(spark):
     assert len(got & best) >= 18
 
 
+def test_approximate_search_on_ordinary_queries(spark):
+    rng = np.random.default_rng(10)
+    x, q = unit(rng, 800, 32), unit(rng, 40, 32)
+    di = spark.createDataFrame([(i % 2, "m", f"h{i}", v.tolist()) for i, v in enumerate(x)] + [(7, "m", "only", x[0].tolist())], "user_id int, embed_model string, file_hash string, embedding array<double>")
+    dq = spark.createDataFrame([(i, i % 2, "m", v.tolist()) for i, v in enumerate(q)] + [(99, 7, "m", q[0].tolist())], "query_id int, user_id int, embed_model string, embedding array<double>")
+    got = {(r.query_id, r.file_hash) for r in vs.vector_search_approx(dq, di, 10).collect()}
+    want = {(r.query_id, r.file_hash) for r in vs.vector_search(dq, di, 10).collect()}
+    assert len(got) == len(want) == 401 and len(got & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_query_ids_keep_their_type(spark, kind):
+    di = spark.createDataFrame([(1, "m", "h", [1.0, 0.0])], "user_id int, embed_model string, file_hash string, embedding array<double>")
+    dq = spark.sql(f"select cast(5 as {kind}) as query_id, 1 as user_id, 'm' as embed_model, array(1d, 0d) as embedding")
+    for small in (0, 100):
+        found = vs.vector_search(dq, di, 3, small_batch=small)
+        assert dict(found.dtypes)["query_id"] == kind and found.count() == 1
+
+
 # ---------------------------------------------------------------- names
 def test_similar_words_equal_all_pairs(spark):
     rnd = random.Random(3)
@@ -163,6 +183,35 @@ def test_alias_chains_of_ten(spark):
     assert got == {100: 10, 101: 10, 102: 50}
 
 
+def test_long_alias_chains_and_circles(spark):
+    links = [(1, i, i + 1, i) for i in range(40)] + [(1, 90, 90, 1)]
+    alias = spark.createDataFrame(links, "user_id int, src int, dst int, ts int")
+    assert {(r.src, r.dst) for r in people.compress_aliases(alias).collect()} == {(i, 40) for i in range(40)}
+    for n in (2, 3, 7):
+        circle = spark.createDataFrame([(1, i, (i + 1) % n, i) for i in range(n)] + [(1, 50, 0, 1)], "user_id int, src int, dst int, ts int")
+        with pytest.raises(ValueError, match="circle"):
+            people.compress_aliases(circle)
+
+
+def test_several_patches_of_a_key_give_one_row(spark):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "file_id int, name string, size int")
+    patches = spark.createDataFrame([(1, ["name"], "x", None, 1), (1, ["size"], None, 9, 2), (1, ["name"], None, None, 3), (3, ["name"], "z", None, 1)], "file_id int, fields array<string>, name string, size int, ts int")
+    assert sorted(map(tuple, sinks.apply_patch(base, patches, ["file_id"], "ts").collect())) == [(1, None, 9), (2, "b", 6)]
+    who = spark.createDataFrame([(1, 1, "Old", False)], "user_id int, person_id int, name string, hidden boolean")
+    renames = spark.createDataFrame([(1, 1, True, " A ", None, 1), (1, 1, False, None, True, 2), (1, 1, True, "B", None, 3)], "user_id int, person_id int, has_name boolean, new_name string, new_hidden boolean, ts int")
+    assert [tuple(r) for r in sinks.patch_people(who, renames).collect()] == [(1, 1, "B", True)]
+
+
+def test_a_photo_with_very_many_faces(spark):
+    rng = np.random.default_rng(3)
+    v = unit(rng, 1501, 48)
+    rows = [(1, 1, 1, f"f{i}", float(1500 - i), v[i].tolist()) for i in range(1500)] + [(1, 2, 2, "later", 1.0, v[700].tolist())]
+    new = spark.createDataFrame(rows, "user_id int, file_id int, file_seq int, face_id string, score double, embedding array<double>")
+    known = spark.createDataFrame([], "user_id int, file_id int, face_id string, person_id string, embedding array<double>")
+    got = {r.face_id: r.person_id for r in fc.assign_faces(new, known, threshold=0.9).collect()}
+    assert got["later"] == got["f700"] and len(set(got.values())) == 1500
+
+
 def test_pages_cover_everything_once(spark, lib):
     mine = lib("files").filter("user_id = 1")
     seen, cursor = [], None
