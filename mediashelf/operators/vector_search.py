@@ -192,7 +192,7 @@ def vector_search(
 
 
 def vector_search_approx(
-    queries: DataFrame, index: DataFrame, n: int, tables: int = 6, bits: int = 6, radius: int = 2, seed: int = 7
+    queries: DataFrame, index: DataFrame, n: int, tables: int = 10, bits: int = 6, radius: int = 2, seed: int = 7
 ) -> DataFrame:
     """Approximate search by random-hyperplane hashing; same output as `vector_search`.
 

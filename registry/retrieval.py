@@ -167,14 +167,14 @@ def _(t, spark):
     return hits.select("query_id", "file_hash", "chunk", F.round("bm25", 6).alias("bm25"))
 
 
-# images of the library carry the opening words of their document as keyword text
-IMG = "im as (select f.user_id, f.file_hash, array_to_string(f.tags, ' ') as tags, substring(u.text, 1, 200) as search_text from files f join uploads u on u.upload_id = f.file_id)"
+# images of the library carry the text of their document as keyword text
+IMG = "im as (select f.user_id, f.file_hash, array_to_string(f.tags, ' ') as tags, u.text as search_text from files f join uploads u on u.upload_id = f.file_id)"
 IMG_BM = f"{IMG}, {bm25_sql('im', 'tags', 'search_text', ['file_hash'])}"
 IQ = ("files", "uploads", "keyword_queries")
 
 
 def image_text(t):
-    body = t("uploads").select(F.col("upload_id").alias("file_id"), F.substring("text", 1, 200).alias("search_text"))
+    body = t("uploads").select(F.col("upload_id").alias("file_id"), F.col("text").alias("search_text"))
     return t("files").join(body, "file_id").select("user_id", "file_hash", "tags", "search_text")
 
 

@@ -120,7 +120,7 @@ def _(t, spark):
     return t("documents").select("doc_id", tx.snippet(F.col("text"), F.right("text", F.lit(30))).alias("snippet"))
 
 
-COVERAGE_SQL = rf"""with b as (select item_id, list_filter(list_distinct(string_split_regex(lower(substring(text, 1, 60)), '[^\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 2 and x not in ({STOP})) as terms from benchmark),
+COVERAGE_SQL = rf"""with b as (select item_id, list_filter(list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 2 and x not in ({STOP})) as terms from benchmark),
     d as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+')) as ws from documents),
     n as (select count(*) as n from benchmark)
     select doc_id, item_id, round(case when len(terms) = 0 then 1.0 else len(list_intersect(terms, ws)) / len(terms) end, 9) as coverage
@@ -129,7 +129,7 @@ COVERAGE_SQL = rf"""with b as (select item_id, list_filter(list_distinct(string_
 
 @query("str_term_coverage", COVERAGE_SQL)
 def _(t, spark):
-    b = t("benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
+    b = t("benchmark").select("item_id", F.col("text").alias("q"))
     d = t("documents").withColumn("item_id", F.col("doc_id") % b.count())
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(tx.term_coverage(F.col("q"), F.col("text")), 9).alias("coverage"))
 

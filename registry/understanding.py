@@ -40,8 +40,8 @@ def _(t, spark):
 
 
 KIND_VALUES = ", ".join(f"('{w}', '{k}', {i})" for i, (w, k) in enumerate(sorted(fv.KIND_WORDS.items(), key=lambda kv: -len(kv[0]))))
-# texts that mention kinds: the language and source of documents, spelled as queries
-KIND_TEXT = "concat(case when doc_id % 3 = 0 then 'my receipts and pdf from ' when doc_id % 3 = 1 then 'screen shots or charts of ' else 'documented billing ' end, case when doc_id % 5 = 0 then 'invoice scans ' else '' end, lower(substring(text, 1, 60)))"
+# texts that mention kinds: the language and source of documents, spelled as queries, before the whole text
+KIND_TEXT = "concat(case when doc_id % 3 = 0 then 'my receipts and pdf from ' when doc_id % 3 = 1 then 'screen shots or charts of ' else 'documented billing ' end, case when doc_id % 5 = 0 then 'invoice scans ' else '' end, lower(text))"
 
 
 @query(
