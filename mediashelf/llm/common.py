@@ -15,7 +15,7 @@ from mediashelf.session import cut_and_count, cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of a Python task works on (a longer single text is a step of its own).
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
