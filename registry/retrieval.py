@@ -238,12 +238,33 @@ def _(t, spark):
     return both.select("query_id", "file_hash", ranking.match_label(F.col("margin"), F.col("bm25")).alias("match"))
 
 
-@query("rerank_mmr")
+@query(
+    "rerank_mmr",
+    "with recursive "
+    + FUSE_IN
+    + """, un as (select h.query_id, h.file_hash, h.position, h.match, round(h.raw, 4) as first, list_transform(i.embedding, lambda x: cast(x as double)) as e, list_transform(q.embedding, lambda x: cast(x as double)) as qe
+      from hi h join vector_queries q on q.query_id = h.query_id left join image_index i on i.file_hash = h.file_hash and i.user_id = q.user_id and i.embed_model = q.embed_model),
+    nn as (select *, e is not null as has, count(*) over (partition by query_id) > 2 and count(e) over (partition by query_id) >= 2 as active, count(e) over (partition by query_id) as held,
+      row_number() over (partition by query_id, e is not null order by position) as p from un),
+    pr as (select *, 1 / (1 + exp(-(30 * list_cosine_similarity(e, qe) - 6))) as pb from nn where has and active),
+    rl as (select *, 0.6 * pb / max(pb) over (partition by query_id) + 0.4 * first / max(first) over (partition by query_id) as rel from pr),
+    cd as (select a.query_id, a.p, a.rel, list(list_cosine_similarity(a.e, b.e) order by b.p) as sims from rl a join rl b on a.query_id = b.query_id group by all),
+    mm as (select query_id, [p] as picked from (select query_id, p, row_number() over (partition by query_id order by rel desc, p) as r from cd) x where r = 1
+      union all select query_id, picked from (select m.query_id, list_append(m.picked, c.p) as picked, row_number() over (partition by m.query_id
+          order by 0.8 * c.rel - greatest(0, list_max(list_transform(m.picked, lambda x: c.sims[x])) - 0.85) desc, c.p) as r
+        from mm m join cd c on c.query_id = m.query_id and not list_contains(m.picked, c.p)) x where r = 1),
+    od as (select query_id, max_by(picked, len(picked)) as picked from mm group by query_id)
+    select nn.query_id, nn.file_hash, nn.match, case when nn.active and nn.has then round(rl.rel, 4) else nn.first end as score,
+      cast(case when not nn.active then nn.position when nn.has then list_position(picked, nn.p) else nn.held + nn.p end as bigint) as position
+    from nn left join od on od.query_id = nn.query_id left join rl on rl.query_id = nn.query_id and rl.file_hash = nn.file_hash""",
+    VQ,
+)
 def _(t, spark):
     hits = fused(t)
     owner = t("vector_queries").select("query_id", "user_id", "embed_model")
     vectors = hits.select("query_id", "file_hash").join(owner, "query_id").join(t("image_index"), ["user_id", "embed_model", "file_hash"])
-    return ranking.rerank_mmr(hits, vectors, t("vector_queries"), 30.0, -6.0)
+    best = ranking.rerank_mmr(hits, vectors, t("vector_queries"), 30.0, -6.0)
+    return best.select("query_id", "file_hash", "match", "score", F.col("position").cast("long").alias("position"))
 
 
 @query(
