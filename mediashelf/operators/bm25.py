@@ -74,7 +74,7 @@ def term_weights(p: DataFrame, df: DataFrame, stats: DataFrame, fields: dict[str
 
 def bm25_search(
     queries: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | tuple[DataFrame, DataFrame, DataFrame],
     fields: dict[str, float],
     keys: list[str],
     n: int | None = None,
@@ -87,7 +87,8 @@ def bm25_search(
 
     `queries`: query_id, user_id, keywords, and `filtered` with an `allow` list. Terms shared by many documents
     are scored from postings built for the batch's own vocabulary; hot (user, term) joins are left to AQE's skew
-    splitting, which both equi-joins below allow.
+    splitting, which both equi-joins below allow. `docs` may also be the three tables of `bm25_index`, written once: a batch
+    then reads its own terms' rows and no texts.
     """
     from .library import within
 
@@ -96,10 +97,14 @@ def bm25_search(
     out_keys = [c for c in keys if c not in by]
     terms = queries.select("query_id", *by, F.explode(F.array_distinct(tokens(F.col("keywords")))).alias("term"))
     vocabulary = terms.select(*by, "term").distinct()
-    t = tokenize(docs, fields, keys)
-    p = postings(t, keys, len(fields), vocabulary, tuple(by))
-    df = p.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    weights = term_weights(p, df, field_stats(t, by, len(fields)), fields, by, k1, b)
+    if isinstance(docs, tuple):
+        stats, df, p = docs
+        df, p = (x.join(vocabulary, [*by, "term"], "left_semi") for x in (df, p))
+    else:
+        t = tokenize(docs, fields, keys)
+        p = postings(t, keys, len(fields), vocabulary, tuple(by))
+        df, stats = p.groupBy(*by, "term").agg(F.count("*").alias("df")), field_stats(t, by, len(fields))
+    weights = term_weights(p, df, stats, fields, by, k1, b)
     pairs = terms.join(weights.select(*keys, "term", "weight"), [*by, "term"])
     if allow is not None:
         pairs = within(pairs, queries, allow)

@@ -161,9 +161,13 @@ def _(t, spark):
     return df.join(stats, "user_id").select("user_id", "term", "df", F.round(idf, 6).alias("idf"), "n_docs")
 
 
-@query("keyword_search_docs", f"with {DOC_BM} select query_id, file_hash, chunk, round(bm25, 6) as bm25 from bm", KQ)
+#: The 40 best passages of each query.
+DOC_TOP = DOC_BM + ", top as (select * from (select bm.*, row_number() over (partition by query_id order by bm25 desc, file_hash, chunk) as best from bm) x where best <= 40)"
+
+
+@query("keyword_search_docs", f"with {DOC_TOP} select query_id, file_hash, chunk, round(bm25, 6) as bm25 from top", KQ)
 def _(t, spark):
-    hits = bm25.bm25_search(t("keyword_queries"), t("passages"), bm25.TITLE_AND_TEXT, ["file_hash", "chunk"])
+    hits = bm25.bm25_search(t("keyword_queries"), t("passages"), bm25.TITLE_AND_TEXT, ["file_hash", "chunk"], n=40)
     return hits.select("query_id", "file_hash", "chunk", F.round("bm25", 6).alias("bm25"))
 
 
@@ -325,9 +329,9 @@ def _(t, spark):
     return doc_hits(t).select("query_id", "file_hash", "page", "chunk", "score", "match", F.col("position").cast("long").alias("position"))
 
 
-@query("agg_best_per_doc", f"with {DOC_BM} select query_id, file_hash, chunk from (select bm.*, row_number() over (partition by query_id, file_hash order by bm25 desc, chunk) as r from bm) x where r = 1", KQ)
+@query("agg_best_per_doc", f"with {DOC_TOP} select query_id, file_hash, chunk from (select top.*, row_number() over (partition by query_id, file_hash order by bm25 desc, chunk) as r from top) x where r = 1", KQ)
 def _(t, spark):
-    hits = bm25.bm25_search(t("keyword_queries"), t("passages"), bm25.TITLE_AND_TEXT, ["file_hash", "chunk"])
+    hits = bm25.bm25_search(t("keyword_queries"), t("passages"), bm25.TITLE_AND_TEXT, ["file_hash", "chunk"], n=40)
     best = ranking.best_per_doc(hits.withColumns({"score": F.col("bm25"), "cos": F.lit(0.0), "page": F.lit(1)}))
     return best.select("query_id", "file_hash", "chunk")
 

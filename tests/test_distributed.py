@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from mediashelf.functions import text as tx
 from mediashelf.operators import faces as fc
-from mediashelf.operators import geocode, ingest, people, understand
+from mediashelf.operators import bm25, geocode, ingest, people, understand
 from mediashelf.operators import vector_search as vs
 from mediashelf.operators.library import list_files
 from mediashelf.plans.library_views import stream_view
+from mediashelf.session import cut_lineage
 from mediashelf.sources import sinks
 from mediashelf.streaming import streams as st
 
@@ -117,6 +118,15 @@ def test_query_ids_keep_their_type(spark, kind):
         assert dict(found.dtypes)["query_id"] == kind and found.count() == 1
 
 
+def test_keywords_from_prepared_tables(spark, lib):
+    keys = ["file_hash", "chunk"]
+    index = tuple(map(cut_lineage, bm25.bm25_index(lib("passages"), bm25.TITLE_AND_TEXT, ["user_id", *keys])))
+    found = bm25.bm25_search(lib("keyword_queries"), index, bm25.TITLE_AND_TEXT, keys, n=40)
+    want = bm25.bm25_search(lib("keyword_queries"), lib("passages"), bm25.TITLE_AND_TEXT, keys, n=40)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    assert "documents.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---------------------------------------------------------------- names
 def test_similar_words_equal_all_pairs(spark):
     rnd = random.Random(3)
