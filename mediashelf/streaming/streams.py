@@ -20,10 +20,10 @@ from ..sources.sinks import latest
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _start(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; run the same with another trigger to keep going."""
+def _start(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    """Process what is there and stop, or keep going with a trigger such as {"processingTime": "10 seconds"}."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(each).trigger(availableNow=True).start()
+    return writer.foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
 
 
 # ---------------------------------------------------------------- keyed log sink
@@ -32,9 +32,9 @@ def append_changes(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keyed upsert of a stream: cost follows the batch, not the table. Read with `current_rows`."""
-    return _start(stream, checkpoint, lambda df, i: append_changes(df, i, path))
+    return _start(stream, checkpoint, lambda df, i: append_changes(df, i, path), trigger=trigger)
 
 
 def current_rows(spark: SparkSession, path: str, keys: list[str], order: list) -> DataFrame:
@@ -53,13 +53,13 @@ def dedup_uploads(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "file_hash"])
 
 
-def ingest_uploads(stream: DataFrame, read_files: Callable[[], DataFrame], path: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
+def ingest_uploads(stream: DataFrame, read_files: Callable[[], DataFrame], path: str, checkpoint: str, delay: str = "7 days", trigger: dict | None = None) -> StreamingQuery:
     """Write the uploads that start a flow: not in flight and not stored. The stored files are read per batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         append_changes(new_uploads(batch, read_files()), batch_id, path)
 
-    return _start(dedup_uploads(stream, delay), checkpoint, each)
+    return _start(dedup_uploads(stream, delay), checkpoint, each, trigger=trigger)
 
 
 def rates(stream: DataFrame, limit: int, delay: str = "1 minute") -> DataFrame:

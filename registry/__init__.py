@@ -13,12 +13,14 @@ ORACLES: dict[str, str] = {}
 
 
 def query(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Register fn(t, spark) under `key`; t(name) reads a driver or library table of the given folder."""
+    """Register fn(t, spark) under `key`; t(name) reads a driver or library table of the given folder, t.sf_dir."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(lambda name: view(spark, sf_dir, name), spark)
+            t = lambda name: view(spark, sf_dir, name)
+            t.sf_dir = sf_dir
+            return fn(t, spark)
 
         run.__name__ = key
         run.__doc__ = fn.__doc__

@@ -14,8 +14,7 @@ from .ingest import BACKLOG
 
 def replayed(t, spark, name):
     """The library table `name` as a stream over the same folder that t reads."""
-    path = t("region").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
-    return stream_view(spark, "/" + path.lstrip("/"), name)
+    return stream_view(spark, t.sf_dir, name)
 
 
 def place(spark, what):
@@ -24,13 +23,13 @@ def place(spark, what):
 
 @query(
     "stream_dedup_uploads",
-    "select distinct user_id, file_hash from uploads u where not exists (select 1 from files f where f.user_id = u.user_id and f.file_hash = u.file_hash and f.status <> 'failed' and f.kind = 'photo')",
+    "select distinct user_id, file_hash from uploads u where not exists (select 1 from files f where f.user_id = u.user_id and f.file_hash = u.file_hash and f.status <> 'failed')",
     ("uploads", "files"),
 )
 def _(t, spark):
     path, checkpoint = place(spark, "uploads")
     stream = replayed(t, spark, "uploads").select("user_id", "file_hash", "upload_id", "ts")
-    st.ingest_uploads(stream, lambda: t("files").filter("kind = 'photo'"), path, checkpoint).awaitTermination()
+    st.ingest_uploads(stream, lambda: t("files"), path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select("user_id", "file_hash")
 
 
