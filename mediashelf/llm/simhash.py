@@ -112,11 +112,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     """
     marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, lanes=lanes, repeats=False, keep=(key,)).where(F.col(key).isNotNull()))
     nodes = cut_lineage(marked.groupBy("_llm_fp").agg(F.min(key).alias("node")))
-    bits = [F.lit(1 << b) for b in range(32)]
     low = F.lit((1 << 32) - 1)
-    segments = [part for k in range(indexed) for part in (F.col("_llm_fp")[k].bitwiseAND(low), F.shiftrightunsigned(F.col("_llm_fp")[k], 32))]
-    keys = F.concat(*(F.array(*(F.lit(i << 32).bitwiseOR(part.bitwiseXOR(flip)) for flip in (F.lit(0), *bits))) for i, part in enumerate(segments)))
-    near = nodes.select("node", F.explode(keys).alias("key"))
+    parts = [part for k in range(indexed) for part in (F.col("_llm_fp")[k].bitwiseAND(low), F.shiftrightunsigned(F.col("_llm_fp")[k], 32))]
+    segments = nodes.select("node", F.explode(F.array(*(F.lit(i << 32).bitwiseOR(part) for i, part in enumerate(parts)))).alias("segment"))
+    ball = F.array(F.col("segment"), *(F.col("segment").bitwiseXOR(F.lit(1 << b)) for b in range(32)))
+    near = segments.select("node", F.explode(ball).alias("key"))
     met = near.select("node", F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("before")).where(F.col("before").isNotNull()).distinct()
     ends = met.join(nodes.select(F.col("node"), F.col("_llm_fp").alias("x")), "node").join(nodes.select(F.col("node").alias("before"), F.col("_llm_fp").alias("y")), "before")
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, lanes)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
