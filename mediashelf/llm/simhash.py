@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from mediashelf.session import cut_lineage
 
-from .common import components, mixed
+from .common import Words, components, mixed, steps
 
 #: Shingles hashed together: the memory of one very long text.
 BLOCK = 50_000
 
-#: Lanes of 64 bits of which the first are indexed, and differing bits up to which documents are alike: shingle sets of similarity
-#: 0.8 differ in 233 of 1,536 bits on average, with a deviation of 14.
+#: Lanes of 64 bits of which the first are indexed, and differing bits up to which documents are alike, for wide fingerprints of shingle
+#: sets: 0.8 differ in 233 of 1,536 bits on average, with a deviation of 14. `similar` compares the sets themselves.
 LANES, INDEXED, MOST = 24, 10, 251
 
+#: Cells in which shingles are counted.
+CELLS = 1 << 22
+
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, lanes: int = 1, repeats: bool = True) -> list[int]:
     """Lanes of 64 bits: a bit is 1 if it is set in over half the hashes of the text's word shingles, with or without repeats.
@@ -100,29 +103,136 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     return joined.select(key, F.lpad(F.lower(F.hex("_llm_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, seed: int = 42, lanes: int = LANES, indexed: int = INDEXED, most: int = MOST) -> DataFrame:
-    """(key, component_id): groups of documents whose sets of word shingles are alike, by fingerprints of several lanes.
+def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
+    """The set of each text's word shingles, as sorted 64-bit hashes; fewer words make one shingle, no words an empty one.
+
+    A-Z count as a-z. Blanks part words, so sets don't depend on which.
+    """
+    w = Words(texts)
+    h, lengths = w.hashes(), np.diff(w.first_word)
+    n = np.maximum(1, lengths - words + 1)
+    row, ends = np.repeat(np.arange(len(texts)), n), np.cumsum(n)
+    held = np.minimum(lengths, words)[row]
+    start = w.first_word[:-1][row] + np.arange(len(row)) - (ends - n)[row]
+    out = mixed(held.astype(np.uint64) + np.uint64(1))
+    for i in range(words):
+        at = np.flatnonzero(held > i)
+        out[at] = mixed(out[at] * np.uint64(0x9E3779B97F4A7C15) + h[start[at] + i])
+    return [np.unique(out[b - k : b]) for b, k in zip(ends, n, strict=True)]
+
+
+def cell_ranks(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """How often shingles of each of CELLS cells occur, on a scale of logarithms: what puts rare shingles first.
+
+    Tasks add up their own documents' cells, blocks of cells are then added up apart, so what is exchanged doesn't depend on the
+    documents. Any order of shingles gives the same pairs; this one keeps keys small.
+    """
+    block = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for _, texts in steps(b.column(0)):
+                cell, times = np.unique(np.concatenate(shingle_sets(texts, words)) % np.uint64(CELLS), return_counts=True)
+                total[cell.astype(np.int64)] += times
+        held = np.minimum(total, 65_535).astype(np.uint16)
+        at = [a for a in range(0, CELLS, block) if held[a : a + block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([held[a : a + block].tobytes() for a in at], pa.binary())], names=["at", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(part.as_buffer(), np.uint16).astype(np.float64)
+        if sums:
+            ranks = [np.round(8 * np.log2(1 + x)).astype(np.uint16).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(ranks, pa.binary())], names=["at", "part"])
+
+    kind = "at long, part binary"
+    found = docs.select(F.col(text).cast("binary")).mapInArrow(run, kind).repartition("at").mapInArrow(add, kind).collect()  # CELLS numbers
+    out = np.zeros(CELLS, np.uint16)
+    for r in found:
+        out[r["at"] : r["at"] + block] = np.frombuffer(r["part"], np.uint16)
+    return out
+
+
+def with_prefix(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, _llm_set binary: the set's digest, n: its size, prefix array<long>: its rarest shingles, rarest first)."""
+    ship = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs, text, words))
+    source = docs.select(F.col(text).cast("binary").alias("_llm_body"), key)
+    schema = source.select(key, F.lit(b"").alias("_llm_set"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ship.value
+        for b in batches:
+            for first, texts in steps(b.column(0)):
+                sets = shingle_sets(texts, words)
+                rare = [s[np.argsort(rank[s % np.uint64(CELLS)], kind="stable")[: len(s) // 5 + 1]].view(np.int64) for s in sets]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
-    Each half of the first `indexed` lanes is a segment of the multi-index. The ball of radius 1 around its value is enumerated on both sides, so
-    documents meet if some segment differs in at most 2 of its 32 bits; those next to each other at a key are fetched and linked if their
-    complete distance, over all lanes, is at most `most`. A key of 32 bits and a segment's number has few documents that aren't
-    alike, and copies have one fingerprint and are one node, so rows stay in proportion to the documents.
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have at least 4 of 5 of their shingles together in common."""
+    kind = pairs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, kind).distinct())
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
+    """(key, component_id): groups of documents linked by pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+    All such pairs and no others link. Sets are put in one order, rare shingles first. Two sets with o shingles in common share one of
+    their first n - o + 1 each, and 0.8 asks for 0.8 n of either at least: the first n // 5 + 1 are keys, and at the first shared
+    one neither set may be so far advanced that too few are left. What a family of documents shares is frequent, stands last and
+    is no key unless its members are nearly alike. Every pair that meets is compared set by set.
+
+    Groups at a key needn't be compared inside when they are known to hang together: first each document is compared with one
+    other at each of its keys, rows in proportion to the keys; then, at keys where several groups are left, all documents of
+    different groups. Equal sets are one node, so copies cost one.
 
     Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank texts are alike.
     """
-    marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, lanes=lanes, repeats=False, keep=(key,)).where(F.col(key).isNotNull()))
-    nodes = cut_lineage(marked.groupBy("_llm_fp").agg(F.min(key).alias("node")))
-    low = F.lit((1 << 32) - 1)
-    parts = [part for k in range(indexed) for part in (F.col("_llm_fp")[k].bitwiseAND(low), F.shiftrightunsigned(F.col("_llm_fp")[k], 32))]
-    segments = nodes.select("node", F.explode(F.array(*(F.lit(i << 32).bitwiseOR(part) for i, part in enumerate(parts)))).alias("segment"))
-    ball = F.array(F.col("segment"), *(F.col("segment").bitwiseXOR(F.lit(1 << b)) for b in range(32)))
-    near = segments.select("node", F.explode(ball).alias("key"))
-    met = near.select("node", F.lag("node").over(Window.partitionBy("key").orderBy("node")).alias("before")).where(F.col("before").isNotNull()).distinct()
-    ends = met.join(nodes.select(F.col("node"), F.col("_llm_fp").alias("x")), "node").join(nodes.select(F.col("node").alias("before"), F.col("_llm_fp").alias("y")), "before")
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, lanes)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    roots = components(cut_lineage(ends.where(apart <= most).select(F.col("before").alias("a"), F.col("node").alias("b"))))
-    named = nodes.join(roots.select("node", "root"), "node", "left").select("_llm_fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "_llm_fp").select(key, "component_id")
+    known = docs.where(F.col(key).isNotNull())
+    marked = cut_lineage(with_prefix(known, key, text, words))
+    nodes = marked.groupBy("_llm_set").agg(F.min(key).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keys = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    crowd = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail")
+    shared = cut_lineage(keys.join(crowd.select("key", "head"), "key"))
+    wanted = shared.select(F.col("node").alias("_llm_node")).distinct()
+    body = known.join(wanted, F.col(key) == F.col("_llm_node"), "left_semi").select(F.col(key).alias("node"), F.col(text).cast("binary").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in steps(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], names=["node", "shingles"])
+
+    sets = cut_lineage(body.mapInArrow(run, body.withColumnRenamed("body", "shingles").schema))
+    stars = alike(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets)
+    rooted = shared.join(components(stars), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))
+    open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    left = cut_lineage(rooted.join(open_keys, "key"))
+    parts = left.select("key", "part").distinct()
+    met = parts.join(parts.select("key", F.col("part").alias("other")), "key").where("part < other")
+    x = left.select("key", "part", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    y = left.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    enough = 9 * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= 4 * (F.col("n1") + F.col("n2"))
+    across = met.join(x, ["key", "part"]).join(y, ["key", "other"]).where(enough).select("a", "b").distinct()
+    roots = components(stars.union(alike(across, sets)))
+    named = nodes.select("_llm_set", "node").join(roots, "node", "left").select("_llm_set", F.coalesce("root", "node").alias("component_id"))
+    return marked.select(key, "_llm_set").join(named, "_llm_set").select(key, "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:

@@ -381,6 +381,20 @@ def test_similar_documents_are_grouped_and_others_not(spark):
     assert found == {**{i: i for i in range(30)}, **{100 + i: i for i in range(30)}, **{200 + i: 200 + i for i in range(30)}}
 
 
+def family(n, shared, own, seed):
+    """n texts of one template: `shared` words first, then `own` words of each."""
+    base = [f"s{i}" for i in range(shared)]
+    return [" ".join(base + [f"{seed}o{k}x{i}" for i in range(own)]) for k in range(n)]
+
+
+def test_templates_below_the_similarity_stay_apart(spark):
+    texts = family(1000, 254, 50, "a")  # 250 of 350 shingles each two have in common: 0.71
+    near = family(60, 284, 33, "b")  # 280 of 346: 0.81
+    rows = list(enumerate(texts + near))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(1001))
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(500)] + [(1000, 2000 + i) for i in range(300)] + [(5000, 5000), (None, 1), (2000, 1000)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
