@@ -395,6 +395,14 @@ def test_templates_below_the_similarity_stay_apart(spark):
     assert kept == set(range(1001))
 
 
+def test_near_duplicates_meet_in_a_crowded_template(spark):
+    texts = family(400, 284, 60, "c")  # 280 of 408 in common: 0.69
+    near = [" ".join(t.split()[:-26] + [f"n{k}y{i}" for i in range(26)]) for k, t in enumerate(texts[:100])]  # 314 of 366 in common: 0.86
+    ids = random.Random(1).sample(range(10_000), 500)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(zip(ids, texts + near)), "doc_id long, text string")).collect()}
+    assert found == {**{i: i for i in ids[100:400]}, **{x: min(i, j) for i, j in zip(ids[:100], ids[400:]) for x in (i, j)}}
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(500)] + [(1000, 2000 + i) for i in range(300)] + [(5000, 5000), (None, 1), (2000, 1000)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
