@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import PLAIN, Words, steps
 
-#: Words of a passage and of the step to the next; a benchmark text is searched in parts of at most a passage.
+#: Words of a passage and of the step to the next; a benchmark text is searched in parts of a passage.
 PASSAGE, STRIDE = 64, 32
 
+#: Words from one part of a long benchmark text to the next, and from one window in which a candidate is checked to the next: any PASSAGE
+#: words of a text lack at most CHECK // 2 words of a window, so that 3 of its RAREST words are left.
+STEP, CHECK = 16, 4
+
 #: Words in a larger share of passages don't describe one, unless they are among the KEEP rarest of a part.
 COMMON, KEEP = 0.02, 8
 
@@ -27,7 +32,7 @@ COSINE = 0.45
 #: A candidate holds a part if so much of the part's words stands in it in order, and so many of its rarest words in it.
 IN_ORDER, RAREST, TELLING = 0.7, 5, 0.6
 
-#: Parts that are searched in one pass over the documents.
+#: Items that are searched in one pass over the documents; of parts, about 4 times as many.
 BLOCK = 2_048
 
 
@@ -38,19 +43,22 @@ class Parts:
     items: list
     words: list[np.ndarray]
     hashes: np.ndarray
+    #: The windows of the text in which a part's candidates are checked: the part itself and those beginning near it.
+    windows: list[list[np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[object, bytes]]) -> Parts:
-        items, found = [], []
+        items, found, near = [], [], []
         for item, text in rows:
             h = Words([text], PLAIN).hashes()
-            for at in range(0, len(h), PASSAGE):
-                if at == 0 or len(h) - at >= PASSAGE // 2:  # a short rest is part of what precedes it
-                    end = len(h) if len(h) - at < PASSAGE + PASSAGE // 2 else at + PASSAGE
-                    items.append(item)
-                    found.append(h[at:end])
+            last = max(0, len(h) - PASSAGE)
+            checks = sorted({*range(0, last, CHECK), last})
+            for at in sorted({*range(0, last, STEP), last}) if len(h) else []:
+                items.append(item)
+                found.append(h[at : at + PASSAGE])
+                near.append([h[c : c + PASSAGE] for c in sorted({at, *checks}) if abs(c - at) <= STEP // 2 + CHECK // 2])
         hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        return cls(items, [np.searchsorted(hashes, f) for f in found], hashes)
+        return cls(items, [np.searchsorted(hashes, f) for f in found], hashes, [[np.searchsorted(hashes, f) for f in fs] for fs in near])
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """The index of each hash, -1 if it is no word of a part; a table of 16 bits spares most of the search."""
@@ -207,8 +215,8 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
-    """(text, part, cosine, share in order) of the parts that the texts hold."""
+def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: list[list[np.ndarray]]) -> list[tuple[int, int, float, float]]:
+    """(text, part, cosine, share in order) of the parts that the texts hold; rarest: of each window of each part."""
     parts = space.parts
     w = Words(texts, PLAIN)
     term, halves, half, words = weighted(w, parts, space.idf)
@@ -235,9 +243,8 @@ def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: li
             low = max(w.first_word[text], start - len(own) // 2)
             high = min(w.first_word[text + 1], start + PASSAGE + len(own) // 2)
             region = term[low:high]
-            if np.isin(rarest[p], region).mean() < TELLING:
-                continue
-            share = longest_common(own, region[region >= 0]) / len(own)
+            told = [x for x, rare in zip(parts.windows[p], rarest[p], strict=True) if np.isin(rare, region).mean() >= TELLING]
+            share = max((longest_common(x, region[region >= 0]) / len(x) for x in told), default=0.0)
             if share >= IN_ORDER:
                 key = (int(text), int(p))
                 best[key] = max(best.get(key, (0.0, 0.0)), (share, float(cosine[r, p])))
@@ -245,7 +252,9 @@ def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: li
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, cosine, in_order): the benchmark texts that documents hold, in whole or in a part of PASSAGE words, also reworded.
+    """(key, item, cosine, in_order): the benchmark texts that documents hold, in whole or in any PASSAGE words in a row, also reworded.
+
+    A text longer than PASSAGE words is searched in parts that begin every STEP words.
 
     Candidates are passages near a part in the latent space; a candidate holds the part if IN_ORDER of the part's words stand around it
     in order (longest common subsequence) and TELLING of its RAREST rarest words, which carry the answer, are there. Every passage
@@ -258,7 +267,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("_llm_key"), F.col(text).alias("_llm_text"))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_llm_item"), F.col(item_text).cast("binary").alias("_llm_body"))
-    blocks = max(1, -(-items.count() // BLOCK))
+    words = F.regexp_count(F.col("_llm_body").cast("string"), F.lit("[A-Za-z0-9\\x{80}-\\x{10FFFF}]+"))
+    n, parts = items.agg(F.count("*"), F.sum(2 + F.greatest(words - PASSAGE, F.lit(0)) / STEP)).head()
+    blocks = max(1, -(-n // BLOCK), math.ceil((parts or 0) / (4 * BLOCK)))
     kind = items.select(F.col("_llm_item").alias(item)).schema
     schema = source.select(F.col("_llm_key").alias(key)).withColumns({item: F.lit(None).cast(kind[0].dataType), "cosine": F.lit(0.0), "in_order": F.lit(0.0)}).schema
     out = None
@@ -273,7 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             s = ship.value
             vectors, idf = s.part_vectors(), s.idf
-            rarest = [np.unique(w)[np.argsort(-idf[np.unique(w)], kind="stable")[:RAREST]] for w in s.parts.words]
+            rarest = [[np.unique(w)[np.argsort(-idf[np.unique(w)], kind="stable")[:RAREST]] for w in near] for near in s.parts.windows]
             for b in batches:
                 for first, texts in steps(b.column(1)):
                     found = held_parts(texts, s, vectors, rarest)

@@ -294,6 +294,13 @@ def test_blocks_of_the_benchmark_and_long_items(spark, monkeypatch):
     assert found == {(i, i) for i in range(7)}
 
 
+def test_excerpts_of_long_items_at_all_offsets(spark):
+    items = [(n, prose(3000 + n, n)) for n in (66, 95, 200)]
+    docs = [(n * 1000 + at, prose(n + at, 37) + " " + " ".join(t.split()[at : at + 64]) + " " + prose(at, 50)) for n, t in items for at in range(0, n - 63)]
+    found = {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {i for i, _ in docs}
+
+
 def test_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(50):
