@@ -44,6 +44,11 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in ".-_*,/~"]] = True
 _ISLETTER = _LETTERS > 0
 _EDGES = re.compile(r"^[^A-Za-z0-9@$!|+]+|[^A-Za-z0-9@]+$")
+#: The same for words that may be obfuscated; and what parts the pieces of a long word.
+_OUTER, _PARTS = re.compile(r"^[^A-Za-z0-9@$!|+€]+|[^A-Za-z0-9@$!|+€]+$"), re.compile(r"[^A-Za-z0-9@$!|+€]+")
+
+#: A word of more bytes is read piece by piece; a longer piece or run in windows of WINDOW characters, of which the next shares OVERLAP.
+LONG, WINDOW, OVERLAP = 200, 64, 24
 
 
 def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -132,7 +137,7 @@ def suspects(w: Words) -> np.ndarray:
     odd[:-4] |= turns[:-2] & turns[2:]
     lengths = w.end - w.start
     has_letter = sums_between(letter, w.start, w.end) >= 2
-    single = np.flatnonzero((sums_between(odd, w.start, w.end) > 0) & has_letter & (lengths <= 200))
+    single = np.flatnonzero((sums_between(odd, w.start, w.end) > 0) & has_letter & (lengths <= LONG))
     one = (lengths == 1) & letter[w.start]
     change = np.flatnonzero(np.diff(np.concatenate(([False], one, [False])).astype(np.int8)))
     runs = [(a, b) for x, y in zip(change[::2], change[1::2], strict=True) for a, b in _by_row(w.row, x, y) if b - a >= 4]
@@ -140,16 +145,82 @@ def suspects(w: Words) -> np.ndarray:
     return np.array(sorted(spans), np.int64).reshape(-1, 2)
 
 
+def doubtful(w: Words, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, last byte) of single words, and of runs, that may be obfuscated though they look like others too.
+
+    Words with a letter and a separator between letters, a doubled letter or a character next to a letter that may stand for one, unless
+    they are among the spans `read`, and all longer than LONG with any of these; runs of two or more words of one letter or such a character.
+    """
+    data = w.data
+    letter, leet = _ISLETTER[data], _LEET[data]
+    odd = np.zeros(len(data), bool)
+    odd[:-1] |= (leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]) | (letter[:-1] & (data[:-1] == data[1:]))
+    odd[:-2] |= letter[:-2] & _SEPARATOR[data[1:-1]] & letter[2:]
+    odd[:-2] |= letter[:-2] & _SEPARATOR[data[1:-1]] & leet[2:]
+    odd[:-2] |= leet[:-2] & _SEPARATOR[data[1:-1]] & letter[2:]
+    euro = (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
+    odd[:-2] |= euro
+    some = (sums_between(odd, w.start, w.end) > 0) & (sums_between(letter, w.start, w.end) > 0) & ~np.isin(w.start, read[:, 0])
+    one = ((w.end - w.start == 1) & (letter | leet)[w.start]) | ((w.end - w.start == 3) & np.append(euro, [False] * 2)[w.start])
+    change = np.flatnonzero(np.diff(np.concatenate(([False], one, [False])).astype(np.int8)))
+    runs = [(w.start[a], w.end[b - 1]) for x, y in zip(change[::2], change[1::2], strict=True) for a, b in _by_row(w.row, x, y) if b - a >= 2]
+    return np.stack([w.start[some], w.end[some]], axis=1), np.array(runs, np.int64).reshape(-1, 2)
+
+
+def windows(seen: str) -> list[str]:
+    """The string, or if it is long, windows of it that overlap."""
+    return [seen[a : a + WINDOW] for a in range(0, max(1, len(seen) - OVERLAP), WINDOW - OVERLAP)]
+
+
+def readings(form: bytes, channel: Channel) -> bytes:
+    """The likeliest readings of a word or run, if they are others than what is written; a long word is read piece by piece.
+
+    Pieces of one or two characters in a row are one word with separators; others are words.
+    """
+    core = _OUTER.sub("", form.decode("utf-8", "replace"))
+    if len(form) <= LONG:
+        cores = windows(core)
+    else:
+        cores, short = [], []
+        for piece in [*_PARTS.split(core), ""]:
+            if 0 < len(piece) <= 2:
+                short.append(piece)
+                continue
+            cores += windows(" ".join(short)) if len(short) > 1 else short
+            cores += windows(piece) if piece else []
+            short = []
+    return b" ".join(x.encode() for c in cores if (x := channel.decode(c)) != c.lower())
+
+
 def _by_row(row: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
     cuts = [x, *(np.flatnonzero(np.diff(row[x:y])) + x + 1), y]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def restored(texts: list[bytes], channel: Channel) -> list[bytes]:
-    """The texts with whatever looks obfuscated replaced by its likeliest reading; all else as it was, A-Z as a-z."""
+    """The texts with whatever looks obfuscated replaced by its likeliest reading; all else as it was, A-Z as a-z.
+
+    What only may be obfuscated stays, and its readings follow at the end of the text. Each form is read once.
+    """
     w = Words(texts)
     spans = suspects(w)
     raw = w.data.tobytes()
+    words, runs = doubtful(w, spans)
+    more: list[set[bytes]] = [set() for _ in texts]
+    known: dict[bytes, bytes] = {}
+    for found in (words, runs):
+        for i, (a, b) in zip((np.searchsorted(w.row_start, found[:, 0], side="right") - 1).tolist(), found.tolist(), strict=True):
+            form = raw[a:b]
+            if (x := known.get(form)) is None:
+                x = known[form] = readings(form, channel)
+            if x:
+                more[i].add(x)
+    plain = _replaced(w, spans, raw, channel)
+    return [b" ".join([t, *sorted(x)]) if x else t for t, x in zip(plain, more, strict=True)]
+
+
+def _replaced(w: Words, spans: np.ndarray, raw: bytes, channel: Channel) -> list[bytes]:
+    texts = range(len(w.row_start) - 1)
     if not len(spans):
         return [raw[a : b - 1] for a, b in zip(w.row_start[:-1], w.row_start[1:], strict=True)]
     out: list[bytes] = []

@@ -558,6 +558,18 @@ def test_held_out_labels(spark):
     assert found == {i: t for i, _, t in labels if i in found} and sum(found.values()) > 3
 
 
+@pytest.mark.parametrize("seen", ["mo.ron", "morron", "m o r", "m 0 r 0 n", "m0 ron m o r o n", "a$$", "as$", "." .join(["word"] * 60 + ["moron"]) + "_m_o_r_o_n", "x" * 300 + ".m0ron"])
+def test_weak_obfuscation_reaches_the_decoder(seen):
+    counts = np.zeros((27, 27, 27))
+    for word in ["moron"] * 50 + ["mor"] * 20 + ["ass"] * 50 + ["word"] * 20:
+        c = [0, 0, *(ord(x) - 96 for x in word), 0]
+        for a, b, d in zip(c, c[1:], c[2:]):
+            counts[a, b, d] += 1
+    read = toxicity.restored([b"one two", seen.encode(), b"three"], toxicity.Channel(counts))
+    assert read[0] == b"one two" and read[2].startswith(b"three")
+    assert ("ass" if "$" in seen else "mor" if seen == "m o r" else "moron") in read[1].decode().split()
+
+
 def test_toxicity_on_awkward_rows(awkward, none, spark):
     labels = spark.createDataFrame([(1, 1, 1), (None, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.scored(awkward, labels).collect()
