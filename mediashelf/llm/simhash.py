@@ -224,8 +224,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     rooted = shared.join(components(stars), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))
     open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
     left = cut_lineage(rooted.join(open_keys, "key"))
-    parts = left.select("key", "part").distinct()
-    met = parts.join(parts.select("key", F.col("part").alias("other")), "key").where("part < other")
+    # groups between none of whose documents enough is left aren't paired; of single documents this says all
+    parts = left.groupBy("key", "part").agg(F.max(F.col("n") - F.col("at")).alias("rest"), F.min("n").alias("small"))
+    others = parts.select("key", *(F.col(c).alias(f"{c}_2") for c in ("part", "rest", "small")))
+    met = parts.join(others, "key").where("part < part_2 and 9 * least(rest, rest_2) >= 4 * (small + small_2)").select("key", "part", F.col("part_2").alias("other"))
     x = left.select("key", "part", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("at").alias("at1"))
     y = left.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     enough = 9 * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= 4 * (F.col("n1") + F.col("n2"))
