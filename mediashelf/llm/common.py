@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediashelf.session import cut_and_count, cut_lineage
+from mediashelf.session import cut_and_count, cut_lineage, shared_dir
 
 #: A word is a longest run of bytes other than blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +21,7 @@ STEP_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+SAME = np.arange(256, dtype=np.uint8)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -145,3 +147,12 @@ def _written(df: DataFrame) -> DataFrame:
 def written_count(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
     """The frame as a table in the shared folder, and how many of its rows meet the condition (default: all)."""
     return cut_and_count(df, F.lit(True) if condition is None else condition)
+
+
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, bucketed by a key like the shuffles that will meet it, and the table's name, for the caller to drop."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", shared_dir(spark, "bucketed")).option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name), name

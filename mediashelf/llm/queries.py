@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, repeats, sharding, simhash, topk, toxicity, urls
+from . import automata, chat, decontaminate, langid, mixing, repeats, runs, sharding, simhash, topk, toxicity, urls, whitening
+from .common import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +153,64 @@ def op4_remove_repeats(t):
     """What is left of all documents without strings of 200 bytes that also start elsewhere."""
     rows = repeats.remove_repeats(t("documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def with_periods(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text): one text in ten, by its key's checksum, gets a tail that repeats its words with a period; words parted by one blank."""
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = docs.select(key, text, F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("_llm_words"))
+    n = F.greatest(F.size("_llm_words"), F.lit(1)).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    placed = split.where(F.size("_llm_words") > 0).select(key, "_llm_words", a.alias("_llm_a"), p.alias("_llm_p"))
+    moved = lambda word, at: F.get("_llm_words", F.when(at >= F.col("_llm_a"), F.col("_llm_a") + (at - F.col("_llm_a")) % F.col("_llm_p")).otherwise(at).cast("int"))
+    tailed = placed.select(key, F.array_join(F.transform("_llm_words", moved), " ").alias(text))
+    return split.where(F.coalesce(F.size("_llm_words") <= 0, F.lit(True))).select(key, text).union(tailed)
+
+
+@query
+def op11_periodic_runs(t):
+    """Runs of repeated words in all documents, one in ten of which gets a periodic tail."""
+    rows = runs.find_runs(with_periods(t("documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    named = rows.select("doc_id", "runs", "collapsed", line.alias("lines"), best.alias("best"))
+    return named.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_substring_dedup(t):
+    """What is left of all documents without windows of 35 words that also start elsewhere."""
+    return automata.remove_repeats(t("documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op12_substring_dedup"] = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as (
+  select r, i, hash(array_to_string(ws[i:i + 34], ' ')) as h, md5(array_to_string(ws[i:i + 34], ' ')) as m from docs, unnest(range(1, len(ws) - 33)) as u(i)
+), twice as (
+  select h, m from windows group by h, m having count(*) > 1
+), gone as (
+  select distinct r, i + j as p from windows join twice using (h, m), unnest(range(0, 35)) as v(j)
+), counted as (
+  select r, count(*) as n from gone group by r
+), words as (
+  select r, doc_id, ws[p] as w, p from docs, unnest(range(1, len(ws) + 1)) as x(p) where r in (select r from counted)
+), kept as (
+  select words.r, string_agg(w, ' ' order by words.p) as body from words left join gone on words.r = gone.r and words.p = gone.p where gone.p is null group by words.r
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(case when n is null then array_to_string(ws, ' ') else coalesce(body, '') end) as kept_sha256
+from docs left join counted on docs.r = counted.r left join kept on docs.r = kept.r
+"""
+
+
+@query
+def op13_whiten(t):
+    """All embeddings on the eight leading components of all of them."""
+    return whitening.whiten(whitening.quantised(t("embeddings")))

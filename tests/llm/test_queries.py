@@ -18,14 +18,14 @@ def test_matches_sql(spark, key):
     assert not compare(spark, connect(SF), SF, queries.QUERIES[key], queries.ORACLES[key])
 
 
-@pytest.mark.parametrize("key", ["op4_remove_repeats", "op5_shard", "op7_simhash_groups", "op8_language", "op9_url_filter", "op10_toxicity"])
+@pytest.mark.parametrize("key", ["op4_remove_repeats", "op5_shard", "op7_simhash_groups", "op8_language", "op9_url_filter", "op10_toxicity", "op11_periodic_runs", "op12_substring_dedup"])
 def test_whole_tables(spark, key):
     table = TABLE.get(int(key[2:].split("_")[0]), "documents")
     assert queries.QUERIES[key](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
