@@ -20,7 +20,7 @@ from .repeats import hashes, sliding, union
 WINDOW, ANCHOR = 35, 8
 
 #: Bytes of different pieces in one reference shard; pieces that share an anchor with more are told window by window.
-SHARD_BYTES = 300_000
+SHARD_BYTES = 750_000
 
 #: Bytes of all shards' automata up to which they are broadcast; beyond, pieces go to their shard's automaton by a shuffle.
 BROADCAST_BYTES = 16_000_000
@@ -221,11 +221,16 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[list[tuple[int | None, bytes, int, list[bytes]]]]:
-    """Lists of (shard, piece, copies, words) of the places asked for (column ps) in each text (column body)."""
+    """Lists of (shard, piece, copies, words) of the places asked for (column ps) in texts (column body); a list has some thousand, or one text's."""
     for b in batches:
+        rows: list[tuple] = []
         for body, ps in zip(b.column(0), b.column(1), strict=True):
             words = body.as_py().split()
-            yield [(p["shard"], p["piece"], p["copies"], words[p["s"] : p["s"] + p["n"] + window - 1]) for p in ps.as_py()]
+            rows += [(p["shard"], p["piece"], p["copies"], words[p["s"] : p["s"] + p["n"] + window - 1]) for p in ps.as_py()]
+            if len(rows) >= 2_000:
+                yield rows
+                rows = []
+        yield rows
 
 
 def _matches(rows: list[tuple[bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:
@@ -306,10 +311,9 @@ def _counted(cuts: DataFrame, window: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cut_pieces(batches, window):
-            for shard, piece, _, words in rows:
-                if shard is None:
-                    marks = [hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in range(len(words) - window + 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([piece] * len(marks), pa.binary()), pa.array(range(len(marks)), pa.int64()), pa.array(marks, pa.binary())], names=["piece", "i", "mark"])
+            found = [(piece, i, b" ".join(words[i : i + window])) for shard, piece, _, words in rows if shard is None for i in range(len(words) - window + 1)]
+            marks = [hashlib.blake2b(w, digest_size=16).digest() for _, _, w in found]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.binary()), pa.array([i for _, i, _ in found], pa.int64()), pa.array(marks, pa.binary())], names=["piece", "i", "mark"])
 
     windows = cut_lineage(cuts.mapInArrow(each, "piece binary, i long, mark binary"))
     often = windows.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark")
@@ -332,9 +336,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [(x.as_py() or b"").split() for x in b.column(0)]
-            shas = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(map(len, words)), pa.int64()), pa.array(shas, pa.binary())], names=schema.names)
+            told = [(len(w), hashlib.sha256(b" ".join(w)).digest()) for w in ((x.as_py() or b"").split() for x in b.column(0))]  # one text's words at a time
+            n, shas = zip(*told, strict=True) if told else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(shas, pa.binary())], names=schema.names)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
