@@ -19,8 +19,9 @@ from .repeats import hashes, sliding, union
 #: Words of the windows that mustn't repeat, and of the anchors in them.
 WINDOW, ANCHOR = 35, 8
 
-#: Bytes of different pieces in one reference shard; pieces that share an anchor with more are told window by window.
-SHARD_BYTES = 750_000
+#: Bytes of different pieces in one reference shard, unless one anchor has more; pieces that share an anchor with more than CROWDED_BYTES are told
+#: window by window.
+SHARD_BYTES, CROWDED_BYTES = 300_000, 750_000
 
 #: Bytes of all shards' automata up to which they are broadcast; beyond, pieces go to their shard's automaton by a shuffle.
 BROADCAST_BYTES = 16_000_000
@@ -28,6 +29,9 @@ BROADCAST_BYTES = 16_000_000
 #: Windows of one piece.
 PIECE = 1_024
 
+#: Bytes of texts whose windows are looked at together.
+STEP = 400_000
+
 _SEED = 211
 
 
@@ -173,13 +177,13 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
        builds a shard's Automaton, of what occurs twice in it.
     4. The automata are broadcast if all of them together are at most BROADCAST_BYTES; then documents are streamed and each piece of theirs is
        matched in its anchor's shard. Beyond, the pieces go to the automata by a shuffle.
-    5. An anchor with more bytes of different pieces than a shard holds is settled by counting its windows' digests, so no anchor's pieces ever have
+    5. An anchor with more than CROWDED_BYTES of different pieces is settled by counting its windows' digests, so no anchor's pieces ever have
        to meet in one task.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, some in steps(b.column(1)):
+            for at, some in steps(b.column(1), STEP):
                 row, value = _Windows(some, window, k).anchors()
                 offsets = np.searchsorted(row, np.arange(len(some) + 1))
                 held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
@@ -187,7 +191,7 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, some in steps(b.column(1)):
+            for at, some in steps(b.column(1), STEP):
                 own = b.column(2).slice(at, len(some))
                 text = np.repeat(np.arange(len(some)), np.diff(own.offsets.to_numpy()))
                 held, rows = _Windows(some, window, k), []
@@ -206,7 +210,7 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
     different = cut_lineage(pieces.groupBy("piece").agg(F.count("*").alias("copies"), place, F.first("n").alias("n"), F.first("v").alias("v"), F.first("twice").alias("twice")))
     # words are some seven bytes long; what counts is that the sum is bounded
     sharing = different.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + window - 1).alias("words"), F.max("twice").alias("twice")).where("kinds > 1 or twice")
-    sharing, crowded = written_count(sharing.select("v", "words", (F.col("words") * 7 > SHARD_BYTES).alias("crowded")), F.col("crowded"))
+    sharing, crowded = written_count(sharing.select("v", "words", (F.col("words") * 7 > CROWDED_BYTES).alias("crowded")), F.col("crowded"))
     shards = max(1, -(-int(sharing.where("not crowded").agg(F.sum("words")).head()[0] or 0) * 7 // SHARD_BYTES))
     shard = F.when(~F.col("crowded"), F.pmod(F.xxhash64("v"), F.lit(shards)))
     asked = different.join(sharing.select("v", shard.alias("shard")), "v").select("place.key", F.struct("place.s", "n", "shard", "piece", "copies").alias("p"))
@@ -354,14 +358,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, body, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for key, body, own in zip(*b.columns, strict=True):  # ranges as Python objects are large: one row's at a time
                 words = body.as_py().split()
-                gone = union([(r["a"], r["b"] + window - 1) for r in own])
+                gone = union([(r["a"], r["b"] + window - 1) for r in own.as_py()])
                 left, at = [], 0
                 for x, y in gone:
                     left += words[at:x]
                     at = y
-                rows.append((key, sum(y - x for x, y in gone), hashlib.sha256(b" ".join(left + words[at:])).digest(), [{"a": x, "b": y} for x, y in gone]))
+                rows.append((key.as_py(), sum(y - x for x, y in gone), hashlib.sha256(b" ".join(left + words[at:])).digest(), [{"a": x, "b": y} for x, y in gone]))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.binary(), pa.int64(), pa.binary(), _RANGES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_llm_key", "_llm_n", "_llm_kept", "_llm_removed"])

@@ -134,6 +134,7 @@ def without_repeats(texts, window=35):
 def test_repeated_windows_are_taken_out(spark, monkeypatch, shard, broadcast):
     """Broadcast and shuffled automata, many shards and crowded anchors."""
     monkeypatch.setattr(automata, "SHARD_BYTES", shard)
+    monkeypatch.setattr(automata, "CROWDED_BYTES", shard)
     monkeypatch.setattr(automata, "BROADCAST_BYTES", broadcast)
     r = random.Random(shard)
     word = lambda: r.choice("abcdefghij") * r.randint(1, 3)
