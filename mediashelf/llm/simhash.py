@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediashelf.session import cut_lineage
 
@@ -18,46 +19,40 @@ from .common import Words, components, mixed, steps
 #: Shingles hashed together: the memory of one very long text.
 BLOCK = 50_000
 
-#: Lanes of 64 bits of which the first are indexed, and differing bits up to which documents are alike, for wide fingerprints of shingle
-#: sets: 0.8 differ in 233 of 1,536 bits on average, with a deviation of 14. `similar` compares the sets themselves.
-LANES, INDEXED, MOST = 24, 10, 251
+#: Minimum hashes of a set of shingles, rows of a band of them, and how many of two sets must agree for the sets to be compared: at a
+#: similarity of 0.8 they share a band with a probability of 0.9996, and fewer than AGREE of HASHES agree once in 3,000.
+HASHES, ROWS, AGREE = 100, 5, 66
 
-#: Cells in which shingles are counted.
-CELLS = 1 << 22
+#: Documents of one band, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
+BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, lanes: int = 1, repeats: bool = True) -> list[int]:
-    """Lanes of 64 bits: a bit is 1 if it is set in over half the hashes of the text's word shingles, with or without repeats.
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """64 bits as a signed number: a bit is 1 if it is set in over half the hashes of the text's word shingles, repeats included.
 
-    A-Z count as a-z. Fewer words than a shingle has give one shingle of all of them; no words give 0. Lanes after the first
-    take hashes made from the first one's.
+    A-Z count as a-z. Fewer words than a shingle has give one shingle of all of them; no words give 0.
     """
     w = (text or b"").lower().split()
     if not w:
-        return [0] * lanes
+        return 0
     n = max(1, len(w) - words + 1)
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
-    ones = np.zeros(64 * lanes, np.int64)
-    hashes = (np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in islice(grams, BLOCK)), np.uint64, min(BLOCK, n - at)) for at in range(0, n, BLOCK))
-    if not repeats:
-        once = np.unique(np.concatenate(list(hashes)))
-        n, hashes = len(once), np.array_split(once, -(-len(once) // BLOCK))
-    for h in hashes:
-        for k in range(lanes):
-            own = (mixed(h + np.uint64(k)) if k else h).astype(">u8")
-            ones[64 * k : 64 * k + 64] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.frombuffer(np.packbits(ones * 2 > n).tobytes(), ">i8").tolist()
-
-
-def with_fingerprint(docs: DataFrame, text: str = "text", *, words: int = 3, seed: int = 42, lanes: int = 1, repeats: bool = True, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """(the columns in `keep`, default all, _llm_fp array<long> of the lanes); the text is read once, batch by batch."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, BLOCK):
+        h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in islice(grams, BLOCK)), np.uint64, min(BLOCK, n - at))
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.frombuffer(np.packbits(ones * 2 > n).tobytes(), ">i8")[0])
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", *, words: int = 3, seed: int = 42, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(the columns in `keep`, default all, _llm_fp long); the text is read once, batch by batch."""
     kept = [c for c in docs.columns if keep is None or c in keep]
     source = docs.select(F.col(text).cast("binary").alias("_llm_body"), *(F.col(f"`{c}`") for c in kept))
-    schema = source.drop("_llm_body").withColumn("_llm_fp", F.array(F.lit(0).cast("long"))).schema
+    schema = source.drop("_llm_body").withColumn("_llm_fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = pa.array((fingerprint(x.as_py(), words, seed, lanes, repeats) for x in b.column(0)), pa.list_(pa.int64()))
+            prints = pa.array((fingerprint(x.as_py(), words, seed) for x in b.column(0)), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], prints], names=[*kept, "_llm_fp"])
 
     return source.mapInArrow(run, schema)
@@ -93,7 +88,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     Null, empty and blank texts have fingerprint zero and are linked like others; null keys never name a component (its id is
     null only if all its keys are); repeated rows give repeated rows; no documents give no rows; other columns play no part.
     """
-    marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, keep=(key,)).withColumn("_llm_fp", F.col("_llm_fp")[0]))
+    marked = cut_lineage(with_fingerprint(docs, text, words=words, seed=seed, keep=(key,)))
     nodes = cut_lineage(marked.groupBy("_llm_fp").agg(F.min(key).alias("_llm_least")))
     roots = components(cut_lineage(links(nodes)))
     rooted = cut_lineage(nodes.join(roots, nodes["_llm_fp"] == roots["node"]).select("_llm_fp", "root", "_llm_least"))
@@ -121,120 +116,179 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return [np.unique(out[b - k : b]) for b, k in zip(ends, n, strict=True)]
 
 
-def cell_ranks(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """How often shingles of each of CELLS cells occur, on a scale of logarithms: what puts rare shingles first.
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Tasks add up their own documents' cells, blocks of cells are then added up apart, so what is exchanged doesn't depend on the
-    documents. Any order of shingles gives the same pairs; this one keeps keys small.
-    """
-    block = 1 << 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for _, texts in steps(b.column(0)):
-                cell, times = np.unique(np.concatenate(shingle_sets(texts, words)) % np.uint64(CELLS), return_counts=True)
-                total[cell.astype(np.int64)] += times
-        held = np.minimum(total, 65_535).astype(np.uint16)
-        at = [a for a in range(0, CELLS, block) if held[a : a + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([held[a : a + block].tobytes() for a in at], pa.binary())], names=["at", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(part.as_buffer(), np.uint16).astype(np.float64)
-        if sums:
-            ranks = [np.round(8 * np.log2(1 + x)).astype(np.uint16).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(ranks, pa.binary())], names=["at", "part"])
-
-    kind = "at long, part binary"
-    found = docs.select(F.col(text).cast("binary")).mapInArrow(run, kind).repartition("at").mapInArrow(add, kind).collect()  # CELLS numbers
-    out = np.zeros(CELLS, np.uint16)
-    for r in found:
-        out[r["at"] : r["at"] + block] = np.frombuffer(r["part"], np.uint16)
-    return out
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(16 bits of each minimum hash, the hash of each band of ROWS of them) of each set."""
+    x = np.concatenate(sets)
+    first = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    least = np.stack([np.minimum.reduceat(x * f >> np.uint64(24), first) for f in _FACTORS], axis=1)
+    bands = np.zeros((len(sets), HASHES // ROWS), np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, i::ROWS])
+    return (least & np.uint64(0xFFFF)).astype(np.uint16), bands.view(np.int64)
 
 
-def with_prefix(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, _llm_set binary: the set's digest, n: its size, prefix array<long>: its rarest shingles, rarest first)."""
-    ship = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs, text, words))
+def with_signature(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, _llm_set binary: the set's digest, sig binary: its signature, bands array<long>, size: bytes of the text); the text is read once."""
     source = docs.select(F.col(text).cast("binary").alias("_llm_body"), key)
-    schema = source.select(key, F.lit(b"").alias("_llm_set"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
+    schema = source.select(key, F.lit(b"").alias("_llm_set"), F.lit(b"").alias("sig"), F.array(F.lit(0).cast("long")).alias("bands"), F.lit(0).cast("long").alias("size")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ship.value
         for b in batches:
             for first, texts in steps(b.column(0)):
                 sets = shingle_sets(texts, words)
-                rare = [s[np.argsort(rank[s % np.uint64(CELLS)], kind="stable")[: len(s) // 5 + 1]].view(np.int64) for s in sets]
+                sig, bands = signatures(sets)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
+                columns = [pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(map(len, texts)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have at least 4 of 5 of their shingles together in common."""
+def agreement(pairs: DataFrame) -> DataFrame:
+    """(a, b, agree) of pairs (a, b, x, y), x and y their signatures: in how many hashes they agree, where that is AGREE at least."""
+    kind = pairs.select("a", "b", F.lit(0).alias("agree")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, HASHES) for c in b.columns[2:])
+            n = (x == y).sum(axis=1, dtype=np.int32)
+            ok = pa.array(n >= AGREE)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(n).filter(ok)], names=["a", "b", "agree"])
+
+    return pairs.mapInArrow(run, kind)
+
+
+def alike(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets have at least 4 of 5 of their shingles together in common."""
     kind = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(5 * shared >= 4 * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+            x = steps(pa.concat_arrays([b.column(2), b.column(3)]).take(pa.array(np.arange(2 * len(b)).reshape(2, -1).T.ravel())))  # text by text of each pair
+            sets, done = [], 0
+            for _, texts in x:
+                sets += shingle_sets(texts, words)
+                ok = []
+                for i in range(0, len(sets) - 1, 2):
+                    shared = len(np.intersect1d(sets[i], sets[i + 1], assume_unique=True))
+                    ok.append(5 * shared >= 4 * (len(sets[i]) + len(sets[i + 1]) - shared))
+                yield pa.RecordBatch.from_arrays([c.slice(done, len(ok)).filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+                sets, done = sets[2 * len(ok) :], done + len(ok)
+
+    left, right = (bodies.select(F.col("node").alias(c), F.col("body").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, kind))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each (key, i, j), which stand together, column by column."""
+    now, held = None, None
+    for b in batches:
+        columns = b.to_pydict()
+        for at, k in enumerate(zip(columns["key"], columns["i"], columns["j"], strict=True)):
+            if k != now:
+                if held:
+                    yield held
+                now, held = k, {c: [] for c in columns}
+            for c, v in columns.items():
+                held[c].append(v[at])
+    if held:
+        yield held
+
+
+def _promising(block: dict[str, list]) -> np.ndarray:
+    """Which documents of a block agree in AGREE hashes or more with one of another group; a matrix."""
+    sig = np.frombuffer(b"".join(block["sig"]), np.uint16).reshape(-1, HASHES)
+    part = np.unique(np.array(block["part"], object), return_inverse=True)[1]
+    out = np.zeros((len(sig), len(sig)), bool)
+    for i in range(len(sig)):
+        out[i] = ((sig == sig[i]).sum(axis=1) >= AGREE) & (part != part[i])
+    return out
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, kind).distinct())
+
+def _linked(block: dict[str, list], words: int) -> Iterator[tuple[int, int]]:
+    """Pairs of documents of a block, at least 0.8 similar by their sets, that hang all its groups together that can be so."""
+    near = _promising(block)
+    sets = [s for _, texts in steps(pa.array(block["body"], pa.binary())) for s in shingle_sets(texts, words)]
+    size = np.array(list(map(len, sets)))
+    number, at = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    root = np.unique(np.array(block["part"], object), return_inverse=True)[1]
+    flag = np.zeros(len(number), np.int64)
+    for i in np.argsort(-near.sum(axis=1), kind="stable"):
+        if not (near[i] & (root != root[i])).any():
+            continue
+        own = at[first[i] : first[i] + size[i]]
+        flag[own] = 1
+        shared = np.add.reduceat(flag[at], first)
+        flag[own] = 0
+        for j in np.flatnonzero(near[i] & (5 * shared >= 4 * (size + size[i] - shared))):
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield int(i), int(j)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(key, component_id): groups of documents linked by pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-    All such pairs and no others link. Sets are put in one order, rare shingles first. Two sets with o shingles in common share one of
-    their first n - o + 1 each, and 0.8 asks for 0.8 n of either at least: the first n // 5 + 1 are keys, and at the first shared
-    one neither set may be so far advanced that too few are left. What a family of documents shares is frequent, stands last and
-    is no key unless its members are nearly alike. Every pair that meets is compared set by set.
+    Only such pairs link: each is compared set by set. They are sought by HASHES minimum hashes in bands of ROWS, so a document has
+    HASHES / ROWS keys however long it is; at a similarity of 0.8 one pair in 2,000 isn't found, at higher ones fewer.
 
-    Groups at a key needn't be compared inside when they are known to hang together: first each document is compared with one
-    other at each of its keys, rows in proportion to the keys; then, at keys where several groups are left, all documents of
-    different groups. Equal sets are one node, so copies cost one.
+    1. Documents that share a band are compared with the first of it (least key), each with the one that agrees with it in most hashes.
+    2. Bands in which several groups are left are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents that
+       agree in enough hashes with one of another group get their texts, and groups are hung together set by set; a group once hung to
+       another isn't compared with it again. Only links leave a block, no list of pairs.
 
-    Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank texts are alike.
+    Equal sets are one node, so copies cost one. Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank
+    texts are alike; rows repeated are one document and come back as often; no documents, no rows; other columns play no part.
     """
-    known = docs.where(F.col(key).isNotNull())
-    marked = cut_lineage(with_prefix(known, key, text, words))
-    nodes = marked.groupBy("_llm_set").agg(F.min(key).alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keys = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    crowd = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail")
-    shared = cut_lineage(keys.join(crowd.select("key", "head"), "key"))
-    wanted = shared.select(F.col("node").alias("_llm_node")).distinct()
-    body = known.join(wanted, F.col(key) == F.col("_llm_node"), "left_semi").select(F.col(key).alias("node"), F.col(text).cast("binary").alias("body"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, texts in steps(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], names=["node", "shingles"])
-
-    sets = cut_lineage(body.mapInArrow(run, body.withColumnRenamed("body", "shingles").schema))
-    stars = alike(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets)
-    rooted = shared.join(components(stars), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_key"), F.col(text).alias("_llm_text"))
+    marked = cut_lineage(with_signature(known, "_llm_key", "_llm_text", words))
+    nodes = cut_lineage(marked.groupBy("_llm_set").agg(F.min("_llm_key").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bands", "size"))))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    crowd = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail").select("key", "head")
+    shared = cut_lineage(keys.join(crowd, "key"))
+    sig = nodes.select("node", "sig")
+    heads = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = heads.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    best = cut_lineage(agreement(heads.select("a", "b", "x", "y")).groupBy("b").agg(F.max_by("a", "agree").alias("a")).select("a", "b"))
+    wanted = best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct()
+    stars = alike(best, _bodies(known, wanted), words)
+    rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-    left = cut_lineage(rooted.join(open_keys, "key"))
-    # groups between none of whose documents enough is left aren't paired; of single documents this says all
-    parts = left.groupBy("key", "part").agg(F.max(F.col("n") - F.col("at")).alias("rest"), F.min("n").alias("small"))
-    others = parts.select("key", *(F.col(c).alias(f"{c}_2") for c in ("part", "rest", "small")))
-    met = parts.join(others, "key").where("part < part_2 and 9 * least(rest, rest_2) >= 4 * (small + small_2)").select("key", "part", F.col("part_2").alias("other"))
-    x = left.select("key", "part", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    y = left.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    enough = 9 * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= 4 * (F.col("n1") + F.col("n2"))
-    across = met.join(x, ["key", "part"]).join(y, ["key", "other"]).where(enough).select("a", "b").distinct()
-    roots = components(stars.union(alike(across, sets)))
+    left = cut_lineage(rooted.join(open_keys, "key").join(nodes.select("node", "sig", "size"), "node"))
+    count = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_BYTES)).cast("int")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = left.join(left.groupBy("key").agg(count.alias("blocks")), "key").select("key", "node", "part", "sig", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "sig")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            some = np.flatnonzero(_promising(block).any(axis=1))
+            yield pa.RecordBatch.from_pydict({c: [v[i] for i in some] for c, v in block.items()}, schema=kinds)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            pairs = list(_linked(block, words))
+            yield pa.RecordBatch.from_pydict({"a": [block["node"][i] for i, _ in pairs], "b": [block["node"][j] for _, j in pairs]}, schema=ends)
+
+    together = ("key", "i", "j")
+    kinds = to_arrow_schema(dealt.schema)
+    sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema))
+    full = sifted.join(_bodies(known, sifted.select("node").distinct()), "node").repartition(*together).sortWithinPartitions(*together)
+    pair = dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).schema
+    ends = to_arrow_schema(pair)
+    roots = components(stars.union(full.mapInArrow(link, pair)))
     named = nodes.select("_llm_set", "node").join(roots, "node", "left").select("_llm_set", F.coalesce("root", "node").alias("component_id"))
-    return marked.select(key, "_llm_set").join(named, "_llm_set").select(key, "component_id")
+    return marked.select("_llm_key", "_llm_set").join(named, "_llm_set").select(F.col("_llm_key").alias(key), "component_id")
+
+
+def _bodies(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, body): the texts of the wanted nodes, each once."""
+    held = known.join(wanted, F.col("_llm_key") == F.col("node"), "left_semi").select(F.col("_llm_key").alias("node"), F.col("_llm_text").cast("binary").alias("body"))
+    return cut_lineage(held.groupBy("node").agg(F.first("body").alias("body")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:

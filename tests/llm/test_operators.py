@@ -410,6 +410,17 @@ def test_near_duplicates_meet_in_a_crowded_template(spark):
     assert found == {**{i: i for i in ids[100:400]}, **{x: min(i, j) for i, j in zip(ids[:100], ids[400:]) for x in (i, j)}}
 
 
+def test_recall_at_the_similarity(spark, monkeypatch):
+    """Pairs at 0.80 to 0.82 among unlike documents: at least nine in ten are found (three in 1,000 are expected to be missed), also in many small blocks."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(304)) for k in range(300)]
+    near = [" ".join([*t.split()[:271], *(f"m{k}w{i}" for i in range(33))]) for k, t in enumerate(texts)]  # 267 of 333: 0.80
+    rows = [(i, t) for i, t in enumerate(texts + near)]
+    for docs in (512, 3):
+        monkeypatch.setattr(simhash, "BLOCK_DOCS", docs)
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(found[i] in (i, i % 300) for i in found) and sum(found[300 + i] == i for i in range(300)) >= 270
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(500)] + [(1000, 2000 + i) for i in range(300)] + [(5000, 5000), (None, 1), (2000, 1000)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

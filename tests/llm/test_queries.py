@@ -8,7 +8,7 @@ from conftest import SF
 from oracle import compare, connect
 
 import corpus_pipeline
-from mediashelf.llm import decontaminate, mixing, queries, sharding, simhash, toxicity
+from mediashelf.llm import decontaminate, mixing, queries, sharding, toxicity
 
 TABLE = {2: "embeddings", 3: "conversations", 9: "pages"}
 
@@ -28,6 +28,12 @@ def test_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
+def shingles(text, words=5):
+    """The set of a text's word shingles; all words are one if there are fewer."""
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage on its own input, held against plain Python."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -42,12 +48,10 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             scores = toxicity.fit(before, spark.read.parquet(f"{SF}/labels.parquet")).scores([r["text"].encode() for r in was])
             assert kept == {r["doc_id"] for r, s in zip(was, scores) if s < 0.5} and len(kept) < len(was)
         elif name == "near_duplicates":
-            prints = [simhash.fingerprint(r["text"].encode(), 5, lanes=simhash.LANES, repeats=False) for r in was]
+            sets = [shingles(r["text"]) for r in was]
             root = list(range(len(was)))
             for i, j in itertools.combinations(sorted(range(len(was)), key=lambda i: was[i]["doc_id"]), 2):
-                x = [(a ^ b) % (1 << 64) for a, b in zip(prints[i], prints[j])]
-                near = min(n.bit_count() for a in x[: simhash.INDEXED] for n in (a & 0xFFFFFFFF, a >> 32)) <= 2
-                if near and sum(n.bit_count() for n in x) <= simhash.MOST:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     old, new = root[j], root[i]
                     root = [new if r == old else r for r in root]
             first = {}
