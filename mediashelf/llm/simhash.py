@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediashelf.session import cut_lineage
 
-from .common import Words, components, mixed, steps
+from .common import Words, bucketed, components, mixed, steps, written_count
 
 #: Shingles hashed together: the memory of one very long text.
 BLOCK = 50_000
@@ -26,6 +26,9 @@ HASHES, ROWS, AGREE = 100, 5, 66
 #: Documents of one band, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 
+#: Keys of documents whose texts are fetched by a broadcast; more are fetched by a shuffle of the texts.
+BROADCAST_KEYS = 500_000
+
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     """64 bits as a signed number: a bit is 1 if it is set in over half the hashes of the text's word shingles, repeats included.
@@ -244,6 +247,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     Equal sets are one node, so copies cost one. Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank
     texts are alike; rows repeated are one document and come back as often; no documents, no rows; other columns play no part.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_key"), F.col(text).alias("_llm_text"))
     marked = cut_lineage(with_signature(known, "_llm_key", "_llm_text", words))
     nodes = cut_lineage(marked.groupBy("_llm_set").agg(F.min("_llm_key").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bands", "size"))))
@@ -255,7 +259,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     heads = heads.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     best = cut_lineage(agreement(heads.select("a", "b", "x", "y")).groupBy("b").agg(F.max_by("a", "agree").alias("a")).select("a", "b"))
     wanted = best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct()
-    stars = alike(best, _bodies(known, wanted), words)
+    bodies, name = _bodies(known, wanted)
+    stars = alike(best, bodies, words)
+    spark.sql(f"drop table {name}")
     rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
     left = cut_lineage(rooted.join(open_keys, "key").join(nodes.select("node", "sig", "size"), "node"))
@@ -277,18 +283,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     together = ("key", "i", "j")
     kinds = to_arrow_schema(dealt.schema)
     sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema))
-    full = sifted.join(_bodies(known, sifted.select("node").distinct()), "node").repartition(*together).sortWithinPartitions(*together)
+    bodies, name = _bodies(known, sifted.select("node").distinct())
+    full = sifted.join(bodies, "node").repartition(*together).sortWithinPartitions(*together)
     pair = dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).schema
     ends = to_arrow_schema(pair)
     roots = components(stars.union(full.mapInArrow(link, pair)))
+    spark.sql(f"drop table {name}")
     named = nodes.select("_llm_set", "node").join(roots, "node", "left").select("_llm_set", F.coalesce("root", "node").alias("component_id"))
     return marked.select("_llm_key", "_llm_set").join(named, "_llm_set").select(F.col("_llm_key").alias(key), "component_id")
 
 
-def _bodies(known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, body): the texts of the wanted nodes, each once."""
-    held = known.join(wanted, F.col("_llm_key") == F.col("node"), "left_semi").select(F.col("_llm_key").alias("node"), F.col("_llm_text").cast("binary").alias("body"))
-    return cut_lineage(held.groupBy("node").agg(F.first("body").alias("body")))
+def _bodies(known: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(node, body): the texts of the wanted nodes, each once, bucketed by node; and the table's name."""
+    wanted, n = written_count(wanted)
+    held = known.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted, F.col("_llm_key") == F.col("node"), "left_semi")
+    return bucketed(held.select(F.col("_llm_key").alias("node"), F.col("_llm_text").cast("binary").alias("body")).groupBy("node").agg(F.first("body").alias("body")), "node")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
