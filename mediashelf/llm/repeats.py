@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashelf.session import cut_lineage, shared_dir
+from mediashelf.session import cut_lineage
 
-from .common import mixed, written_count
+from .common import bucketed, mixed, written_count
 
 #: Bytes of the strings that mustn't repeat.
 LENGTH = 200
@@ -204,8 +203,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, done: int = 0) -> DataFrame
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [anchors(x.as_py(), length, k, seed) for x in b.column(1)]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["key", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "vs"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,13 +211,20 @@ def repeated(texts: DataFrame, length: int = LENGTH, done: int = 0) -> DataFrame
             for key, body, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 body = body.as_py()
                 for s, n, v, twice in pieces(body, wanted.values.to_numpy(), length, k, seed, most):
-                    piece = body[s : s + n + length - 1]
-                    rows.append((key, s, n, v, twice, hashlib.blake2b(piece, digest_size=16).digest(), piece))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
+                    rows.append((key, s, n, v, twice, hashlib.blake2b(body[s : s + n + length - 1], digest_size=16).digest()))
+                    if len(rows) >= 20_000:
+                        yield _batch(rows)
+                        rows = []
             yield _batch(rows)
 
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, asked in zip(*b.columns, strict=True):
+                body, rows = body.as_py(), asked.as_py()
+                bodies = [body[r["s"] : r["s"] + r["n"] + length - 1] for r in rows]
+                columns = [pa.array([r[c] for r in rows], t) for c, t in (("v", pa.int64()), ("piece", pa.binary()), ("large", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], names=["v", "piece", "large", "body"])
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes]] = []
         size, anchor = 0, None
@@ -234,27 +239,31 @@ def repeated(texts: DataFrame, length: int = LENGTH, done: int = 0) -> DataFrame
             yield _indexed(held, length)
 
     long_enough = texts.where(F.octet_length("body") >= length)
-    found = cut_lineage(long_enough.mapInArrow(find, "key binary, v long"))
-    often = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    wanted = cut_lineage(found.join(often, "v").groupBy("key").agg(F.collect_set("v").alias("wanted")))
-    pieces_of = cut_lineage(texts.join(wanted, "key").select("key", "body", "wanted").mapInArrow(cut, "key binary, s long, n long, v long, twice boolean, piece binary, body binary"))
-    different = cut_lineage(pieces_of.groupBy("piece").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("twice").alias("twice"), F.first("body").alias("body")))
-    sharing = different.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("body")).alias("bytes"), F.max("twice").alias("twice")).where("kinds > 1 or twice")
+    found = cut_lineage(long_enough.mapInArrow(find, "key binary, vs array<long>"))
+    often = found.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    wanted = cut_lineage(found.select("key", F.explode(F.array_distinct("vs")).alias("v")).join(often, "v").groupBy("key").agg(F.collect_list("v").alias("wanted")))
+    pieces_of = cut_lineage(texts.join(wanted, "key").select("key", "body", "wanted").mapInArrow(cut, "key binary, s long, n long, v long, twice boolean, piece binary"))
+    place = F.min(F.struct("key", "s")).alias("place")
+    different = cut_lineage(pieces_of.groupBy("piece").agg(F.count("*").alias("copies"), place, F.first("n").alias("n"), F.first("v").alias("v"), F.first("twice").alias("twice")))
+    sharing = different.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes"), F.max("twice").alias("twice")).where("kinds > 1 or twice")
     sharing, large = written_count(sharing.select("v", (F.col("bytes") > BLOCK_BYTES).alias("large")), F.col("large"))
-    by_anchor = different.join(sharing.where("not large").select("v"), "v").select("v", "piece", "body").repartition("v").sortWithinPartitions("v")
+    asked = different.join(sharing, "v").select("place.key", F.struct("place.s", "n", "v", "piece", "large").alias("p"))
+    # only now the bytes of pieces, one of each kind
+    bodies = texts.join(cut_lineage(asked.groupBy("key").agg(F.collect_list("p").alias("ps"))), "key").select("body", "ps").mapInArrow(take, "v long, piece binary, large boolean, body binary")
+    by_anchor = bodies.where("not large").select("v", "piece", "body").repartition("v").sortWithinPartitions("v")
     ranges = by_anchor.mapInArrow(index, "piece binary, ranges array<struct<a: long, b: long>>")
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     ranges = ranges.union(different.where("copies > 1").select("piece", all_of.alias("ranges")))
     if large:
-        ranges = ranges.union(repeated(different.join(sharing.where("large").select("v"), "v").select(F.col("piece").alias("key"), "body"), length, done + 1))
+        ranges = ranges.union(repeated(cut_lineage(bodies.where("large").select(F.col("piece").alias("key"), "body")), length, done + 1))
     placed = pieces_of.select("key", "s", "piece").join(ranges, "piece").select("key", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("ranges"))
     return placed.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "s", "n", "v", "twice", "piece", "body"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "s", "n", "v", "twice", "piece"])
 
 
 def _indexed(held: list[tuple[bytes, bytes]], length: int) -> pa.RecordBatch:
@@ -276,20 +285,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     kept = [c for c in docs.columns if c.lower() not in (*RESULT, "removed")]
     marked = docs.select(*(F.col(f"`{c}`") for c in kept), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_llm_sha"))
     key = F.unhex(F.substring("_llm_sha", 1, 32))
-    texts = _bucketed(docs.select(F.sha2(body, 256).alias("_llm_sha"), body.alias("body")).select(key.alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")))
+    texts, name = bucketed(docs.select(F.sha2(body, 256).alias("_llm_sha"), body.alias("body")).select(key.alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")), "key")
     ranges = repeated(texts.select("key", "body"), length)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, body, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for key, body, own in zip(*b.columns, strict=True):
                 out, body, at = hashlib.sha256(), body.as_py(), 0
-                gone = union([(r["a"], r["b"] + length - 1) for r in own])
+                gone = union([(r["a"], r["b"] + length - 1) for r in own.as_py()])
                 for x, y in gone:
                     out.update(body[at:x])
                     at = y
                 out.update(body[at:])
-                rows.append((key, sum(y - x for x, y in gone), len(gone), out.hexdigest(), gone))
+                rows.append((key.as_py(), sum(y - x for x, y in gone), len(gone), out.hexdigest(), gone))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=False)), _ranges(list(columns[4]))], names=["key", "n_removed", "n_spans", "kept", "removed"])
 
@@ -298,19 +307,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     size = F.octet_length("body").cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")))
     copied = texts.where((F.col("copies") > 1) & (size >= length)).select("key", size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept"), whole.alias("removed"))
-    changed = cut_lineage(single.union(copied))
-    joined = marked.withColumn("_llm_key", key).join(changed, F.col("_llm_key") == F.col("key"), "left")
+    changed = cut_lineage(single.union(copied).toDF("_llm_key", "_llm_n", "_llm_spans", "_llm_kept", "_llm_removed"))
+    docs.sparkSession.sql(f"drop table {name}")
+    joined = marked.join(changed, key == F.col("_llm_key"), "left")
     none = F.lit(0).cast("long")
     return joined.select(
-        *(F.col(f"`{c}`") for c in kept), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept", "_llm_sha").alias("kept_sha256"), "removed",
+        *(F.col(f"`{c}`") for c in kept), "n_bytes", F.coalesce("_llm_n", none).alias("n_removed"), F.coalesce("_llm_spans", none).alias("n_spans"),
+        F.coalesce("_llm_kept", "_llm_sha").alias("kept_sha256"), F.col("_llm_removed").alias("removed"),
     )
-
-
-def _bucketed(texts: DataFrame) -> DataFrame:
-    """The texts as a table in the shared folder, bucketed by key like the shuffles that will meet it."""
-    spark = texts.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.option("path", shared_dir(spark, "texts")).option("compression", "zstd").bucketBy(parts, "key").saveAsTable(name)
-    return spark.table(name)
