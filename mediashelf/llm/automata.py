@@ -204,7 +204,7 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
     found = cut_lineage(texts.select("key", "body").mapInArrow(find, "key binary, vs array<long>").where(F.size("vs") > 0))
     each = found.select("key", F.explode("vs").alias("v"))
     often = each.groupBy("v").agg(F.count("*").alias("times")).where("times > 1").select("v")
-    wanted = cut_lineage(each.distinct().join(often, "v").groupBy("key").agg(F.collect_list("v").alias("vs")))
+    wanted = cut_lineage(found.select("key", F.explode(F.array_distinct("vs")).alias("v")).join(often, "v").groupBy("key").agg(F.collect_list("v").alias("vs")))
     pieces = cut_lineage(texts.join(wanted, "key").select("key", "body", "vs").mapInArrow(cut, "key binary, s long, n long, v long, twice boolean, piece binary"))
     place = F.min(F.struct("key", "s")).alias("place")
     different = cut_lineage(pieces.groupBy("piece").agg(F.count("*").alias("copies"), place, F.first("n").alias("n"), F.first("v").alias("v"), F.first("twice").alias("twice")))
