@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import PLAIN, Words, steps
 
@@ -117,12 +118,23 @@ def passage_counts(docs: DataFrame, parts: Parts, text: str) -> tuple[np.ndarray
     return out[1:], int(out[0])
 
 
-def weighted(w: Words, parts: Parts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all terms, text of each half, half and term of the words that describe)."""
+def weighted(w: Words, parts: Parts, idf: np.ndarray, telling: np.ndarray | None = None, need: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(all terms, text of each half, half and term of the words that describe, which halves begin a passage that can be a candidate).
+
+    With `telling`, marks of terms, and `need`, how many of them a candidate's surroundings hold at least, only words of halves that
+    belong to such passages are told: a passage's surroundings are half a passage to either side.
+    """
     term = parts.look_up(w.hashes())
     halves, of = passages_of(w)
-    at = np.flatnonzero((term >= 0) & (idf[term] > 0))
-    return term, halves, of[at], term[at]
+    describes, can = (term >= 0) & (idf[term] > 0), None
+    if telling is not None:
+        n = np.bincount(of[(term >= 0) & telling[term]], minlength=len(halves))
+        total = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(len(halves))
+        can = total[np.minimum(at + 3, len(halves))] - total[np.maximum(at - 1, 0)] >= need
+        describes &= (can | np.append(False, can[:-1]))[of] if len(halves) else False
+    at = np.flatnonzero(describes)
+    return term, halves, of[at], term[at], can
 
 
 def sketch(docs: DataFrame, parts: Parts, idf: np.ndarray, text: str, width: int, seed: int) -> np.ndarray:
@@ -140,7 +152,7 @@ def sketch(docs: DataFrame, parts: Parts, idf: np.ndarray, text: str, width: int
         total, n = np.zeros(draw.shape, np.float64), len(p.hashes)
         for b in batches:
             for _, texts in steps(b.column(0)):
-                _, _, half, term = weighted(Words(texts, PLAIN), p, weight)
+                _, _, half, term, _ = weighted(Words(texts, PLAIN), p, weight)
                 if not len(term):
                     continue
                 cell, tf = np.unique(half // 2 * n + term, return_counts=True)
@@ -219,7 +231,11 @@ def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: li
     """(text, part, cosine, share in order) of the parts that the texts hold; rarest: of each window of each part."""
     parts = space.parts
     w = Words(texts, PLAIN)
-    term, halves, half, words = weighted(w, parts, space.idf)
+    # a candidate needs TELLING of a window's rarest words around it: without so many of such words it needn't be projected
+    telling = np.zeros(len(space.idf) + 1, bool)
+    telling[np.unique(np.concatenate([x for near in rarest for x in near]))] = True
+    need = min(math.ceil(TELLING * len(x) - 1e-9) for near in rarest for x in near)
+    term, halves, half, words, can = weighted(w, parts, space.idf, telling, need)
     if not len(words):
         return []
     z = np.zeros((len(halves) + 1, space.basis.shape[1]), np.float32)
@@ -230,7 +246,7 @@ def held_parts(texts: list[bytes], space: Space, vectors: np.ndarray, rarest: li
     joined = np.append(halves[1:] == halves[:-1], False) if len(halves) else np.zeros(0, bool)
     passage = z[:-1] + z[1:] * joined[:, None]
     length = np.linalg.norm(passage, axis=1)
-    some = np.flatnonzero(length > 0)
+    some = np.flatnonzero((length > 0) & can)
     best: dict[tuple[int, int], tuple[float, float]] = {}
     base = np.searchsorted(halves, np.arange(len(texts)))
     for a in range(0, len(some), 4_096):
@@ -272,6 +288,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     blocks = max(1, -(-n // BLOCK), math.ceil((parts or 0) / (4 * BLOCK)))
     kind = items.select(F.col("_llm_item").alias(item)).schema
     schema = source.select(F.col("_llm_key").alias(key)).withColumns({item: F.lit(None).cast(kind[0].dataType), "cosine": F.lit(0.0), "in_order": F.lit(0.0)}).schema
+    item_kind = to_arrow_type(kind[0].dataType)
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("_llm_item", "_llm_body"), F.lit(blocks)) == k).collect()
@@ -291,7 +308,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     if found:
                         t, p, cosine, share = zip(*found, strict=True)
                         keys = b.column(0).take(pa.array([first + i for i in t]))
-                        yield pa.RecordBatch.from_arrays([keys, pa.array([s.parts.items[i] for i in p]).cast(pa.from_numpy_dtype(np.int64)) if isinstance(s.parts.items[0], int) else pa.array([s.parts.items[i] for i in p]), pa.array(cosine), pa.array(share)], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([keys, pa.array([s.parts.items[i] for i in p], item_kind), pa.array(cosine), pa.array(share)], names=schema.names)
 
         found = source.mapInArrow(run, schema).groupBy(key, item).agg(F.max("cosine").alias("cosine"), F.max("in_order").alias("in_order"))
         out = found if out is None else out.union(found)
