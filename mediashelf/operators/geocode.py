@@ -1,71 +1,56 @@
 """Reverse geocoding: the nearest city of a gazetteer for every point, with the metro rule.
 
-The gazetteer (tens of thousands of rows, size checked) is arranged as small candidate arrays per grid cell: 2-degree
-cells, 6-degree cells, polar caps, 20-degree cells, then one array of everything. A point looks up the 3x3
-neighbourhood of its cell by a broadcast equi-join and takes the nearest candidate when no city outside the
-neighbourhood can be nearer; otherwise it goes on to the next level. The points are never shuffled, so hot places
-cost nothing extra. Candidates are compared by the squared chord between unit vectors, which orders like the
-great-circle distance at a fraction of its cost; distances in kilometres are computed for the chosen one.
+Different coordinates are looked up once each, by joins on grid cells that Spark plans by size; neither side is ever shipped whole by this code.
+
+1. Near: each city is placed in its cell and the eight around it, so a point's own cell holds all cities of its neighbourhood. The nearest one
+   settles the point when no city outside can be nearer or within metro distance.
+2. Far: only unsettled coordinates go on. The cities of each coarse cell are in a ball (centre, radius); a grid has at most CELLS cells, whatever the
+   gazetteer. The balls bound the distance from both sides, and a coordinate joins just the cells that may hold its nearest city.
+
+Candidates are compared by the squared chord between unit vectors, which orders like the great-circle distance at a fraction of its cost, in
+combining aggregates; distances in kilometres are computed for the chosen one. Hot cells are left to AQE's skew splitting.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.dates import bind
 from ..functions.geo import haversine_km, valid_point
+from ..session import cut_lineage
+
+#: Degrees of a near cell: SPARSE, or FINE from DENSE_FROM cities on. Both divide 360 and 180.
+SPARSE, FINE, DENSE_FROM = 2.0, 0.5, 100_000
+
+#: Degrees of a coarse cell, and how many of them there are.
+COARSE = 6.0
+CELLS = 60 * 30
 
-CAP = 72  # polar caps begin at this latitude...
-CAP_POINTS = 76  # ...and serve points from this one
-LEVELS = (2, 6, "cap", 20)  # cell sizes in degrees; each divides 360 and 180
-MAX_CITIES = 200_000
 PLACE_TYPE = "struct<area:string,city:string,region:string,country:string>"
+_AT = ["_lat", "_lon"]
+_METRO_CHORD = 2 * math.sin(fv.METRO_KM / fv.EARTH_KM / 2)
 
 
-def _cell(lat: Column, lon: Column, size: int) -> tuple[Column, Column]:
-    row = F.least(F.floor((lat + 90) / size), F.lit(180 // size - 1)).cast("int")
-    col = F.pmod(F.floor((lon + 180) / size).cast("int"), F.lit(360 // size))
+def _cell(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
+    row = F.least(F.floor((lat + 90) / size), F.lit(int(180 / size) - 1)).cast("int")
+    col = F.pmod(F.floor((lon + 180) / size).cast("int"), F.lit(int(360 / size)))
     return row, col
 
 
-def _neighbourhoods(cities: DataFrame, level: int | str | None) -> DataFrame:
-    """(cell, near): candidate cities of each cell of a level: those of the cell and of the eight around it."""
-    if level is None:
-        # always 0, but not a literal: the lookup stays a hash join
-        placed = cities.withColumn("_cell", F.floor(F.abs("lat") / 1000).cast("int"))
-    elif level == "cap":
-        placed = cities.filter(F.abs("lat") >= CAP).withColumn("_cell", F.signum("lat").cast("int"))
-    else:
-        row, col = _cell(F.col("lat"), F.col("lon"), level)
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        spread = cities.withColumns({"_row": row, "_col": col}).select("*", F.inline(around))
-        cell = (F.col("_row") + F.col("i")) * 1000 + F.pmod(F.col("_col") + F.col("j"), F.lit(360 // level))
-        placed = spread.withColumn("_cell", cell)
-    return placed.groupBy("_cell").agg(F.collect_list(F.struct(*cities.columns)).alias("_near"))
-
-
-def _point_cell(level: int | str | None) -> Column:
-    if level is None:
-        return F.lit(0)
-    if level == "cap":
-        return F.when(F.abs("lat") >= CAP_POINTS, F.signum("lat").cast("int"))
-    row, col = _cell(F.col("lat"), F.col("lon"), level)
-    return row * 1000 + col
-
-
-def _reach_km(level: int | str | None) -> Column:
-    """No city outside the candidates of a point is nearer than this."""
-    if level is None:
-        return F.lit(float("inf"))
-    if level == "cap":
-        return F.radians(F.abs("lat") - CAP) * fv.EARTH_KM
-    # one cell of latitude, or the distance to the meridian one cell away
-    size = math.radians(level)
-    return F.least(F.lit(size), F.asin(F.cos(F.radians("lat")) * math.sin(size))) * fv.EARTH_KM
+def _number(row: Column, col: Column, size: float) -> Column:
+    return row * int(360 / size) + col
+
+
+def _reach_km(lat: Column, size: float) -> Column:
+    """No city outside the cells around a point's is nearer: one cell of latitude, or the distance to the meridian one cell away."""
+    rad = math.radians(size)
+    return F.least(F.lit(rad), F.asin(F.cos(F.radians(lat)) * math.sin(rad))) * fv.EARTH_KM
 
 
 def _unit_vector(lat: Column, lon: Column) -> dict[str, Column]:
@@ -73,64 +58,92 @@ def _unit_vector(lat: Column, lon: Column) -> dict[str, Column]:
     return {"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)}
 
 
-def _candidates(near: Column) -> Column:
-    """struct(chord2, city_id, city) per candidate: array_min is the nearest, the lowest id among equals."""
+def _nearest(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """(_lat, _lon, _first, _big): of the cities in each coordinate's cells (column _cell of both) the nearest one, and the largest within metro distance.
+
+    Equal distances go to the lowest city_id, equal populations too.
+    """
+    cities = placed.select("_cell", F.struct("city_id", "name", "lat", "lon", "population", "region", "country").alias("_city"), *(F.col(v).alias(f"_c{v}") for v in ("_x", "_y", "_z")))
+    d = [F.col(v) - F.col(f"_c{v}") for v in ("_x", "_y", "_z")]
+    chord2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    met = asked.join(cities, "_cell").select(*_AT, chord2.alias("chord2"), "_city")
+    big = F.struct(F.col("_city.population").alias("p"), (-F.col("_city.city_id")).alias("tie"), F.col("_city.name").alias("name"))
+    return met.groupBy(*_AT).agg(
+        F.min(F.struct("chord2", F.col("_city.city_id").alias("id"), F.col("_city").alias("city"))).alias("_first"),
+        F.max(F.when(F.col("chord2") <= _METRO_CHORD**2, big)).alias("_big"),
+    )
+
+
+def _balls(cities: DataFrame) -> pd.DataFrame:
+    """cell, centre and radius (as chords) of the cities of each coarse cell; at most CELLS rows."""
+    row, col = _cell(F.col("lat"), F.col("lon"), COARSE)
+    placed = cities.select(_number(row, col, COARSE).alias("_cell"), "_x", "_y", "_z")
+    centre = placed.groupBy("_cell").agg(*(F.avg(v).alias(f"_m{v}") for v in ("_x", "_y", "_z")))
+    d = [F.col(v) - F.col(f"_m{v}") for v in ("_x", "_y", "_z")]
+    radius = F.max(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    return placed.join(centre, "_cell").groupBy("_cell", "_m_x", "_m_y", "_m_z").agg(radius.alias("radius")).toPandas()
+
 
-    def chord2(c: Column) -> Column:
-        dx, dy, dz = (F.col(v) - c[v] for v in ("_x", "_y", "_z"))
-        return dx * dx + dy * dy + dz * dz
+def _far(rest: DataFrame, cities: DataFrame) -> DataFrame:
+    """`_nearest` of coordinates through the coarse cells that may hold their nearest city or one within metro distance."""
+    balls = _balls(cities)
+    cell, centre, radius = balls["_cell"].to_numpy(np.int64), balls[["_m_x", "_m_y", "_m_z"]].to_numpy(float), balls["radius"].to_numpy(float)
 
-    return F.transform(near, lambda c: F.struct(chord2(c).alias("chord2"), c["city_id"].alias("city_id"), c.alias("city")))
+    @F.pandas_udf("array<int>")
+    def cells(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        p, out = np.stack([x, y, z], axis=1), []
+        if not len(cell):
+            return pd.Series([[] for _ in p])
+        for at in range(0, len(p), 1_024):
+            away = np.sqrt(((p[at : at + 1_024, None, :] - centre) ** 2).sum(axis=2))
+            limit = np.maximum((away + radius).min(axis=1), _METRO_CHORD) + 1e-9
+            out += [cell[row] for row in away - radius <= limit[:, None]]
+        return pd.Series(out)
 
+    row, col = _cell(F.col("lat"), F.col("lon"), COARSE)
+    placed = cities.withColumn("_cell", _number(row, col, COARSE))
+    return _nearest(rest.withColumn("_cell", F.explode(cells("_x", "_y", "_z"))), placed)
 
-def reverse_geocode(points: DataFrame, cities: DataFrame, max_cities: int = MAX_CITIES) -> DataFrame:
+
+def reverse_geocode(points: DataFrame, cities: DataFrame) -> DataFrame:
     """Adds place_name, place_area, place_city, place_region, place_country to points with lat and lon.
 
-    `cities`: city_id, name, lat, lon, population, region, country. Equal distances go to the lowest city_id.
+    `cities`: city_id, name, lat, lon, population, region, country, of any number. Equal distances go to the lowest city_id.
     Country at any distance, region within 160 km, city within 40 km. A much larger city within 25 km becomes the
-    city and the nearest one its area.
+    city and the nearest one its area. Points without valid coordinates, and all points of an empty gazetteer, have no place.
     """
-    cities = cities.select("city_id", "name", "lat", "lon", "population", "region", "country").filter(
-        valid_point(F.col("lat"), F.col("lon"))
-    )
-    if cities.limit(max_cities + 1).count() > max_cities:
-        raise ValueError(f"gazetteer has more than {max_cities} cities: too large to broadcast")
-    cities = cities.withColumns(_unit_vector(F.col("lat"), F.col("lon")))
-    df = points.withColumns(_unit_vector(F.col("lat"), F.col("lon")))
-    df = df.withColumn("_todo", valid_point(F.col("lat"), F.col("lon"))).withColumn("_best", F.lit(None).cast(PLACE_TYPE))
-    for level in (*LEVELS, None):
-        table = F.broadcast(_neighbourhoods(cities, level))
-        looked = df.withColumn("_cell", F.when(F.col("_todo"), _point_cell(level))).join(table, "_cell", "left")
-        looked = looked.withColumn("_found", _candidates(F.col("_near"))).drop("_near", "_cell")
-        looked = looked.withColumn("_first", F.array_min("_found"))
-        km = 2 * fv.EARTH_KM * F.asin(F.sqrt(F.col("_first.chord2")) / 2)
-        ok = F.lit(True) if level is None else (km <= _reach_km(level)) & (_reach_km(level) >= fv.METRO_KM)
-        looked = looked.withColumn("_ok", F.col("_todo") & F.coalesce(ok, F.lit(False)))
-        place = F.when(F.col("_ok"), _choose(F.col("_first.city"), F.col("_found")))
-        df = (
-            looked.withColumn("_best", F.coalesce("_best", place))
-            .withColumn("_todo", F.col("_todo") & ~F.col("_ok"))
-            .drop("_found", "_first", "_ok")
-        )
+    known = cities.select("city_id", "name", "lat", "lon", "population", "region", "country").filter(valid_point(F.col("lat"), F.col("lon")))
+    known = known.withColumns(_unit_vector(F.col("lat"), F.col("lon")))
+    n = known.count()
+    valid = valid_point(F.col("lat"), F.col("lon"))
+    asked = points.filter(valid).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
+    asked = cut_lineage(asked.withColumns(_unit_vector(F.col("_lat"), F.col("_lon"))))
+    size = FINE if n >= DENSE_FROM else SPARSE
+    row, col = _cell(F.col("_lat"), F.col("_lon"), size)
+    own_row, own_col = _cell(F.col("lat"), F.col("lon"), size)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = known.select("*", own_row.alias("_row"), own_col.alias("_col"), F.inline(around))
+    spread = spread.withColumn("_cell", _number(F.col("_row") + F.col("i"), F.pmod(F.col("_col") + F.col("j"), F.lit(int(360 / size))), size))
+    near = _nearest(asked.withColumn("_cell", _number(row, col, size)), spread)
+    km, reach = 2 * fv.EARTH_KM * F.asin(F.sqrt("_first.chord2") / 2), _reach_km(F.col("_lat"), size)
+    near = cut_lineage(near.filter((km <= reach) & (reach >= fv.METRO_KM)))
+    far = _far(asked.join(near.select(*_AT), _AT, "left_anti"), known)
+    chosen = near.union(far).select(*_AT, _choose(F.col("_first.city"), F.col("_big")).alias("_best"))
+    df = points.join(chosen, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
     parts = F.array_compact(F.array("_best.area", "_best.city", "_best.region", "_best.country"))
     name = F.nullif(F.array_join(F.array_distinct(parts), ", "), F.lit(""))
     return df.select(
-        *[c for c in points.columns if not c.startswith("place_")],
+        *[points[c] for c in points.columns if not c.startswith("place_")],
         name.alias("place_name"),
         *[F.col(f"_best.{p}").alias(f"place_{p}") for p in ("area", "city", "region", "country")],
     )
 
 
-def _choose(first: Column, candidates: Column) -> Column:
-    """Place names of the nearest city `first`, given every candidate within metro distance."""
-    metro_chord2 = (2 * math.sin(fv.METRO_KM / fv.EARTH_KM / 2)) ** 2
-    by_size = F.transform(
-        F.filter(candidates, lambda c: c["chord2"] <= metro_chord2),
-        lambda c: F.struct(c["city"]["population"].alias("p"), (-c["city_id"]).alias("tie"), c["city"]["name"].alias("name")),
-    )
+def _choose(first: Column, big: Column) -> Column:
+    """Place names of the nearest city `first`, given the largest within metro distance (null if there is none)."""
 
     def names(near: Column) -> Column:
-        km, big = near["km"], near["big"]
+        km = near["km"]
         is_city = km <= fv.CITY_KM
         metro = (
             (-big["tie"] != first["city_id"])
@@ -145,5 +158,5 @@ def _choose(first: Column, candidates: Column) -> Column:
             first["country"].alias("country"),
         )
 
-    km = haversine_km(F.col("lat"), F.col("lon"), first["lat"], first["lon"])
-    return F.when(first.isNotNull(), bind(F.struct(km.alias("km"), F.array_max(by_size).alias("big")), names))
+    km = haversine_km(F.col("_lat"), F.col("_lon"), first["lat"], first["lon"])
+    return F.when(first.isNotNull(), bind(F.struct(km.alias("km")), names))

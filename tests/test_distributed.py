@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as s
@@ -168,6 +169,33 @@ def test_nearest_city_equals_all_pairs(spark):
     assert any(v[0] for v in want.values())
 
 
+def test_a_gazetteer_of_any_size(spark):
+    """300,000 cities, half of them in one hot region: the same as all pairs, by joins that ship no table of cities on request."""
+    rng = np.random.default_rng(5)
+    n = 300_000
+    lat = np.concatenate([rng.uniform(-89, 89, n // 2), rng.normal(48, 0.5, n - n // 2)])
+    lon = np.concatenate([rng.uniform(-180, 180, n // 2), rng.normal(2, 0.7, n - n // 2)])
+    population = 10 ** rng.integers(2, 8, n)
+    cities = pd.DataFrame({"city_id": np.arange(n), "name": [f"c{i}" for i in range(n)], "lat": lat, "lon": lon, "population": population, "region": [f"r{i % 7}" for i in range(n)], "country": [f"k{i % 5}" for i in range(n)]})
+    m = 120
+    points = pd.DataFrame({"id": np.arange(m), "lat": np.append(rng.uniform(-90, 90, m - 41), [*rng.normal(48, 0.5, 40), 90.0]), "lon": np.append(rng.uniform(-180, 180, m - 41), [*rng.normal(2, 0.7, 40), 7.0])})
+    found = geocode.reverse_geocode(spark.createDataFrame(points), spark.createDataFrame(cities))
+    assert "ResolvedHint" not in found._jdf.queryExecution().analyzed().toString()
+    rows = {r.id: r for r in found.collect()}
+    a, b = np.radians(lat), np.radians(lon)
+    for i, y, x in zip(points["id"], np.radians(points["lat"]), np.radians(points["lon"]), strict=True):
+        km = 2 * 6371.0 * np.arcsin(np.sqrt(np.sin((a - y) / 2) ** 2 + np.cos(a) * np.cos(y) * np.sin((b - x) / 2) ** 2))
+        first = int(km.argmin())
+        close = np.flatnonzero(km <= 25)
+        big = int(close[np.lexsort((close, -population[close]))[0]]) if len(close) else first
+        metro = km[first] <= 40 and big != first and population[big] >= 500_000 and population[big] >= 5 * max(population[first], 1)
+        city = (f"c{big}" if metro else f"c{first}") if km[first] <= 40 else None
+        assert (rows[i].place_area, rows[i].place_city, rows[i].place_region, rows[i].place_country) == (f"c{first}" if metro else None, city, f"r{first % 7}" if km[first] <= 160 else None, f"k{first % 5}")
+    assert sum(r.place_area is not None for r in rows.values()) > 5
+    nowhere = geocode.reverse_geocode(spark.createDataFrame(points.head(3)), spark.createDataFrame(cities.head(1)).where("false")).collect()
+    assert [r.place_name for r in nowhere] == [None] * 3
+
+
 # ---------------------------------------------------------------- counters, aliases, pages
 def test_pending_never_goes_below_zero(spark):
     rnd = random.Random(4)
