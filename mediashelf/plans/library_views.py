@@ -108,11 +108,11 @@ VIEWS = {
         select vec_id % 5 as user_id, PICK(m1,m2; vec_id; 2) as embed_model, SHA(cast(vec_id as string)) as file_hash,
           vec_id, label, embedding, PICK(photo,screenshot,document,receipt,illustration,chart,meme; vec_id; 7) as kind
         from {embeddings}""",
-    # document passages with vectors: document d carries vector d
+    # a passage of every document; document d carries vector d, if there is one
     "passages": """
-        select doc_id % 5 as user_id, SHA(cast(vec_id as string)) as file_hash, doc_id, vec_id,
-          concat(lang, ' ', source) as title, cast(1 + doc_id % 3 as int) as page, 0 as chunk, text, embedding
-        from {documents} d join {embeddings} e on d.doc_id = e.vec_id""",
+        select doc_id % 5 as user_id, SHA(cast(doc_id as string)) as file_hash, doc_id, vec_id,
+          concat(coalesce(lang, ''), ' ', coalesce(source, '')) as title, cast(1 + doc_id % 3 as int) as page, 0 as chunk, text, embedding
+        from {documents} d left join {embeddings} e on d.doc_id = e.vec_id""",
     # query vectors: every stored vector whose id is divisible by 20, asked by its own user
     "vector_queries": """
         select vec_id as query_id, vec_id % 5 as user_id, PICK(m1,m2; vec_id; 2) as embed_model, embedding

@@ -44,12 +44,12 @@ def image_hits(
 def document_hits(asked: DataFrame, passages: DataFrame, k: int, allow: DataFrame | None = None, **gate) -> DataFrame:
     """Fused document hits: the best passage of each. `asked`: query_id, user_id, embedding, keywords, filtered.
 
-    Only the candidates carry passage text; the search itself moves ids.
+    Only the candidates carry passage text; the search itself moves ids. Passages without a vector are found by their words only.
     """
     n = passage_candidates(k)
     ids = passages.withColumn("pid", F.concat_ws(":", "file_hash", F.col("chunk").cast("string")))
     by_passage = None if allow is None else allow.join(ids.select("user_id", "file_hash", "pid"), ["user_id", "file_hash"])
-    index = ids.select("user_id", F.col("pid").alias("file_hash"), "embedding")
+    index = ids.filter("embedding is not null").select("user_id", F.col("pid").alias("file_hash"), "embedding")
     passage_allow = None if by_passage is None else by_passage.select("query_id", F.col("pid").alias("file_hash"))
     near = vector_search(asked.drop("embed_model"), index, n, allow=passage_allow, space=["user_id"])
     words = bm25_search(asked, passages, TITLE_AND_TEXT, ["file_hash", "chunk"], n, allow)

@@ -304,7 +304,7 @@ def doc_tail(queries, k):
 GATE = dict(min_cos=0.2, good_cos=0.25, strong_cos=0.3, window=0.15)
 # the query vector of keyword query q is stored vector q
 DOC_FUSE = f"""{DOC_BM}, pv as (select query_id, file_hash, chunk, cos from (select q.query_id, p.file_hash, p.chunk, {dot('e.embedding', 'p.embedding')} as cos, row_number() over (partition by q.query_id order by {dot('e.embedding', 'p.embedding')} desc, concat(p.file_hash, ':', p.chunk)) as r
-    from keyword_queries q join embeddings e on e.vec_id = q.query_id join passages p on p.user_id = q.user_id) x where r <= 40),
+    from keyword_queries q join embeddings e on e.vec_id = q.query_id join passages p on p.user_id = q.user_id and p.embedding is not null) x where r <= 40),
   pk as (select query_id, file_hash, chunk, bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, file_hash, chunk) as r from bm) x where r <= 40),
   """ + doc_tail("keyword_queries", 10)
 
