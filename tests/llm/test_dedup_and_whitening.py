@@ -246,3 +246,25 @@ def test_products_are_exact_at_any_size():
         y = np.random.default_rng(1).integers(-top, top, (30, 3))
         exact = [[sum(int(a) * int(b) for a, b in zip(y[:, i], y[:, j], strict=True)) for j in range(3)] for i in range(3)]
         assert whitening._products(y).tolist() == exact
+
+
+# earlier operators, with awkward columns
+
+
+def test_repeats_with_columns_named_like_inner_ones(spark):
+    from mediashelf.llm import repeats
+
+    docs = table(spark, AWKWARD)
+    got = repeats.remove_repeats(docs)
+    assert {"key", "body", "kept", "piece", "runs"} <= set(got.columns) and got.count() == len(AWKWARD)
+    assert {r["n_removed"] for r in got.collect() if r["doc_id"] in (1, 2, 3, 4)} == {0}
+
+
+def test_items_of_any_integer_type(spark):
+    from mediashelf.llm import decontaminate
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = table(spark, [(1, f"before {text} after"), (2, "nothing of the kind")])
+    for kind in ("int", "long", "short"):
+        found = decontaminate.contaminated(docs, spark.createDataFrame([(7, text)], f"item_id {kind}, text string"))
+        assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 7)]
