@@ -1,25 +1,23 @@
 """Structured Streaming forms of the ingest operators.
 
 Each function takes a streaming DataFrame; those ending in a sink return the started StreamingQuery. State is keyed by
-flow or job, so it spreads over the cluster; sinks write one directory per micro-batch, which makes replays harmless.
+job, or is a log of combining aggregates by flow, so it spreads over the cluster; sinks write one directory per micro-batch, which makes replays harmless.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.faces import assign_faces
-from ..operators.ingest import backlog, new_uploads, request_rate
+from ..operators.ingest import backlog, new_uploads, removable_folders, request_rate
+from ..operators.people import delete_files
 from ..session import shared_dir
 from ..sources.sinks import latest
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _start(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     """Process what is there and stop, or keep going with a trigger such as {"processingTime": "10 seconds"}."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -68,106 +66,128 @@ def rates(stream: DataFrame, limit: int, delay: str = "1 minute") -> DataFrame:
 
 
 # ---------------------------------------------------------------- flows
-OUTCOMES = "user_id bigint, flow_id string, outcome string, at_us bigint"
+FLOW = ["user_id", "flow_id"]
+FAR = 1 << 62
 
+#: What a flow's events come to, in microseconds: when its upload and its work were first done, when it first failed and was first cancelled.
+MOMENTS = ("up", "work", "fail", "cancel")
 
-class FlowProcessor(StatefulProcessor):
-    """One flow: which stages completed, and how it ended.
+#: Stages whose newest completed output makes the finalised row.
+OUTPUTS = {"embed": "embedded", "docindex": "document", "faces": "faces"}
 
-    Emits 'ready' once upload and embed (or docindex) completed, 'failed' at the first failure of a stage other than
-    faces, 'cancelled' at a cancel - whichever comes first - then 'stored' if the upload completes after a failure
-    (kept and shown, not searchable), and 'settled' when a stored flow stays undecided for too long. Late and repeated
-    events change nothing. State is forgotten `keep_ms` after the flow was last heard of.
-    """
-
-    def __init__(self, stuck_ms: int = 30 * 60_000, keep_ms: int = 86_400_000):
-        self.stuck_ms, self.keep_ms = stuck_ms, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.flow = handle.getValueState("flow", "uploaded boolean, worked boolean, ended string, stored boolean, heard_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        user_id, flow_id = key
-        uploaded, worked, ended, stored, heard = self.flow.get() or (False, False, None, False, 0)
-        first, out = heard == 0, []
-        for at, _, stage, state in sorted((r.at_us, r.event_id, r.stage, r.state) for r in rows):
-            before = ended
-            heard = max(heard, at // 1000)
-            if state == "completed":
-                uploaded = uploaded or stage == "upload"
-                worked = worked or stage in ("embed", "docindex")
-            if ended is None:
-                if stage == "cancel":
-                    ended = "cancelled"
-                elif state == "failed" and stage != "faces":
-                    ended = "failed"
-                elif uploaded and worked:
-                    ended = "ready"
-                if ended:
-                    out.append(Row(user_id=user_id, flow_id=flow_id, outcome=ended, at_us=at))
-            elif before == "failed" and stage == "upload" and state == "completed" and not stored:
-                stored = True
-                out.append(Row(user_id=user_id, flow_id=flow_id, outcome="stored", at_us=at))
-            if uploaded and before is None and ended == "failed":
-                stored = True  # the cloud copy was there already
-        self.flow.update((uploaded, worked, ended, stored, heard))
-        if first:
-            self.handle.registerTimer(heard + self.stuck_ms)
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        user_id, flow_id = key
-        uploaded, worked, ended, stored, heard = self.flow.get()
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if ended is None and uploaded:
-            ended = "settled"
-            self.flow.update((uploaded, worked, ended, stored, heard))
-            yield Row(user_id=user_id, flow_id=flow_id, outcome=ended, at_us=now * 1000)
-        if now >= heard + self.keep_ms:
-            self.flow.clear()
-        else:
-            self.handle.registerTimer(heard + self.keep_ms)
-
-    def close(self) -> None:
-        pass
-
-
-def finalize_stream(stage_events: DataFrame, delay: str = "10 minutes", stuck: int = 30 * 60_000, keep: int = 86_400_000) -> DataFrame:
-    """Flow outcomes of a stream of stage events (and control events of stage 'cancel'): user_id, flow_id, outcome, at_us."""
-    spark = stage_events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    at = F.unix_micros("ts").alias("at_us")
-    rows = stage_events.withWatermark("ts", delay).select("user_id", "flow_id", "event_id", "stage", "state", "ts", at)
-    return rows.groupBy("user_id", "flow_id").transformWithState(
-        FlowProcessor(stuck, keep), outputStructType=OUTCOMES, outputMode="append", timeMode="EventTime"
-    )
 
+def flow_moments(stage_events: DataFrame) -> DataFrame:
+    """One row per flow: its MOMENTS, when it was last heard of, and the newest completed output of each stage in OUTPUTS.
 
-def flow_outcomes(stage_events: DataFrame) -> DataFrame:
-    """The same outcomes from a finished table of events (without 'settled'): earliest deciding event per flow."""
-    us = F.unix_micros("ts")
+    Every column is a minimum or a maximum, so rows of parts of the events merge to those of all (`merged_moments`), in any order and however
+    often a part is repeated. `stage_events`: user_id, flow_id, event_id, ts, stage, state and optionally props, the output.
+    """
+    us, ok = F.unix_micros("ts"), F.col("state") == "completed"
 
     def first(cond) -> F.Column:
         return F.min(F.when(cond, us))
 
-    ok = F.col("state") == "completed"
-    t = stage_events.groupBy("user_id", "flow_id").agg(
+    output = F.col("props") if "props" in stage_events.columns else F.lit(None).cast("string")
+    newest = F.struct(us.alias("at_us"), F.col("event_id"), output.alias("output"))
+    return stage_events.groupBy(*FLOW).agg(
         first(ok & (F.col("stage") == "upload")).alias("up"),
         first(ok & F.col("stage").isin("embed", "docindex")).alias("work"),
         first((F.col("state") == "failed") & ~F.col("stage").isin("faces", "cancel")).alias("fail"),
         first(F.col("stage") == "cancel").alias("cancel"),
+        F.max(us).alias("heard"),
+        *(F.max(F.when(ok & (F.col("stage") == stage), newest)).alias(name) for stage, name in OUTPUTS.items()),
     )
-    far = F.lit(1 << 62)
-    t = t.withColumn("done", F.when(F.col("up").isNotNull() & F.col("work").isNotNull(), F.greatest("up", "work")))
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """The moments of each flow from those of any parts of its events."""
+    return parts.groupBy(*FLOW).agg(*(F.min(m).alias(m) for m in MOMENTS), *(F.max(c).alias(c) for c in ("heard", *OUTPUTS.values())))
+
+
+def outcomes(moments: DataFrame, now_us: int | None = None, stuck_us: int = 30 * 60_000_000) -> DataFrame:
+    """(user_id, flow_id, outcome, at_us and the outputs): how flows ended, by the time of their events.
+
+    'ready' once upload and embed (or docindex) are completed, 'failed' at the first failure of a stage other than faces, 'cancelled' at a
+    cancel, whichever comes first. A failed flow is 'stored' too if its upload completes later and before a cancel (kept and shown, not
+    searchable), and 'cancelled' too if a cancel follows: only a ready flow can't be undone. With `now_us`, an upload still undecided `stuck_us`
+    after it was stored is 'settled'. Only ready flows have outputs.
+    """
+    far = F.lit(FAR)
+    t = moments.withColumn("done", F.when(F.col("up").isNotNull() & F.col("work").isNotNull(), F.greatest("up", "work")))
     t = t.withColumn("end", F.least(*[F.coalesce(c, far) for c in ("done", "fail", "cancel")]))
     ended = F.when(F.col("end") == F.col("cancel"), "cancelled").when(F.col("end") == F.col("fail"), "failed").otherwise("ready")
-    late = (F.col("end") == F.col("fail")) & (F.col("up") > F.col("fail"))
-    rows = F.array(
-        F.when(F.col("end") < far, F.struct(ended.alias("outcome"), F.col("end").alias("at_us"))),
-        F.when(late, F.struct(F.lit("stored").alias("outcome"), F.col("up").alias("at_us"))),
-    )
-    return t.select("user_id", "flow_id", F.inline(F.array_compact(rows)))
+    t = t.withColumn("ended", F.when(F.col("end") < far, ended))
+    failed, stuck = F.col("ended") == "failed", F.col("up") + stuck_us
+
+    def row(cond, name, at) -> F.Column:
+        return F.when(cond, F.struct(name.alias("outcome"), at.alias("at_us")))
+
+    rows = [
+        row(F.col("ended").isNotNull(), F.col("ended"), F.col("end")),
+        row(failed & (F.col("up") > F.col("fail")) & (F.col("up") < F.coalesce("cancel", far)), F.lit("stored"), F.col("up")),
+        row(failed & F.col("cancel").isNotNull(), F.lit("cancelled"), F.col("cancel")),
+    ]
+    if now_us is not None:
+        rows.append(row(F.col("ended").isNull() & (stuck <= now_us), F.lit("settled"), stuck))
+    outputs = [F.when(F.col("ended") == "ready", F.col(c)["output"]).alias(c) for c in OUTPUTS.values()]
+    wide = t.select(*FLOW, *outputs, F.inline(F.array_compact(F.array(*rows))))
+    ready = F.col("outcome") == "ready"
+    return wide.select(*FLOW, "outcome", "at_us", *(F.when(ready, F.col(c)).alias(c) for c in OUTPUTS.values()))
+
+
+def flow_outcomes(stage_events: DataFrame) -> DataFrame:
+    """The outcomes of a finished table of events."""
+    return outcomes(flow_moments(stage_events))
+
+
+def finalize_stream(stage_events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write every micro-batch's moments of its flows to a log; `current_outcomes` reads what they come to.
+
+    The log is the state: a batch costs its own events, whatever came before, late events need no limit, and a replayed batch overwrites
+    itself. Events of stage 'cancel' cancel their flow. `fold_flows` keeps the log short.
+    """
+    return _start(stage_events, checkpoint, lambda df, i: append_changes(flow_moments(df), i, path), trigger=trigger)
+
+
+def current_outcomes(spark: SparkSession, path: str, delay_us: int = 10 * 60_000_000, stuck_us: int = 30 * 60_000_000) -> DataFrame:
+    """The outcomes of all flows in a log. The clock is the newest event's time less `delay_us`; by it undecided uploads are settled."""
+    log = spark.read.parquet(path)
+    newest = log.agg(F.max("heard").alias("t")).head().t
+    return outcomes(merged_moments(log), None if newest is None else newest - delay_us, stuck_us)
+
+
+def fold_flows(spark: SparkSession, path: str, target: str, keep_us: int | None = None) -> None:
+    """Write one row per flow as the first batch of a new log; switch readers and the sink to it afterwards.
+
+    With `keep_us`, ready and cancelled flows last heard of more than that before the newest event are left out: nothing can follow for them. Take
+    their outcomes over first.
+    """
+    log = spark.read.parquet(path)
+    rows = merged_moments(log)
+    if keep_us is not None and (newest := log.agg(F.max("heard").alias("t")).head().t) is not None:
+        over = outcomes(rows).where("outcome in ('ready', 'cancelled')").select(*FLOW).distinct().withColumn("over", F.lit(True))
+        rows = rows.join(over, FLOW, "left").where(F.col("over").isNull() | (F.col("heard") >= newest - keep_us)).drop("over")
+    rows.write.mode("errorifexists").parquet(f"{target}/batch_id=-1")
+
+
+def undo_cancelled(lib: dict[str, DataFrame], flows: DataFrame, ended: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The library without what cancelled flows brought, and the folders that go with it: (user_id, provider_id, path, depth).
+
+    `lib`: files, faces, people and optionally image_index and passages. `flows` (user_id, flow_id, file_hash, provider_id, folder): what each flow
+    carries. `ended`: outcomes. A cancel is a tombstone in the flows' log and is applied to whatever snapshot is read, so doing it again, also
+    after a replay or to a compacted table, changes nothing. Vectors and passages go even where there is no row of the file. Content that another
+    flow of the same user made ready stays. Folders stay while anything is in them or below.
+    """
+    content = ["user_id", "file_hash"]
+    cancelled = flows.join(ended.where("outcome = 'cancelled'").select(*FLOW).distinct(), FLOW, "left_semi")
+    ready = flows.join(ended.where("outcome = 'ready'").select(*FLOW).distinct(), FLOW, "left_semi")
+    undone = cancelled.join(ready.select(*content), content, "left_anti")
+    gone = undone.select(*content).distinct()
+    out = delete_files(lib, lib["files"].join(gone, content, "left_semi").select("user_id", "file_id"))
+    for name in ("image_index", "passages"):
+        if name in lib:
+            out[name] = lib[name].join(gone, content, "left_anti")
+    return out, removable_folders(undone, out["files"])
 
 
 # ---------------------------------------------------------------- backlog

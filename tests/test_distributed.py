@@ -278,26 +278,108 @@ def test_chunks_cover_every_word(spark, n, size, overlap):
 
 
 # ---------------------------------------------------------------- streams over several micro-batches
-def test_flows_over_many_batches(spark, lib, tmp_path):
-    events = lib("stage_events").withColumn("stage", F.when(F.col("event_id") % 40 == 7, "cancel").otherwise(F.col("stage")))
-    events = events.select("event_id", "user_id", "flow_id", "ts", "stage", "state")
+def flow_stream(spark, events, tmp_path):
     cuts = events.selectExpr("percentile_approx(event_id, array(0.3, 0.6)) as p").head().p
     for i, cond in enumerate([f"event_id <= {cuts[0]}", f"event_id > {cuts[0]} and event_id <= {cuts[1]}", f"event_id > {cuts[1]}"]):
         events.filter(cond).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    out = st.run_to_table(st.finalize_stream(stream, delay="40 days", stuck=400 * 86_400_000, keep=800 * 86_400_000))
-    got = sorted(map(tuple, out.collect()))
-    want = sorted(map(tuple, st.flow_outcomes(events).collect()))
-    assert got == want and len(want) > 100
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+
+
+def test_flows_over_many_batches(spark, lib, tmp_path):
+    events = lib("stage_events").withColumn("stage", F.when(F.col("event_id") % 40 == 7, "cancel").otherwise(F.col("stage")))
+    events = events.select("event_id", "user_id", "flow_id", "ts", "stage", "state", "props")
+    log = str(tmp_path / "log")
+    st.finalize_stream(flow_stream(spark, events, tmp_path), log, str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(log).select("batch_id").distinct().count() == 3
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    want = rows(st.flow_outcomes(events))
+    assert rows(st.current_outcomes(spark, log, stuck_us=st.FAR // 2)) == want and len(want) > 100
+    # a replayed batch, and a folded log, say the same
+    st.append_changes(st.flow_moments(spark.read.parquet(str(tmp_path / "in/part=0"))), 7, log)
+    assert rows(st.current_outcomes(spark, log, stuck_us=st.FAR // 2)) == want
+    st.fold_flows(spark, log, str(tmp_path / "log2"))
+    assert rows(st.current_outcomes(spark, str(tmp_path / "log2"), stuck_us=st.FAR // 2)) == want
+    # what is over may be left out of a fold, what is open stays
+    st.fold_flows(spark, log, str(tmp_path / "log3"), keep_us=0)
+    kept = {r.flow_id for r in spark.read.parquet(str(tmp_path / "log3")).collect()}
+    over = {r.flow_id for r in st.flow_outcomes(events).where("outcome in ('ready', 'cancelled')").collect()}
+    everything = {r.flow_id for r in events.select("flow_id").distinct().collect()}
+    assert everything - over <= kept and len(kept & over) <= 1
+
+
+STAGE_EVENTS = "event_id int, user_id long, flow_id string, stage string, state string, t string"
+
+
+def stage_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), STAGE_EVENTS).withColumn("ts", F.col("t").cast("timestamp"))
 
 
 def test_stuck_flows_are_settled(spark, tmp_path):
-    rows = [(1, 1, "f", "upload", "completed", "2024-01-01 00:00:00"), (2, 2, "g", "upload", "active", "2024-01-01 03:00:00")]
-    df = spark.createDataFrame(rows, "event_id int, user_id long, flow_id string, stage string, state string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    df = stage_rows(spark, (1, 1, "f", "upload", "completed", "2024-01-01 00:00:00"), (2, 2, "g", "upload", "active", "2024-01-01 03:00:00"), (3, 3, "h", "upload", "completed", "2024-01-01 02:45:00"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    out = st.run_to_table(st.finalize_stream(stream)).collect()
-    assert [(r.flow_id, r.outcome) for r in out] == [("f", "settled")]
+    st.finalize_stream(stream, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    assert [(r.flow_id, r.outcome) for r in st.current_outcomes(spark, str(tmp_path / "log")).collect()] == [("f", "settled")]
+
+
+def test_outcomes_of_single_flows(spark):
+    at = "2024-01-01 00:0{}:00".format
+    flows = {
+        "late sibling": [("embed", "failed", 1), ("upload", "completed", 2)],
+        "faces may fail": [("upload", "completed", 1), ("faces", "failed", 2), ("embed", "completed", 3)],
+        "failed, then cancelled": [("embed", "failed", 1), ("cancel", "active", 2), ("upload", "completed", 3)],
+        "cancelled too late": [("upload", "completed", 1), ("docindex", "completed", 2), ("cancel", "active", 3)],
+        "cancelled in time": [("upload", "completed", 1), ("cancel", "active", 2), ("docindex", "completed", 3)],
+        "open": [("upload", "completed", 1), ("embed", "active", 2)],
+    }
+    rows = [(i, 1, f, stage, state, at(m)) for f, steps in flows.items() for i, (stage, state, m) in enumerate(steps)]
+    got = {}
+    for r in st.flow_outcomes(stage_rows(spark, *rows)).orderBy("at_us").collect():
+        got.setdefault(r.flow_id, []).append(r.outcome)
+    assert got == {
+        "late sibling": ["failed", "stored"], "faces may fail": ["ready"], "failed, then cancelled": ["failed", "cancelled"],
+        "cancelled too late": ["ready"], "cancelled in time": ["cancelled"],
+    }
+    assert st.flow_outcomes(stage_rows(spark, *rows).limit(0)).count() == 0
+
+
+def test_cancelled_flows_leave_nothing(spark, tmp_path):
+    """Rows, faces, vectors, passages and folders nothing else is in go, also after a replayed batch and from a compacted table."""
+    files = spark.createDataFrame(
+        [(1, 10, "a", 1, "Trips/Goa"), (1, 11, "b", 1, "Trips"), (1, 12, "c", 1, "Work"), (2, 20, "a", 1, "Trips/Goa")],
+        "user_id long, file_id long, file_hash string, provider_id int, folder string",
+    )
+    faces = spark.createDataFrame(
+        [(1, 1, 10, 7, 0.9), (1, 2, 11, 8, 0.8), (1, 3, 10, 8, 0.9), (2, 4, 20, 9, 0.5)], "user_id long, face_id long, file_id long, person_id long, score double"
+    ).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    persons = spark.createDataFrame([(1, 7, None, False), (1, 8, None, False), (2, 9, None, False)], "user_id long, person_id long, name string, hidden boolean")
+    vectors = spark.createDataFrame([(1, "a"), (1, "rowless"), (1, "b"), (2, "a")], "user_id long, file_hash string")
+    flows = spark.createDataFrame(
+        [(1, "f1", "a", 1, "Trips/Goa"), (1, "f2", "rowless", 1, "New/One"), (1, "f3", "c", 1, "Work"), (1, "f4", "c", 1, "Work")],
+        "user_id long, flow_id string, file_hash string, provider_id int, folder string",
+    )
+    events = stage_rows(
+        spark,
+        (1, 1, "f1", "upload", "completed", "2024-01-01 00:01:00"), (2, 1, "f1", "cancel", "active", "2024-01-01 00:02:00"), (3, 1, "f2", "cancel", "active", "2024-01-01 00:02:00"),
+        (4, 1, "f3", "cancel", "active", "2024-01-01 00:02:00"), (5, 1, "f4", "upload", "completed", "2024-01-01 00:03:00"), (6, 1, "f4", "embed", "completed", "2024-01-01 00:04:00"),
+    )
+    lib = {"files": files, "faces": faces, "people": people.refresh_people(persons, faces), "image_index": vectors, "passages": vectors}
+    log = str(tmp_path / "log")
+    for replay in range(2):
+        st.append_changes(st.flow_moments(events), 0, log)
+        out, folders = st.undo_cancelled(lib, flows, st.current_outcomes(spark, log))
+        assert {r.file_id for r in out["files"].collect()} == {11, 12, 20}  # c was cancelled once, but another flow made it ready
+        assert {r.face_id for r in out["faces"].collect()} == {2, 4}
+        assert {(r.person_id, r.face_count) for r in out["people"].collect()} == {(8, 1), (9, 1)}
+        for name in ("image_index", "passages"):
+            assert {tuple(r) for r in out[name].collect()} == {(1, "b"), (2, "a")}
+        assert {r.path for r in folders.collect()} == ({"Trips/Goa", "New", "New/One"})
+        for name, df in out.items():  # the compacted snapshot is undone again in the second round
+            df.write.parquet(str(tmp_path / f"{replay}/{name}"))
+        lib = {name: spark.read.parquet(str(tmp_path / f"{replay}/{name}")) for name in out}
 
 
 def test_replayed_batch_changes_nothing(spark, lib, tmp_path):
