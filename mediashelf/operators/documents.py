@@ -53,8 +53,44 @@ def index_documents(docs: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int =
     )
 
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """(user_id, file_hash, title-only page, page_count, excerpt, has_words) of documents by their pages, in one aggregate.
+
+    Numbered pages are counted; a document of unnumbered ones has one page. The excerpt is that of the first page that isn't empty,
+    cut before the shuffle. `pages` as in `chunk_pages`, with cleaned text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    excerpt = F.min(F.when(text != "", F.struct("page_no", tx.excerpt(text).alias("excerpt"))))["excerpt"]
+    numbered = F.count("page")
+    return pages.groupBy(*DOC).agg(
+        F.when(F.coalesce(F.min_by("page", "page_no"), F.lit(0)) != 0, F.lit(1)).alias("title_page"),
+        F.when(numbered > 0, numbered).otherwise(F.lit(1)).cast("int").alias("page_count"),
+        F.coalesce(excerpt, F.lit("")).alias("excerpt"),
+        F.max(F.size(tx.split_words(text)) > 0).alias("has_words"),
+    )
+
+
+def index_paged_documents(
+    docs: DataFrame, pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP
+) -> tuple[DataFrame, DataFrame]:
+    """Paged documents to passages (as `index_documents` gives them) and cards: user_id, file_hash, title, page_count, excerpt.
+
+    `docs`: user_id, file_hash, filename, heading (the title the file gives itself, or null); `pages` as in `chunk_pages`, text as extracted.
+    A document none of whose pages has a word keeps one passage, its title, on page 1 if its pages are numbered; one without pages has page_count 0.
+    """
+    clean = pages.withColumn("text", tx.clean_text(F.coalesce("text", F.lit(""))))
+    own = F.substring(F.nullif(tx.strip(F.col("heading")), F.lit("")), 1, fv.TITLE_CHARS)
+    named = docs.select(*DOC, F.coalesce(own, tx.doc_title(F.lit(""), F.col("filename"))).alias("title")).join(page_facts(clean), DOC, "left")
+    cards = named.select(*DOC, "title", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+    bare = named.where(~F.coalesce("has_words", F.lit(False)))
+    bare = bare.select(*DOC, "title", F.col("title_page").alias("page"), F.lit(0).alias("chunk"), F.col("title").alias("text"))
+    full = chunk_pages(clean, size, overlap).join(named.select(*DOC, "title"), DOC).select(*bare.columns)
+    rows = full.unionByName(bare)
+    return rows.withColumn("embed_input", F.concat_ws(". ", "title", "text")), cards
+
+
 def document_cards(docs: DataFrame) -> DataFrame:
-    """title, page_count and excerpt of plain-text documents."""
+    """title, page_count and excerpt of plain-text documents, each of one unnumbered page."""
     return docs.select(
         *DOC,
         tx.doc_title(F.col("text"), F.col("filename")).alias("title"),

@@ -85,6 +85,56 @@ def _(t, spark):
     return out.select(F.col("file_hash").alias("conv_id"), "page", F.col("chunk").cast("long").alias("chunk"), F.sha2("text", 256).alias("text_hash"))
 
 
+EXCERPT_SQL = r"substring(regexp_replace(regexp_replace(regexp_replace(text, '[#*_`>]+', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 1, 400)"
+
+# a conversation's turns as the pages of a document: some without words, some unnumbered
+PAGED = r"""p0 as (select conv_id, turn, case when conv_id % 5 = 0 then null else cast(turn + 1 as int) end as page, case when conv_id % 9 = 0 then '' else coalesce(text, '') end as text from conversations),
+    p as (select conv_id, turn, page, CLEAN as text from p0),
+    pw as (select *, list_filter(string_split_regex(text, '[\s\p{Z}]+'), lambda x: x <> '') as ws from p),
+    d as (select conv_id, case when conv_id % 4 = 0 then concat('Talk ', conv_id) else concat('minutes of ', conv_id) end as title from conversations group by conv_id),
+    fa as (select conv_id, arg_min(coalesce(page, 0), turn) as first_page, count(page) as numbered, max(len(ws)) as most,
+      first(EXCERPT order by turn) filter (where text <> '') as excerpt from pw group by conv_id)""".replace("CLEAN", CLEAN_SQL).replace("EXCERPT", EXCERPT_SQL)
+
+
+def paged(t):
+    key = (F.lit(0).alias("user_id"), F.col("conv_id").alias("file_hash"))
+    page = F.expr("if(conv_id % 5 = 0, null, cast(turn + 1 as int))").alias("page")
+    pages = t("conversations").select(*key, F.col("turn").alias("page_no"), page, F.expr("if(conv_id % 9 = 0, '', text)").alias("text"))
+    name, heading = F.concat(F.lit("minutes_of-"), "conv_id", F.lit(".pdf")).alias("filename"), F.expr("if(conv_id % 4 = 0, concat(' Talk ', conv_id), '')").alias("heading")
+    return dc.index_paged_documents(t("conversations").select("conv_id").distinct().select(*key, name, heading), pages, size=30, overlap=5)
+
+
+@query(
+    "index_paged_documents",
+    f"""with {PAGED}, n as (select *, case when len(ws) = 0 then 0 else greatest(0, cast(ceil((len(ws) - 30) / 25.0) as bigint)) + 1 end as k from pw),
+    b as (select *, coalesce(sum(k) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from n),
+    r as (select *, unnest(range(0, k)) as i from b),
+    x as (select conv_id, page, cast(before + i as bigint) as chunk, array_to_string(list_slice(ws, i * 25 + 1, i * 25 + 30), ' ') as text from r
+      union all select conv_id, case when first_page <> 0 then 1 end, 0, title from fa join d using (conv_id) where most = 0)
+    select x.conv_id, title, page, chunk, sha256(text) as text_hash, length(concat(title, '. ', text)) as n from x join d on d.conv_id = x.conv_id""",
+)
+def _(t, spark):
+    out = paged(t)[0]
+    return out.select(F.col("file_hash").alias("conv_id"), "title", "page", F.col("chunk").cast("long").alias("chunk"), F.sha2("text", 256).alias("text_hash"), F.length("embed_input").cast("long").alias("n"))
+
+
+@query(
+    "index_document_cards",
+    f"""with {INDEXED}, {PAGED}
+    select 'paged' as origin, cast(conv_id as varchar) as id, title, case when numbered > 0 then cast(numbered as int) else 1 end as page_count, sha256(coalesce(excerpt, '')) as excerpt_hash from d join fa using (conv_id)
+    union all select 'plain', concat(user_id, ':', file_hash), substring(title0, 1, 300), 1, sha256({EXCERPT_SQL.replace("text", "body")}) from w""",
+    ("uploads",),
+)
+def _(t, spark):
+    """Cards of paged documents and of plain-text ones."""
+
+    def rows(cards, origin, name):
+        return cards.select(F.lit(origin).alias("origin"), name.cast("string").alias("id"), "title", "page_count", F.sha2("excerpt", 256).alias("excerpt_hash"))
+
+    plain = rows(dc.document_cards(documents(t)), "plain", F.concat_ws(":", "user_id", "file_hash"))
+    return rows(paged(t)[1], "paged", F.col("file_hash")).unionByName(plain)
+
+
 @query(
     "sink_replace_passages",
     f"""with {INDEXED}, fresh as (select user_id, file_hash, title, chunk, text from ix where exists (select 1 from uploads u where u.user_id = ix.user_id and u.file_hash = ix.file_hash and u.lang = 'es')),

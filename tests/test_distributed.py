@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mediashelf.functions import text as tx
 from mediashelf.operators import faces as fc
-from mediashelf.operators import bm25, geocode, ingest, people, understand
+from mediashelf.operators import bm25, documents, geocode, ingest, people, understand
 from mediashelf.operators import vector_search as vs
 from mediashelf.operators.library import list_files
 from mediashelf.plans.library_views import stream_view
@@ -413,3 +413,25 @@ def test_stream_view_is_a_stream(spark):
     from conftest import SF
 
     assert stream_view(spark, SF, "uploads").isStreaming
+
+
+def test_paged_documents_keep_a_passage_each(spark):
+    """A document without words is found by its title; cards count numbered pages and quote the first page that isn't empty."""
+    docs = spark.createDataFrame(
+        [(1, "a", "my_report-v2.pdf", " Quarterly Report "), (1, "b", "scan_001.pdf", None), (1, "c", "plain.docx", ""), (1, "d", "no_pages.pdf", None)],
+        "user_id int, file_hash string, filename string, heading string",
+    )
+    pages = spark.createDataFrame(
+        [(1, "a", 1, 1, ""), (1, "a", 2, 2, "# one two\nthree"), (1, "a", 3, 3, "four five six"), (1, "b", 1, 1, None), (1, "b", 2, 2, " \n"), (1, "c", 1, None, " ")],
+        "user_id int, file_hash string, page_no int, page int, text string",
+    )
+    passages, cards = documents.index_paged_documents(docs, pages, size=2, overlap=1)
+    got = {(r.file_hash, r.page, r.chunk): (r.text, r.embed_input) for r in passages.collect()}
+    assert got == {
+        ("a", 2, 0): ("# one", "Quarterly Report. # one"), ("a", 2, 1): ("one two", "Quarterly Report. one two"), ("a", 2, 2): ("two three", "Quarterly Report. two three"),
+        ("a", 3, 3): ("four five", "Quarterly Report. four five"), ("a", 3, 4): ("five six", "Quarterly Report. five six"),
+        ("b", 1, 0): ("scan 001", "scan 001. scan 001"), ("c", None, 0): ("plain", "plain. plain"), ("d", None, 0): ("no pages", "no pages. no pages"),
+    }
+    assert {r.file_hash: (r.title, r.page_count, r.excerpt) for r in cards.collect()} == {
+        "a": ("Quarterly Report", 3, "one two three"), "b": ("scan 001", 2, ""), "c": ("plain", 1, ""), "d": ("no pages", 0, ""),
+    }
