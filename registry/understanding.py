@@ -202,7 +202,19 @@ def _(t, spark):
     return un.mentioned(typos, pp.named_people(t("people")))
 
 
-@query("understand_strip")
+def strip_sql(text: str, kinds: tuple[str, ...], names: tuple[str, ...]) -> str:
+    """What a model wrote without dates (each text has one of the phrases at most), words of the kinds, names and generic nouns."""
+    dates = rf"{fv.PREPOSITION}(?:\b(?:last|past)\s+(?:summer|winter)\b|\byesterday\b|\bchristmas\s+\d{{4}}\b|\bin\s+may\b|\btwo\s+years\s+ago\b|\bmarch\s+\d{{4}}\b|\bpast\s+\d+\s+weeks\b|\blast\s+month\b|\bhalloween\s+\d{{4}}\b|\b2022\b)"
+    out = f"regexp_replace(concat(' ', lower({text}), ' '), '{dates}', ' ')"
+    for word in [w for w, k in sorted(fv.KIND_WORDS.items(), key=lambda kv: -len(kv[0])) if k in kinds]:
+        out = f"regexp_replace({out}, '\\b{word}\\b', ' ', 'g')"
+    for name in names:
+        out = f"regexp_replace({out}, '\\b{name.lower()}(?:''s)?\\b', ' ', 'g')"
+    out = rf"trim(regexp_replace(regexp_replace({out}, '{fv.GENERIC_WORDS}', ' ', 'g'), '\s+', ' ', 'g'), ' ,.-')"
+    return rf"nullif(trim(regexp_replace({out}, '^(?:in|at|of|with|and|from)\s+|\s+(?:in|at|of|with|and|from)$', '', 'g')), '')"
+
+
+@query("understand_strip", f"select query_id, {strip_sql('text', ('receipt', 'screenshot'), ('Rahul', 'Maya', 'Lisbon', 'Goa'))} as visual from text_queries", ("text_queries",))
 def _(t, spark):
     q = t("text_queries").withColumn("names", F.split(F.lit("Rahul,Maya,Lisbon,Goa"), ","))
     kinds = F.array(F.lit("receipt"), F.lit("screenshot"))

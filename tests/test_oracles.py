@@ -22,7 +22,6 @@ def test_matches_sql(spark, con, key):
 
 def test_every_query_has_a_twin_or_a_reason():
     sequential = {
-        "face_cluster", "stream_faces", "search_pipeline",
-        "understand_strip", "join_fuzzy_name", "join_model_extract",
+        "face_cluster", "stream_faces", "search_pipeline", "join_fuzzy_name", "join_model_extract",
     }
     assert set(registry.QUERIES) - set(registry.ORACLES) <= sequential
