@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..session import cut_lineage
 from .library import folder_ancestors
 
 STAGES = ("upload", "embed", "faces", "docindex", "finalize")
@@ -65,24 +66,32 @@ def cloud_names(uploads: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- running counters
-def running_low(df: DataFrame, by: str, value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
+    """Adds _block: which of the ranges of `order`, cut by sampled ranks, a row falls into; ranges are numbered in that order."""
+    cuts = [F.col(c).asc() for c in order]
+    return (df.repartitionByRange(blocks, *cuts) if blocks else df.repartitionByRange(*cuts)).withColumn("_block", F.spark_partition_id())
+
+
+def running_low(df: DataFrame, by: str, value: str, ts: str = "ts", tie: str = "event_id", blocks: int | None = None) -> DataFrame:
     """Adds total (running sum of `value` per key in time order) and low (lowest total so far).
 
-    Two levels: prefix sums inside each hour, then over the few hourly totals of a key, so one busy key is
-    spread over its hours instead of being sorted in one task.
+    Rows are cut into ranges of (key, time, tie) by sampled ranks, about as many rows in each, and prefix sums are taken inside a range and then over
+    the totals of a key's ranges. So a key is as many tasks as it has ranges, also if all its rows fall into one hour or bear one time. The rows are
+    written once with their range, for a range must not change between the two levels. `blocks`: how many ranges, else as many as a shuffle has partitions.
     """
-    df = df.withColumn("_hour", F.date_trunc("hour", ts))
-    hour = W.partitionBy(by, "_hour").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = df.withColumn("_sum", F.sum(value).over(hour)).withColumn("_low", F.min("_sum").over(hour))
-    hours = local.groupBy(by, "_hour").agg(F.sum(value).alias("_total"), F.min("_sum").alias("_dip"))
-    before = W.partitionBy(by).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    hours = hours.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    hours = hours.withColumn("_past_low", F.min(F.col("_offset") + F.col("_dip")).over(before))
+    ranged = in_ranges(df, [by, ts, tie], blocks)
+    inside = W.partitionBy(by, "_block").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = cut_lineage(ranged.withColumn("_sum", F.sum(value).over(inside)).withColumn("_low", F.min("_sum").over(inside)))
+    parts = local.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_at")).agg(F.sum(value).alias("_total"), F.min("_low").alias("_dip"))
+    before = W.partitionBy("_by").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    parts = parts.withColumn("_past_low", F.min(F.col("_offset") + F.col("_dip")).over(before)).drop("_total", "_dip")
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at"))
     return (
-        local.join(hours.select(by, "_hour", "_offset", "_past_low"), [by, "_hour"])
+        local.join(parts, same)
         .withColumn("total", F.col("_sum") + F.col("_offset"))
         .withColumn("low", F.least(F.col("_low") + F.col("_offset"), "_past_low"))
-        .drop("_hour", "_sum", "_low", "_offset", "_past_low")
+        .drop("_by", "_at", "_block", "_sum", "_low", "_offset", "_past_low")
     )
 
 

@@ -214,6 +214,23 @@ def test_pending_never_goes_below_zero(spark):
     assert got == want
 
 
+def test_one_instant_of_one_user_is_many_ranges(spark):
+    """A user whose events all bear one time is split; so are others, and users without an id keep their rows."""
+    rnd = random.Random(5)
+    events = [(i, None if i % 50 == 0 else 2 if i % 50 == 1 else 1, rnd.choice([2, -1, -1]), 1_700_000_000) for i in range(3000)]
+    df = spark.createDataFrame(events, "event_id int, user_id int, delta int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    sizes = [r["count"] for r in ingest.in_ranges(df, ["user_id", "ts", "event_id"], 8).where("user_id = 1").groupBy("_block").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1000
+    got = {r.event_id: (r.total, r.low) for r in ingest.running_low(df, "user_id", "delta", blocks=8).collect()}
+    total, low, want = {}, {}, {}
+    for i, u, d, _ in events:
+        total[u] = total.get(u, 0) + d
+        low[u] = min(low.get(u, total[u]), total[u])
+        want[i] = (total[u], low[u])
+    assert got == want
+    assert ingest.running_low(df.limit(0), "user_id", "delta").count() == 0
+
+
 def test_alias_chains_of_ten(spark):
     alias = spark.createDataFrame([(1, i, i + 1, i) for i in range(10)], "user_id int, src int, dst int, ts int")
     faces = spark.createDataFrame([(1, 100, 0), (1, 101, 9), (1, 102, 50)], "user_id int, face_id int, person_id int")
