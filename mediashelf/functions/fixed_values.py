@@ -65,6 +65,7 @@ FILLER_WORDS = (
 GENERIC_WORDS = r"\b(photos?|pictures?|pics?|images?|shots?|snaps?)\b"
 EDGE_WORDS = "of|from|in|at|on|with|during|taken|and"
 NAME_SIMILARITY = 0.75
+LETTERS_BY_RARITY = "zqxjkvbpygfwmucldrhsnioate"  # rarest first; any order gives the same pairs of words
 
 # --- ranking -------------------------------------------------------------------------------------
 STRONG_MARGIN = 0.05

@@ -138,24 +138,34 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _rare_pairs(w: Column) -> Column:
+    """Pairs of the rarest characters of a word of two to five, marked as no run of two; of four one is left out, of five one, of fewer none."""
+    by_rarity = F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.struct(F.instr(F.lit(fv.LETTERS_BY_RARITY), c).alias("r"), c.alias("c")))
+    rare = F.slice(F.array_sort(by_rarity), F.lit(1), F.least(F.length(w), F.greatest(F.lit(3), F.length(w) - 1)))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(rare) - 2))
+    return F.flatten(F.transform(at, lambda i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda y: F.concat(F.lit("+"), F.get(rare, i)["c"], y["c"]))))
+
+
 def similar_words(left: DataFrame, right: DataFrame, min_ratio: float = fv.NAME_SIMILARITY) -> DataFrame:
     """Pairs (user_id, lword, rword) that are equal or whose difflib ratio reaches min_ratio (at least 0.75).
 
-    Exact blocking: matched characters form at most one run more than there are unmatched ones, so at 0.75 two words
-    of more than eight characters together share two neighbouring characters, and shorter ones share one. Distinct
-    words only; pairs meet on a shared gram, and the ratio's upper bound from the lengths is checked before Python.
+    Exact blocking. Matched characters form at most one run more than there are unmatched ones, so at 0.75 two words of more than eight
+    characters together share two neighbouring characters. Shorter words share at least two characters in any order (a word of one, itself): at
+    least three of four or five, two of two or three. So they share two of the rarest that are left when all but one of these are taken
+    away from the end of their characters, rarest first (`_rare_pairs`); no single letter is a key. Distinct words only; the ratio's upper bound from
+    the lengths is checked before Python.
     """
 
     def grams(df: DataFrame, word: str) -> DataFrame:
         w = F.col(word)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substr(w, i, F.lit(2)))
-        singles = F.when(F.length(w) <= 7, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
-        return df.select("user_id", word).distinct().select("user_id", word, F.explode(F.array_distinct(F.concat(pairs, singles))).alias("_gram"))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substr(w, i, F.lit(2)))
+        pairs = F.when(F.length(w).between(2, 5), _rare_pairs(w)).otherwise(F.array().cast("array<string>"))
+        return df.select("user_id", word).distinct().select("user_id", word, F.explode(F.array_distinct(F.concat(runs, pairs))).alias("_gram"))
 
     met = grams(left, "lword").join(grams(right, "rword"), ["user_id", "_gram"])
     total = F.length("lword") + F.length("rword")
     possible = 2.0 * F.least(F.length("lword"), F.length("rword")) / total >= min_ratio
-    short = (F.length("_gram") == 2) | (total <= 8)
+    short = (F.length("_gram") == 2) | (total <= 8)  # pairs hold for short words only
     pairs = met.filter(possible & short).select("user_id", "lword", "rword").distinct()
     equal = F.col("lword") == F.col("rword")
     asked = pairs.withColumn("_r", F.when(equal, F.lit(1.0)).otherwise(_ratio("lword", "rword")))

@@ -132,12 +132,16 @@ def test_keywords_from_prepared_tables(spark, lib):
 def test_similar_words_equal_all_pairs(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))) for _ in range(150)]
-    left, right = sorted(set(words[:90])), sorted(set(words[60:]))
+    words += ["".join(rnd.choice("abz1é") for _ in range(rnd.randint(1, 5))) for _ in range(200)] + ["añb", "zz", "z+", "+z1"]
+    rnd.shuffle(words)
+    left, right = sorted(set(words[:200])), sorted(set(words[150:]))
     dl = spark.createDataFrame([(1, w) for w in left], "user_id int, lword string")
     dr = spark.createDataFrame([(1, w) for w in right], "user_id int, rword string")
     got = {(r.lword, r.rword) for r in understand.similar_words(dl, dr).collect()}
     want = {(a, b) for a in left for b in right if a == b or difflib.SequenceMatcher(None, a, b).ratio() >= 0.75}
     assert got == want and len(want) > 40
+    keys = spark.createDataFrame([(w,) for w in left], "w string").select("w", understand._rare_pairs(F.col("w")).alias("k")).collect()
+    assert all(len(k) in (1, 3, 6) and all(len(x) == 3 for x in k) for w, k in keys if 2 <= len(w) <= 5)  # never a single letter
 
 
 # ---------------------------------------------------------------- geography
