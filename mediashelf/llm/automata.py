@@ -19,8 +19,8 @@ from .repeats import hashes, sliding, union
 #: Words of the windows that mustn't repeat, and of the anchors in them.
 WINDOW, ANCHOR = 35, 8
 
-#: Bytes of different pieces in one reference shard, unless one anchor has more; pieces that share an anchor with more than CROWDED_BYTES are told
-#: window by window.
+#: Bytes of different pieces in one reference shard, unless one anchor has more; pieces that share an anchor with more than CROWDED_BYTES are cut
+#: anew at longer anchors.
 SHARD_BYTES, CROWDED_BYTES = 300_000, 750_000
 
 #: Bytes of all shards' automata up to which they are broadcast; beyond, pieces go to their shard's automaton by a shuffle.
@@ -177,8 +177,9 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
        builds a shard's Automaton, of what occurs twice in it.
     4. The automata are broadcast if all of them together are at most BROADCAST_BYTES; then documents are streamed and each piece of theirs is
        matched in its anchor's shard. Beyond, the pieces go to the automata by a shuffle.
-    5. An anchor with more than CROWDED_BYTES of different pieces is settled by counting its windows' digests, so no anchor's pieces ever have
-       to meet in one task.
+    5. Different pieces of an anchor with more than CROWDED_BYTES of them are texts of their own, cut anew at longer anchors: a word by which two
+       copies differ stands in most anchors near it, which are then met once and drop out. What is crowded still at anchors of nearly a window is
+       settled by counting its windows' digests, so no anchor's pieces ever have to meet in one task.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +220,8 @@ def repeated(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFra
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     ranges = ranges.union(different.where("copies > 1").select("piece", all_of.alias("ranges")))
     if crowded:
-        ranges = ranges.union(_counted(cuts, window))
+        longer = window - (window - k) // 4
+        ranges = ranges.union(_cut_anew(cuts, window, longer) if longer < window else _counted(cuts, window))
     placed = pieces.select("key", "s", "piece").join(ranges, "piece").select("key", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))).alias("ranges"))
     return placed.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
@@ -310,6 +312,19 @@ def _matched(cuts: DataFrame, window: int) -> DataFrame:
     return met.select("piece", "body", "automaton").mapInArrow(meet, kind)
 
 
+def _cut_anew(cuts: DataFrame, window: int, k: int) -> DataFrame:
+    """(piece, ranges): starts of windows of the pieces of crowded anchors that occur twice among them, told at anchors of `k` words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cut_pieces(batches, window):
+            found = [(piece, b" ".join(words)) for shard, piece, _, words in rows if shard is None]
+            keys, bodies = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "body"])
+
+    pieces = cut_lineage(cuts.mapInArrow(each, "key binary, body binary"))
+    return repeated(pieces, window, k).select(F.col("key").alias("piece"), "ranges")
+
+
 def _counted(cuts: DataFrame, window: int) -> DataFrame:
     """(piece, ranges): starts of windows of the pieces of crowded anchors that occur twice among them, each window by its digest."""
 

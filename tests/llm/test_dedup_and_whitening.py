@@ -154,6 +154,28 @@ def test_repeated_windows_are_taken_out(spark, monkeypatch, shard, broadcast):
         assert sum(x["b"] - x["a"] for x in r["removed"] or []) == r["n_removed"]
 
 
+def test_crowds_of_near_copies_are_cut_at_longer_anchors(spark, monkeypatch):
+    """Copies that differ by a word each: fewer windows are left for their digests than the crowded pieces have."""
+    counted, window_rows = automata._counted, []
+
+    def count(cuts, window):
+        window_rows.append(cuts.select(F.explode("ps").alias("p")).where("p.shard is null").agg(F.sum("p.n")).head()[0])
+        return counted(cuts, window)
+
+    monkeypatch.setattr(automata, "CROWDED_BYTES", 20_000)
+    monkeypatch.setattr(automata, "_counted", count)
+    r = random.Random(12)
+    base, texts = [f"w{r.randrange(10**6)}" for _ in range(120)], []
+    for i in range(400):
+        t = list(base)
+        for at in r.sample(range(120), r.choice((0, 1, 1, 2))):
+            t[at] = f"other{i}"
+        texts.append(" ".join(t))
+    rows = sorted(automata.remove_repeats(table(spark, enumerate(texts))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert [r[1:4] for r in rows] == list(without_repeats(texts))
+    assert sum(window_rows) < 1_000
+
+
 def test_automaton_keeps_what_occurs_twice():
     r = random.Random(4)
     for _ in range(50):
