@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from .folders import read_folder
 
 MB = 1024 * 1024
 
@@ -36,31 +37,16 @@ def classify_uploads(df: DataFrame, max_image_mb: int = fv.MAX_IMAGE_MB, max_doc
     )
 
 
-def read_text_docs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_text_docs(spark: SparkSession, path: str, names: str = r"(?i)\.(txt|md|markdown)$") -> DataFrame:
     """TXT and Markdown files, one row each: path, filename, text. Bad UTF-8 becomes U+FFFD."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", glob or "*.{txt,md,markdown,TXT,MD}")
-    return reader.load(path).select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-    )
+    files = read_folder(spark, path, ["path", "name", "content"], names)
+    return files.select("path", F.col("name").alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_tree(spark: SparkSession, root: str, hash_content: bool = True) -> DataFrame:
     """Every supported, visible file under a folder: folder (relative), name, size, file_hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    where = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
-    base = "/" + root.split(":", 1)[-1].strip("/")
-    inside = F.substr(where, F.lit(len(base) + 2))
-    rows = files.select(
-        F.regexp_replace(F.regexp_extract(inside, r"^(.*/)?[^/]*$", 1), "/$", "").alias("folder"),
-        F.element_at(F.split(inside, "/"), -1).alias("name"),
-        F.col("length").alias("size"),
-        *([tx.content_hash(F.col("content")).alias("file_hash")] if hash_content else []),
-    )
-    supported = F.lower(F.col("name")).rlike(r"\.(pdf|docx|txt|md|jpe?g|png|gif|webp|bmp|heic|heif|avif|tiff?)$")
-    return rows.filter(~F.col("name").startswith(".") & supported)
+    supported = r"(?i)\.(pdf|docx|txt|md|jpe?g|png|gif|webp|bmp|heic|heif|avif|tiff?)$"
+    return read_folder(spark, root, ["folder", "name", "size", *(["file_hash"] if hash_content else [])], supported)
 
 
 def load_gazetteer(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,24 +13,30 @@ from .scalars import CLEAN_SQL
 
 
 def text_tree(t, spark):
-    """The documents as text files, one folder per language and source, at most 200 documents per file."""
+    """The documents as text files, one for each language, source and thousand ids, so that no folder has more."""
     root = shared_dir(spark, "tree")
-    parts = t("documents").select("text", "lang", "source").repartition("lang", "source")
-    parts.write.option("maxRecordsPerFile", 200).partitionBy("lang", "source").text(root)
+    line = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n")
+    files = t("documents").groupBy("lang", "source", F.expr("doc_id div 1000").alias("block")).agg(text.alias("text"))
+    files.write.partitionBy("lang", "source", "block").text(root)
     return root
 
 
-@query("scan_text_files", "select lang, cast(sum(length(text) + 1) as bigint) as n_chars from documents group by lang")
+#: What the files of text_tree hold.
+TREE = """with f as (select coalesce(lang, '__HIVE_DEFAULT_PARTITION__') as lang, coalesce(source, '__HIVE_DEFAULT_PARTITION__') as source, doc_id // 1000 as block,
+    string_agg(coalesce(text, '') || chr(10), '' order by doc_id, coalesce(text, '')) as body from documents group by all) """
+
+
+@query("scan_text_files", TREE + "select lang, source, cast(length(body) as bigint) as n_chars, sha256(body) as text_sha256 from f")
 def _(t, spark):
     docs = uploads.read_text_docs(spark, text_tree(t, spark))
-    lang = F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang")
-    return docs.groupBy(lang).agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
+    part = lambda name: F.regexp_extract("path", rf"/{name}=([^/]+)/", 1).alias(name)
+    return docs.select(part("lang"), part("source"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("scan_folder_tree", "select concat('lang=', lang, '/source=', source) as folder, cast(sum(strlen(text) + 1) as bigint) as n_bytes from documents group by 1")
+@query("scan_folder_tree", TREE + "select concat('lang=', lang, '/source=', source, '/block=', block) as folder, cast(strlen(body) as bigint) as size, sha256(body) as file_hash from f")
 def _(t, spark):
-    tree = uploads.read_tree(spark, text_tree(t, spark))
-    return tree.groupBy("folder").agg(F.sum("size").alias("n_bytes"))
+    return uploads.read_tree(spark, text_tree(t, spark)).select("folder", "size", "file_hash")
 
 
 @query(

@@ -1,6 +1,7 @@
 """Known answers of text, date, geography, ranking and scaling rules."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from mediashelf.functions import vectors as vc
 from mediashelf.operators import documents, geocode, ingest, ranking, understand
 from mediashelf.operators.vector_search import refine_kind
 from mediashelf.plans.search import search
+from mediashelf.sources.folders import read_folder
 from mediashelf.sources.uploads import load_gazetteer, read_text_docs, read_tree
 
 TODAY = dt.date(2026, 10, 3)
@@ -248,10 +250,30 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "c.exe").write_text("x")
     tree = {(r.folder, r.name): r.size for r in read_tree(spark, str(tmp_path)).collect()}
     assert tree == {("Trips/Goa", "a.md"): 11, ("", "b.txt"): 1}
-    docs = {r.filename: r.text for r in read_text_docs(spark, str(tmp_path)).collect() if not r.filename.startswith(".")}
+    docs = {r.filename: r.text for r in read_text_docs(spark, str(tmp_path)).collect()}
     assert docs == {"a.md": "# Hi� there", "b.txt": "x"}
 
 
+def test_folders_of_any_name_and_size(spark, tmp_path):
+    """Names with an underscore, blanks and umlauts; a folder dealt to many tasks gives each file once, with its hash."""
+    (tmp_path / "_album" / "Ä b").mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    content = {("", "_a.jpg"): b"\xff\xd8", ("_album", "c.JPG"): b"", ("_album/Ä b", "d 1%.pdf"): b"%PDF" * 9}
+    content |= {("_album", f"n{i}.txt"): bytes([i]) * i for i in range(50)}
+    for (folder, name), data in content.items():
+        (tmp_path / folder / name).write_bytes(data)
+    (tmp_path / "_album" / "no.exe").write_bytes(b"x")
+    expected = sorted((f, n, len(d), hashlib.sha256(d).hexdigest()) for (f, n), d in content.items())
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert sorted(tuple(r) for r in read_tree(spark, root).collect()) == expected
+    assert sorted(tuple(r) for r in read_tree(spark, str(tmp_path), hash_content=False).collect()) == [r[:3] for r in expected]
+    parts = read_folder(spark, str(tmp_path), ["name", "content", "file_hash"], r"(?i)\.(jpg|pdf|txt)$", partition_bytes=600_000)
+    rows = parts.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.name, bytes(r.content), r.file_hash) for r in rows) == sorted((n, d, hashlib.sha256(d).hexdigest()) for (_, n), d in content.items())
+    assert len({r.task for r in rows}) > 10
+    assert read_tree(spark, str(tmp_path / "empty")).collect() == []
+
+
 # ---------------------------------------------------------------- the whole search
 def test_search_end_to_end(spark):
     file_schema = (
