@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mediashelf.functions import vectors as vc
 from mediashelf.operators import bm25, geocode, ranking
 from mediashelf.operators import vector_search as vs
+from mediashelf.operators.library import top_k
 from mediashelf.plans import search as sp
 from mediashelf.session import cut_lineage
 
@@ -57,8 +58,6 @@ def _(t, spark):
 
 @query("win_topk_per_query", f"with {TOPN} select query_id, file_hash, rank from vn where rank <= 5", VQ)
 def _(t, spark):
-    from mediashelf.operators.library import top_k
-
     best = top_k(candidates(t).drop("rank"), ["query_id"], [F.desc("cos"), F.asc("file_hash")], 5, rank="rank")
     return best.select("query_id", "file_hash", F.col("rank").cast("long").alias("rank"))
 
@@ -196,9 +195,11 @@ FUSE_TAIL = """al as (select coalesce(sv.query_id, kw.query_id) as query_id, coa
   hi as (select * from (select *, row_number() over (partition by query_id order by raw desc, prob desc, file_hash) as position from fu) x where position <= 12)"""
 
 # ---------------------------------------------------------------- fusion of images
-# keyword candidates of the vector queries: images of the same user and kind label, weighted by their id
+# keyword candidates of the vector queries: the best KEYWORD_BEST images of the same user and kind label, weighted by their id
+KEYWORD_BEST = ranking.image_candidates(10)
 FUSE_IN = f"""{TOPN}, sv as (select vn.query_id, vn.file_hash, 1 / (1 + exp(-(30 * cos - 6))) as prob, cos - {dot('i.embedding', "(select embedding from image_index where vec_id = 0)")} as margin from vn join image_index i on i.file_hash = vn.file_hash),
-  kw as (select q.query_id, i.file_hash, round(1.0 + i.vec_id % 17 / 3.0, 9) as bm25 from vector_queries q join image_index i on i.user_id = q.user_id and i.label = (q.query_id % 10)),
+  kb as (select * from (select *, row_number() over (partition by user_id, label order by bm25 desc, file_hash) as best from (select user_id, label, file_hash, round(1.0 + vec_id % 17 / 3.0, 9) as bm25 from image_index) x) y where best <= {KEYWORD_BEST}),
+  kw as (select q.query_id, i.file_hash, i.bm25 from vector_queries q join kb i on i.user_id = q.user_id and i.label = (q.query_id % 10)),
   """ + FUSE_TAIL
 
 
@@ -208,7 +209,9 @@ def fusion_inputs(t):
     margin = F.col("cos") - F.round(vc.dot(F.lit(baseline), F.col("embedding")), 9)
     vec = near.select("query_id", "file_hash", vc.match_prob(F.col("cos"), 30.0, -6.0).alias("prob"), margin.alias("margin"))
     q = t("vector_queries").select("query_id", "user_id", (F.col("query_id") % 10).cast("int").alias("label"))
-    kw = q.join(t("image_index"), ["user_id", "label"]).select("query_id", "file_hash", F.round(1.0 + F.col("vec_id") % 17 / 3.0, 9).alias("bm25"))
+    weighed = t("image_index").select("user_id", "label", "file_hash", F.round(1.0 + F.col("vec_id") % 17 / 3.0, 9).alias("bm25"))
+    best = top_k(weighed, ["user_id", "label"], [F.desc("bm25"), F.asc("file_hash")], KEYWORD_BEST)
+    kw = q.join(best, ["user_id", "label"]).select("query_id", "file_hash", "bm25")
     return vec, kw
 
 
