@@ -385,12 +385,12 @@ def _(t, spark):
 
 # ---------------------------------------------------------------- the whole search
 def library(t):
-    """files, faces, people; image vectors and passages of the files that have one (file d carries vector d)."""
+    """files, faces, people, the images' vectors, and passages of all documents; file d carries vector d, if there is one."""
     files = t("files")
     vec = t("embeddings").select(F.col("vec_id").alias("file_id"), "embedding")
     body = t("uploads").select(F.col("upload_id").alias("file_id"), "text")
-    rows = files.join(vec, "file_id").join(body, "file_id")
-    images = rows.filter("media_type = 'image'").select(
+    rows = files.join(body, "file_id").join(vec, "file_id", "left")
+    images = rows.filter("media_type = 'image' and embedding is not null").select(
         "user_id", F.lit("m1").alias("embed_model"), "file_hash", "embedding", "tags", F.concat_ws(" ", "kind", "place_name", F.array_join("tags", " ")).alias("search_text")
     )
     docs = rows.filter("media_type = 'document'").select("user_id", "file_hash", F.coalesce("title", "name").alias("title"), F.lit(1).alias("page"), F.lit(0).alias("chunk"), "text", "embedding")
@@ -412,7 +412,7 @@ def run_search(t, rerank):
 
 
 LIB_SQL = f"""im as (select f.user_id, f.file_hash, e.embedding, array_to_string(f.tags, ' ') as tags, concat_ws(' ', f.kind, f.place_name, array_to_string(f.tags, ' ')) as search_text from files f join embeddings e on e.vec_id = f.file_id where f.media_type = 'image'),
-  ps as (select f.user_id, f.file_hash, e.embedding, coalesce(f.title, f.name) as title, 1 as page, 0 as chunk, u.text from files f join embeddings e on e.vec_id = f.file_id join uploads u on u.upload_id = f.file_id where f.media_type = 'document')"""
+  ps as (select f.user_id, f.file_hash, e.embedding, coalesce(f.title, f.name) as title, 1 as page, 0 as chunk, u.text from files f left join embeddings e on e.vec_id = f.file_id join uploads u on u.upload_id = f.file_id where f.media_type = 'document')"""
 SEARCH_SQL = f"""with {UNDERSTOOD_CTE}, {LIB_SQL},
   pi as (select user_id, lower(name) as low, min(person_id) as person_id from people where name is not null and not hidden group by all),
   a0 as (select u8.*, coalesce((select list(distinct person_id) from pi where pi.user_id = u8.user_id and list_contains(list_transform(coalesce(people, []), lambda p: lower(p)), low)), []) as ids from u8),
@@ -432,7 +432,7 @@ SEARCH_SQL = f"""with {UNDERSTOOD_CTE}, {LIB_SQL},
   {FUSE_TAIL},
   {bm25_sql('ps', 'title', 'text', ['file_hash', 'chunk'], 'bd', 'lo')},
   pv as (select query_id, file_hash, chunk, cos from (select lo.query_id, p.file_hash, p.chunk, {dot('lo.embedding', 'p.embedding')} as cos, row_number() over (partition by lo.query_id order by {dot('lo.embedding', 'p.embedding')} desc, concat(p.file_hash, ':', p.chunk)) as r
-    from lo join ps p on p.user_id = lo.user_id join ok on ok.query_id = lo.query_id and ok.file_hash = p.file_hash) x where r <= 48),
+    from lo join ps p on p.user_id = lo.user_id and p.embedding is not null join ok on ok.query_id = lo.query_id and ok.file_hash = p.file_hash) x where r <= 48),
   pk as (select query_id, file_hash, chunk, bm25 from (select bd.*, row_number() over (partition by bd.query_id order by bm25 desc, bd.file_hash, chunk) as r from bd join ok on ok.query_id = bd.query_id and ok.file_hash = bd.file_hash) x where r <= 48),
   {doc_tail('lo', 12)},
   nw as (select query_id, file_hash, position from (select a.*, row_number() over (partition by a.query_id order by event_time desc, a.file_hash) as position from allow a join lk on lk.query_id = a.query_id where lk.visual is null) x where position <= 12),
