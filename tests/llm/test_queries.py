@@ -73,3 +73,28 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert len({(r["shard"], r["slot"]) for r in now}) == len(now) and set(loads) <= set(range(40))
         before = after
     assert decontaminate.IN_ORDER and sharding.BUNDLES
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns named like results, which keep their values."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (None, "b " * 40), (5, "b " * 40), (5, "b " * 40), (6, "é 漢字   x " * 9), (7, long), (8, long + " end"), (None, None)]
+    names = ("Score", "predicted", "size", "copy", "copies", "target", "key", "n", "prefix", "component_id", "label", "body", "item_id")
+    data = [(i, t, None if k % 3 else f"s{k % 2}", None, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    whole = Counter(data)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        if name == "sharding":
+            assert {"shard", "slot"} <= set(got.columns) and Counter(map(tuple, got.select("doc_id", "text", "key").collect())) == Counter((r[0], r[1], r[10]) for r in data)
+            continue
+        assert got.columns == docs.columns
+        now = Counter(map(tuple, got.collect()))
+        if name == "near_duplicates":
+            assert {r for r in whole if r not in now} == {r for r in data if r[0] in (2, 3, 8)} and sum(now.values()) == len(data) - 3
+        elif name == "mixing":
+            taken = Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs.select("doc_id", "text", "source")).where("doc_id is not null and doc_id <> 5").collect()})
+            assert Counter({r[0]: n for r, n in now.items() if r[0] not in (None, 5)}) == +taken and set(now) <= set(whole)
+        else:
+            assert now == whole
