@@ -228,9 +228,12 @@ def assign_faces_stream(
 
 
 def replay(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A parquet table of a folder as a file stream."""
+    """A parquet table of a folder, one file or a folder of files, as a file stream.
+
+    A stream's path must be a folder unless it is a pattern; this one matches only the table itself.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:

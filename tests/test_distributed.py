@@ -436,6 +436,18 @@ def test_stream_view_is_a_stream(spark):
     assert stream_view(spark, SF, "uploads").isStreaming
 
 
+@pytest.mark.parametrize("key", ["stream_cancel_undo", "stream_dedup_uploads", "stream_faces", "stream_upsert_sink"])
+def test_streams_read_tables_of_several_files(spark, tmp_path, key):
+    """A table that is a folder of part files is streamed like one that is a single file."""
+    import __spark_entry__
+    from conftest import SF
+
+    for name in ("documents", "embeddings", "customer"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = __spark_entry__.queries()[key]
+    assert sorted(map(str, run(spark, str(tmp_path)).collect())) == sorted(map(str, run(spark, SF).collect()))
+
+
 def test_paged_documents_keep_a_passage_each(spark):
     """A document without words is found by its title; cards count numbered pages and quote the first page that isn't empty."""
     docs = spark.createDataFrame(
