@@ -200,6 +200,36 @@ def test_a_gazetteer_of_any_size(spark):
     assert [r.place_name for r in nowhere] == [None] * 3
 
 
+def test_dense_cities_settle_points_at_all_latitudes(spark, monkeypatch):
+    """In a dense gazetteer of few coordinates no point goes on to the coarse cells, and cities of one coordinate are one place."""
+    rng = np.random.default_rng(6)
+    at = [(y, x) for y in range(-84, 88, 3) for x in range(-180, 180, 12 if abs(y) < 60 else 45)]
+    at += [(y + dy, x + dx) for y, x in ((82, 10), (-70, -180), (66, 179.8), (5, 40)) for dy in (0, 0.1, 0.2) for dx in (0, 0.05, 0.09)]
+    rows = [(7 * i % 4001, f"c{7 * i % 4001}", float(at[i % len(at)][0]), float(at[i % len(at)][1]), int(10 ** rng.integers(3, 8)), f"r{i % 7}", f"k{i % 5}") for i in range(4001)]
+    cities = spark.createDataFrame(rows, "city_id int, name string, lat double, lon double, population int, region string, country string")
+    points = [(i, y + 0.06, x + 0.013) for i, (y, x) in enumerate(at[-36:])]
+    seen = {"far": 0, "held": 0}
+    far, arrays = geocode._far, geocode._arrays
+    monkeypatch.setattr(geocode, "DENSE_FROM", 100)
+    monkeypatch.setattr(geocode, "_far", lambda rest, places: (seen.update(far=rest.count()), far(rest, places))[1])
+    monkeypatch.setattr(geocode, "_arrays", lambda placed: (seen.update(held=max(seen["held"], placed.count())), arrays(placed))[1])
+    for chunk in (2_000, 2):
+        monkeypatch.setattr(geocode, "CHUNK", chunk)
+        found = geocode.reverse_geocode(spark.createDataFrame(points, "id int, lat double, lon double"), cities).collect()
+        assert len(found) == len(points) and seen["far"] == 0 and seen["held"] <= 9 * len(at)
+        for r in found:
+            _, y, x = points[r.id]
+            close = []
+            for c in rows:
+                a, b, e, f = map(math.radians, (y, x, c[2], c[3]))
+                h = math.sin((e - a) / 2) ** 2 + math.cos(a) * math.cos(e) * math.sin((f - b) / 2) ** 2
+                close.append((round(2 * 6371.0 * math.asin(math.sqrt(h)), 6), c[0], c))
+            km, _, first = min(close)
+            big = max((c for d, _, c in close if d <= 25), key=lambda c: (c[4], -c[0]))
+            metro = big[0] != first[0] and big[4] >= 500_000 and big[4] >= 5 * first[4]
+            assert km < 25 and (r.place_area, r.place_city, r.place_region) == (first[1] if metro else None, (big if metro else first)[1], first[5])
+
+
 # ---------------------------------------------------------------- counters, aliases, pages
 def test_pending_never_goes_below_zero(spark):
     rnd = random.Random(4)
