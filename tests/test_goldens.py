@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,20 @@ def test_format_bytes(spark):
     assert [r.v for r in rows.select(tx.format_bytes(F.col("b")).alias("v")).collect()] == ["0 B", "500 B", "2 KB", "5 MB", "1.5 GB", "0 B"]
 
 
+def test_format_bytes_rounds_like_c(spark):
+    """Halves to even, and a decimal by the exact value of the double, not by its shortest digits."""
+    kb, gb, tb = 1024.0, 1024.0**3, 1024.0**4
+    sizes = [18.5 * kb, 19.5 * kb, 0.5, 1.5, 2.5, 1023.5 * kb, 1.25 * gb, 1.75 * gb, 1.15 * gb, 1.35 * gb, 8.45 * gb, 99.95 * gb, 1023.96 * gb, 1023.25 * tb, 5e6 * tb, 0.3]
+    sizes += [(i + 0.05) * gb for i in range(1, 300)] + [(i / 20) * tb for i in range(20, 600)] + [(i + 0.5) * kb for i in range(1, 300)]
+
+    def c_like(b):
+        step = min(4, math.floor(math.log(b) / math.log(1024.0)))
+        return f"{b / 1024.0 ** step:.{1 if step >= 3 else 0}f} " + ("B", "KB", "MB", "GB", "TB")[step]
+
+    rows = spark.createDataFrame([(b,) for b in sizes if b >= 1], "b double").select("b", tx.format_bytes(F.col("b")).alias("v")).collect()
+    assert {r.b: r.v for r in rows} == {b: c_like(b) for b in sizes if b >= 1}
+
+
 # ---------------------------------------------------------------- dates
 RANGES = {
     "last summer": ("2026-06-01", "2026-08-31"),
