@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -128,6 +129,20 @@ def test_keywords_from_prepared_tables(spark, lib):
     assert "documents.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_of_a_keyword_search_move_once(spark, lib):
+    """Postings are counted, weighed and summed where their document is; rows of one document at several places are one."""
+    keys = ["file_hash", "chunk"]
+    docs = lib("passages").select("user_id", *keys, "title", "text")
+    found = bm25.bm25_search(lib("keyword_queries"), docs, bm25.TITLE_AND_TEXT, keys)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not re.search(r"hashpartitioning\([^)]*file_hash[^)]*(term|query_id)|hashpartitioning\([^)]*query_id[^)]*file_hash", plan)
+    rows = [(1, "a", 0, "x", "red blue red"), (1, "a", 0, "x", "blue red red"), (1, "b", 0, "", "red"), (1, "c", 0, None, None)]
+    twice = spark.createDataFrame(rows, "user_id int, file_hash string, chunk int, title string, text string").repartition(4)
+    _, df, p = bm25.bm25_index(twice, bm25.TITLE_AND_TEXT, ["user_id", *keys])
+    assert {tuple(r) for r in df.collect()} == {(1, "x", 1), (1, "red", 2), (1, "blue", 1)}
+    assert {(r.file_hash, r.term, r.tf0, r.tf1) for r in p.collect()} == {("a", "x", 2, 0), ("a", "red", 0, 4), ("a", "blue", 0, 2), ("b", "red", 0, 1)}
+
+
 # ---------------------------------------------------------------- names
 def test_similar_words_equal_all_pairs(spark):
     rnd = random.Random(3)
