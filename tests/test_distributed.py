@@ -143,6 +143,14 @@ def test_documents_of_a_keyword_search_move_once(spark, lib):
     assert {(r.file_hash, r.term, r.tf0, r.tf1) for r in p.collect()} == {("a", "x", 2, 0), ("a", "red", 0, 4), ("a", "blue", 0, 2), ("b", "red", 0, 1)}
 
 
+def test_passages_of_candidates_are_fetched_without_a_shuffle_of_texts(spark, lib):
+    from mediashelf.plans.search import document_hits
+
+    asked = lib("keyword_queries").join(lib("embeddings").selectExpr("vec_id as query_id", "embedding"), "query_id").withColumn("filtered", F.lit(False))
+    hits = document_hits(asked, lib("passages"), 10, None, min_cos=0.2, good_cos=0.25, strong_cos=0.3, window=0.15)
+    assert not re.search(r"hashpartitioning\([^)]*pid", hits._jdf.queryExecution().executedPlan().toString())
+
+
 # ---------------------------------------------------------------- names
 def test_similar_words_equal_all_pairs(spark):
     rnd = random.Random(3)
