@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked at two or fewer differing bits by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing: fingerprints of word shingles linked at two or fewer differing bits, and wide ones whose neighbours are compared set by set."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import islice
+from math import erfc
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,22 @@ from .common import Words, bucketed, components, mixed, steps, written_count
 #: Shingles hashed together: the memory of one very long text.
 BLOCK = 50_000
 
-#: Minimum hashes of a set of shingles, rows of a band of them, and how many of two sets must agree for the sets to be compared: at a
-#: similarity of 0.8 they share a band with a probability of 0.9996, and fewer than AGREE of HASHES agree once in 3,000.
-HASHES, ROWS, AGREE = 100, 5, 66
+#: A wide fingerprint: CHECK bits that go with every key, then segments of SEGMENT bits. At a similarity of 0.8 (cosine 0.89) 15 % of the bits differ.
+BITS, CHECK, SEGMENT = 1024, 64, 24
+SEGMENTS = (BITS - CHECK) // SEGMENT
 
-#: Documents of one band, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
+#: Keys of a fingerprint, and how many bits of a segment, the least sure ones, its ball may flip: of all values in the balls of all segments the
+#: likeliest are the keys.
+KEYS, UNSURE = 128, 6
+
+#: In how many bits fingerprints of sets to be compared may differ (at 0.8 more do once in 100,000), and those of sets of fewer than FEW shingles,
+#: whose bits often stand at exactly half; in how many of the CHECK bits; and from how many documents on a key keeps all without that check.
+MOST, MOST_OF_FEW, FEW, NEAR, CROWD = 204, 240, 6, 22, 32
+
+#: How often documents of several groups that meet at keys are compared one by one before such keys are compared whole.
+TURNS = 2
+
+#: Documents of one key, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 
 #: Keys of documents whose texts are fetched by a broadcast; more are fetched by a shuffle of the texts.
@@ -119,51 +131,146 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return [np.unique(out[b - k : b]) for b, k in zip(ends, n, strict=True)]
 
 
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.random.default_rng(11).integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+#: Chance that a bit differs in a set 0.8 similar, by its count's distance from half in 1/32 of standard deviations; as logarithms.
+_FLIP = np.array([erfc(1.94 * (i + 0.5) / 32 / 2**0.5) / 2 for i in range(129)])
+_STAYS, _ODDS = np.log1p(-_FLIP), np.log(_FLIP) - np.log1p(-_FLIP)
+_SUBSETS = np.arange(1 << UNSURE)[:, None] >> np.arange(UNSURE) & 1
+
+
+def tally(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes, each spread to BITS bits, every bit is set; counters of a byte, 255 hashes at once."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 255):
+        spread = mixed(hashes[at : at + 255, None] * _LANES)
+        ones += np.unpackbits(spread.view(np.uint8), axis=1).view(np.uint64).sum(axis=0).view(np.uint8)
+    return ones
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(16 bits of each minimum hash, the hash of each band of ROWS of them) of each set."""
-    x = np.concatenate(sets)
-    first = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.stack([np.minimum.reduceat(x * f >> np.uint64(24), first) for f in _FACTORS], axis=1)
-    bands = np.zeros((len(sets), HASHES // ROWS), np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, i::ROWS])
-    return (least & np.uint64(0xFFFF)).astype(np.uint16), bands.view(np.int64)
+    """(the wide fingerprint of each set and, as last word, in how many bits others may differ; its KEYS keys).
+
+    A bit is 1 if it is set in over half the hashes. A key is a segment's number and a value of the ball around the segment: up to UNSURE bits,
+    those whose counts are nearest to half, flipped. Bits that differ between similar sets are mostly such.
+    """
+    n = np.array([len(s) for s in sets])
+    over = 2 * np.stack([tally(s) for s in sets]) - n[:, None]
+    bits = over > 0
+    step = np.minimum(np.abs(over[:, CHECK:]) / np.sqrt(n)[:, None] * 32, 128).astype(np.int64).reshape(-1, SEGMENTS, SEGMENT)
+    odds = _ODDS[step]
+    unsure = np.argpartition(-odds, UNSURE, axis=2)[:, :, :UNSURE]
+    value = (bits[:, CHECK:].reshape(step.shape) @ (1 << np.arange(SEGMENT))) + (np.arange(SEGMENTS) << SEGMENT)
+    ball = (value[:, :, None] ^ ((1 << unsure) @ _SUBSETS.T)).reshape(len(sets), -1)
+    chance = (_STAYS[step].sum(axis=2)[:, :, None] + np.take_along_axis(odds, unsure, 2) @ _SUBSETS.T).reshape(len(sets), -1)
+    likeliest = np.argpartition(-chance, KEYS, axis=1)[:, :KEYS]
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    return np.column_stack([words, np.where(n < FEW, MOST_OF_FEW, MOST).astype(np.uint64)]), np.take_along_axis(ball, likeliest, 1).astype(np.int32)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many bits signatures differ, row by row, and whether so few that their sets are to be compared."""
+    n = np.bitwise_count(x[..., :-1] ^ y[..., :-1]).sum(axis=-1, dtype=np.int32)
+    return n, n <= np.maximum(x[..., -1], y[..., -1])
 
 
 def with_signature(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, _llm_set binary: the set's digest, sig binary: its signature, bands array<long>, size: bytes of the text); the text is read once."""
+    """(key, _llm_set binary: the set's digest, sig binary: its signature, keys array<int>, size: bytes of the text); the text is read once."""
     source = docs.select(F.col(text).cast("binary").alias("_llm_body"), key)
-    schema = source.select(key, F.lit(b"").alias("_llm_set"), F.lit(b"").alias("sig"), F.array(F.lit(0).cast("long")).alias("bands"), F.lit(0).cast("long").alias("size")).schema
+    schema = source.select(key, F.lit(b"").alias("_llm_set"), F.lit(b"").alias("sig"), F.array(F.lit(0)).alias("keys"), F.lit(0).cast("long").alias("size")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in steps(b.column(0)):
                 sets = shingle_sets(texts, words)
-                sig, bands = signatures(sets)
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                columns = [pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(map(len, texts)), pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), *columns], names=schema.names)
+                for at in range(0, len(sets), 256):
+                    some, sizes = sets[at : at + 256], list(map(len, texts[at : at + 256]))
+                    sig, keys = signatures(some)
+                    digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in some]
+                    columns = [pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int32())), pa.array(sizes, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([b.column(1).slice(first + at, len(some)), *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def agreement(pairs: DataFrame) -> DataFrame:
-    """(a, b, agree) of pairs (a, b, x, y), x and y their signatures: in how many hashes they agree, where that is AGREE at least."""
-    kind = pairs.select("a", "b", F.lit(0).alias("agree")).schema
+def _heads(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """For each row the first of its key that a chain of rows near each other (by their check bits) leads to; -1 for rows near no other."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(start, append=len(key))
+    crowded = np.repeat(size > CROWD, size)
+    head, met = np.where(crowded, np.repeat(start, size), np.arange(len(key))), crowded.copy()
+    left, right = [], []
+    for d in range(1, min(size.max(), CROWD)):
+        i = np.flatnonzero((key[d:] == key[:-d]) & ~crowded[d:])
+        i = i[np.bitwise_count(check[i] ^ check[i + d]) <= NEAR]
+        left.append(i)
+        right.append(i + d)
+    if left:
+        x, y = np.concatenate(left), np.concatenate(right)
+        met[x] = met[y] = True
+        while (head[x] != head[y]).any():
+            low = np.minimum(head[x], head[y])
+            np.minimum.at(head, x, low)
+            np.minimum.at(head, y, low)
+    return np.where(met, head, -1)
+
+
+def meetings(keys: DataFrame) -> DataFrame:
+    """(key, head, node): those of the rows (key, node, check) near another of their key, with the least node of those a chain of near ones leads to.
+
+    A key with more than CROWD rows keeps all, with its least node as head. Rows are read in order; of a crowded key only its head is held.
+    """
+    kind = keys.select("key", F.col("node").alias("head"), "node").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot, top = None, None, None  # rows of the last key, which may go on; a crowded key that may go on, and its head
+        for b in batches:
+            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
+            key = t.column(0).to_numpy()
+            lead = int(np.searchsorted(key, hot, "right")) if hot is not None else 0
+            if lead:
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (t.column(0)[:lead], pa.chunked_array([pa.repeat(top, lead)]), t.column(1)[:lead])], names=kind.names)
+            t, key, rest = t.slice(lead), key[lead:], None
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            crowded = len(key) - last > CROWD
+            hot, top = (key[-1], t.column(1)[last]) if crowded else (None, None)
+            if not crowded:
+                rest = t.slice(last).combine_chunks().to_batches()[0]
+                t, key = t.slice(0, last), key[:last]
+            if len(key):
+                yield found(t, key)
+        if rest is not None:
+            t = pa.Table.from_batches([rest])
+            yield found(t, t.column(0).to_numpy())
+
+    def found(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+        head = _heads(key, t.column(2).to_numpy().view(np.uint64))
+        at = np.flatnonzero(head >= 0)
+        columns = [t.column(c).combine_chunks().take(pa.array(i)) for c, i in ((0, at), (1, head[at]), (1, at))]
+        return pa.RecordBatch.from_arrays(columns, names=kind.names)
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "check").mapInArrow(run, kind)
+
+
+def close(pairs: DataFrame) -> DataFrame:
+    """(a, b, bits) of pairs (a, b, x, y), x and y their signatures: in how many bits they differ, where their sets are to be compared."""
+    kind = pairs.select("a", "b", F.lit(0).alias("bits")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, HASHES) for c in b.columns[2:])
-            n = (x == y).sum(axis=1, dtype=np.int32)
-            ok = pa.array(n >= AGREE)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(n).filter(ok)], names=["a", "b", "agree"])
+            n, few = differing(*(_words(c.to_pylist()) for c in b.columns[2:]))
+            ok = pa.array(few)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(n).filter(ok)], names=["a", "b", "bits"])
 
     return pairs.mapInArrow(run, kind)
 
 
+def _words(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, BITS // 64 + 1)
+
+
 def alike(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets have at least 4 of 5 of their shingles together in common."""
     kind = pairs.schema
@@ -202,12 +309,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 
 def _promising(block: dict[str, list]) -> np.ndarray:
-    """Which documents of a block agree in AGREE hashes or more with one of another group; a matrix."""
-    sig = np.frombuffer(b"".join(block["sig"]), np.uint16).reshape(-1, HASHES)
+    """Which documents of a block differ in few enough bits from one of another group; a matrix."""
+    sig = _words(block["sig"])
     part = np.unique(np.array(block["part"], object), return_inverse=True)[1]
     out = np.zeros((len(sig), len(sig)), bool)
     for i in range(len(sig)):
-        out[i] = ((sig == sig[i]).sum(axis=1) >= AGREE) & (part != part[i])
+        out[i] = differing(sig, sig[i])[1] & (part != part[i])
     return out
 
 
@@ -236,13 +343,17 @@ def _linked(block: dict[str, list], words: int) -> Iterator[tuple[int, int]]:
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(key, component_id): groups of documents linked by pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-    Only such pairs link: each is compared set by set. They are sought by HASHES minimum hashes in bands of ROWS, so a document has
-    HASHES / ROWS keys however long it is; at a similarity of 0.8 one pair in 2,000 isn't found, at higher ones fewer.
+    Only such pairs link: each is compared set by set. They are sought by wide SimHash fingerprints in a multi-index of SEGMENTS tables: a document
+    has KEYS keys however long it is, values of the balls around its segments. At a similarity of 0.8 about one pair in 500 isn't found, at higher
+    ones fewer.
 
-    1. Documents that share a band are compared with the first of it (least key), each with the one that agrees with it in most hashes.
-    2. Bands in which several groups are left are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents that
-       agree in enough hashes with one of another group get their texts, and groups are hung together set by set; a group once hung to
-       another isn't compared with it again. Only links leave a block, no list of pairs.
+    1. Documents that meet at a key, near by their check bits, are compared with the first of them (least key), each with the one from whose
+       fingerprint its own differs least.
+    2. Where several groups are left at a key, its documents are put in an arbitrary order, and those beside one of another group are compared,
+       each again with the one that differs least; TURNS times. Large groups grow together by this, at one pair a document.
+    3. Keys at which several groups are left then are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents whose
+       fingerprints differ little from one of another group get their texts (blocks of the same documents once), and groups are hung together set
+       by set; a group once hung to another isn't compared with it again. Only links leave a block, no list of pairs.
 
     Equal sets are one node, so copies cost one. Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank
     texts are alike; rows repeated are one document and come back as often; no documents, no rows; other columns play no part.
@@ -250,21 +361,35 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     spark = docs.sparkSession
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_key"), F.col(text).alias("_llm_text"))
     marked = cut_lineage(with_signature(known, "_llm_key", "_llm_text", words))
-    nodes = cut_lineage(marked.groupBy("_llm_set").agg(F.min("_llm_key").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bands", "size"))))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    crowd = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail").select("key", "head")
-    shared = cut_lineage(keys.join(crowd, "key"))
+    nodes = cut_lineage(marked.groupBy("_llm_set").agg(F.min("_llm_key").alias("node"), *(F.first(c).alias(c) for c in ("sig", "keys", "size"))))
+    check = F.conv(F.hex(F.substring("sig", 1, CHECK // 8)), 16, -10).cast("long")
+    keys = nodes.select("node", check.alias("check"), F.explode("keys").alias("key"))
+    shared = cut_lineage(meetings(keys).select(F.xxhash64("key", "head").alias("key"), "head", "node"))
     sig = nodes.select("node", "sig")
-    heads = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    heads = heads.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    best = cut_lineage(agreement(heads.select("a", "b", "x", "y")).groupBy("b").agg(F.max_by("a", "agree").alias("a")).select("a", "b"))
-    wanted = best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct()
-    bodies, name = _bodies(known, wanted)
-    stars = alike(best, bodies, words)
-    spark.sql(f"drop table {name}")
-    rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-    left = cut_lineage(rooted.join(open_keys, "key").join(nodes.select("node", "sig", "size"), "node"))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) the one of each b whose fingerprints differ least, if its sets are alike."""
+        both = pairs.distinct().join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+        best = cut_lineage(close(both.select("a", "b", "x", "y")).groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b"))
+        bodies, name = _bodies(known, best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct())
+        found = alike(best, bodies, words)
+        spark.sql(f"drop table {name}")
+        return found
+
+    def several(stars: DataFrame) -> tuple[DataFrame, int]:
+        """(key, node, part) of the keys at which several groups are left, and how many rows."""
+        rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+        open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+        return written_count(rooted.join(open_keys, "key"))
+
+    stars = nearest(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    left, n = several(stars)
+    for turn in range(TURNS if n else 0):
+        beside = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        rows = left.select("node", "part", F.lag("node").over(beside).alias("other"), F.lag("part").over(beside).alias("others")).where("part != others")
+        stars = stars.union(nearest(rows.select(F.col("other").alias("a"), F.col("node").alias("b")).union(rows.select(F.col("node").alias("a"), F.col("other").alias("b")))))
+        left, n = several(stars)
+    left = left.join(nodes.select("node", "sig", "size"), "node")
     count = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_BYTES)).cast("int")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = left.join(left.groupBy("key").agg(count.alias("blocks")), "key").select("key", "node", "part", "sig", own.alias("own"), other.alias("other"))
@@ -273,7 +398,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             some = np.flatnonzero(_promising(block).any(axis=1))
-            yield pa.RecordBatch.from_pydict({c: [v[i] for i in some] for c, v in block.items()}, schema=kinds)
+            rows = {c: [v[i] for i in some] for c, v in block.items()}
+            same = xxhash.xxh64_intdigest("\n".join(sorted(map(str, rows["node"])))) - (1 << 63)
+            yield pa.RecordBatch.from_pydict({**rows, "key": [same] * len(some), "i": [0] * len(some), "j": [0] * len(some)}, schema=kinds)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -282,7 +409,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
 
     together = ("key", "i", "j")
     kinds = to_arrow_schema(dealt.schema)
-    sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema))
+    sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema).dropDuplicates(["key", "node"]))
     bodies, name = _bodies(known, sifted.select("node").distinct())
     full = sifted.join(bodies, "node").repartition(*together).sortWithinPartitions(*together)
     pair = dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).schema

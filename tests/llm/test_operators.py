@@ -421,6 +421,57 @@ def test_recall_at_the_similarity(spark, monkeypatch):
         assert all(found[i] in (i, i % 300) for i in found) and sum(found[300 + i] == i for i in range(300)) >= 270
 
 
+def test_wide_fingerprints_and_the_keys_of_their_balls():
+    """Bits are majorities of the spread hashes; keys are values of segments with some of their least sure bits flipped, the likeliest ones."""
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 4, 5, 40, 700)]
+    sig, keys = simhash.signatures(sets)
+    for s, word, own in zip(sets, sig, keys.tolist()):
+        spread = np.unpackbits(common.mixed(s[:, None] * simhash._LANES).view(np.uint8), axis=1).astype(int).sum(axis=0)
+        bits = spread * 2 > len(s)
+        assert (np.unpackbits(word[:-1].view(np.uint8)) == bits).all()
+        assert len(set(own)) == simhash.KEYS
+        for k in own:
+            first = simhash.CHECK + (k >> simhash.SEGMENT) * simhash.SEGMENT
+            at = np.arange(first, first + simhash.SEGMENT)
+            flipped = at[(k >> np.arange(simhash.SEGMENT) & 1) != bits[at]]
+            far = np.abs(2 * spread[at] - len(s))
+            assert len(flipped) <= simhash.UNSURE and (np.abs(2 * spread[flipped] - len(s)) <= np.sort(far)[simhash.UNSURE - 1]).all()
+
+
+def test_similar_sets_meet_at_a_key_whatever_their_size():
+    """Sets 0.8 similar, of 4 to 320 shingles: at least 97 of 100 share a key, near all are near by all bits and by the check bits; unlike sets are not."""
+    r = np.random.default_rng(5)
+    for both, a, b in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (40, 5, 5), (256, 32, 32)):
+        pairs = [r.integers(0, 1 << 63, both + a + b, dtype=np.uint64) for _ in range(300)]
+        (x, i), (y, j) = simhash.signatures([p[: both + a] for p in pairs]), simhash.signatures([np.concatenate([p[:both], p[both + a :]]) for p in pairs])
+        assert sum(bool(set(p) & set(q)) for p, q in zip(i.tolist(), j.tolist())) >= 291
+        assert simhash.differing(x, y)[1].sum() >= 298 and (np.bitwise_count(x[:, 0] ^ y[:, 0]) <= simhash.NEAR).sum() >= 298
+        assert not simhash.differing(x, np.roll(y, 1, axis=0))[1].any()
+
+
+def test_meetings_are_those_of_all_pairs(spark):
+    """Rows near another of their key, with the first of their chain; crowded keys whole; also across batches."""
+    r, rows = random.Random(6), []
+    for key in range(400):
+        checks = [r.getrandbits(64) for _ in range(3)]
+        rows += [(key, r.choice(checks) ^ sum(1 << i for i in r.sample(range(64), 9))) for _ in range(r.choice((1, 2, 5, 20, simhash.CROWD)))]
+    rows += [(500, r.getrandbits(64)) for _ in range(300)]
+    rows = [(key, node, check) for node, (key, check) in enumerate(r.sample(rows, len(rows)))]
+    want = {(500, min(n for k, n, _ in rows if k == 500), n) for k, n, _ in rows if k == 500}
+    for key in range(400):
+        own = [(n, c) for k, n, c in rows if k == key]
+        found = brute_components([c for _, c in own], lambda a, b: (a ^ b).bit_count() <= simhash.NEAR)
+        want |= {(key, own[g][0], n) for (n, _), g in zip(own, found) if found.count(g) > 1}
+    keys = spark.createDataFrame([(k, n, c - (1 << 64) if c >> 63 else c) for k, n, c in rows], "key int, node long, check long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(x) for x in simhash.meetings(keys).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(500)] + [(1000, 2000 + i) for i in range(300)] + [(5000, 5000), (None, 1), (2000, 1000)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
