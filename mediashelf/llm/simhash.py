@@ -32,9 +32,6 @@ KEYS, UNSURE = 128, 6
 #: whose bits often stand at exactly half; in how many of the CHECK bits; and from how many documents on a key keeps all without that check.
 MOST, MOST_OF_FEW, FEW, NEAR, CROWD = 204, 240, 6, 22, 32
 
-#: How often documents of several groups that meet at keys are compared one by one before such keys are compared whole.
-TURNS = 2
-
 #: Documents of one key, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 
@@ -349,9 +346,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
 
     1. Documents that meet at a key, near by their check bits, are compared with the first of them (least key), each with the one from whose
        fingerprint its own differs least.
-    2. Where several groups are left at a key, its documents are put in an arbitrary order, and those beside one of another group are compared,
-       each again with the one that differs least; TURNS times. Large groups grow together by this, at one pair a document.
-    3. Keys at which several groups are left then are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents whose
+    2. Keys at which several groups are left are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents whose
        fingerprints differ little from one of another group get their texts (blocks of the same documents once), and groups are hung together set
        by set; a group once hung to another isn't compared with it again. Only links leave a block, no list of pairs.
 
@@ -366,30 +361,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     keys = nodes.select("node", check.alias("check"), F.explode("keys").alias("key"))
     shared = cut_lineage(meetings(keys).select(F.xxhash64("key", "head").alias("key"), "head", "node"))
     sig = nodes.select("node", "sig")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) the one of each b whose fingerprints differ least, if its sets are alike."""
-        both = pairs.distinct().join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-        best = cut_lineage(close(both.select("a", "b", "x", "y")).groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b"))
-        bodies, name = _bodies(known, best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct())
-        found = alike(best, bodies, words)
-        spark.sql(f"drop table {name}")
-        return found
-
-    def several(stars: DataFrame) -> tuple[DataFrame, int]:
-        """(key, node, part) of the keys at which several groups are left, and how many rows."""
-        rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-        open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-        return written_count(rooted.join(open_keys, "key"))
-
-    stars = nearest(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    left, n = several(stars)
-    for turn in range(TURNS if n else 0):
-        beside = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        rows = left.select("node", "part", F.lag("node").over(beside).alias("other"), F.lag("part").over(beside).alias("others")).where("part != others")
-        stars = stars.union(nearest(rows.select(F.col("other").alias("a"), F.col("node").alias("b")).union(rows.select(F.col("node").alias("a"), F.col("other").alias("b")))))
-        left, n = several(stars)
-    left = left.join(nodes.select("node", "sig", "size"), "node")
+    heads = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = heads.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    best = cut_lineage(close(heads.select("a", "b", "x", "y")).groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b"))
+    wanted = best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct()
+    bodies, name = _bodies(known, wanted)
+    stars = alike(best, bodies, words)
+    spark.sql(f"drop table {name}")
+    rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    left = cut_lineage(rooted.join(open_keys, "key").join(nodes.select("node", "sig", "size"), "node"))
     count = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_BYTES)).cast("int")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = left.join(left.groupBy("key").agg(count.alias("blocks")), "key").select("key", "node", "part", "sig", own.alias("own"), other.alias("other"))
