@@ -32,8 +32,8 @@ KEYS, UNSURE = 128, 6
 #: whose bits often stand at exactly half; in how many of the CHECK bits; and from how many documents on a key keeps all without that check.
 MOST, MOST_OF_FEW, FEW, NEAR, CROWD = 204, 240, 6, 22, 32
 
-#: Documents of one key, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks.
-BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
+#: Documents of one crowd, and bytes of their texts, that are compared at once; more are dealt to pairs of blocks. Documents of one key compared at once.
+BLOCK_DOCS, BLOCK_BYTES, KEY_DOCS = 2048, 4_000_000, 512
 
 #: Keys of documents whose texts are fetched by a broadcast; more are fetched by a shuffle of the texts.
 BROADCAST_KEYS = 500_000
@@ -251,6 +251,56 @@ def meetings(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "check").mapInArrow(run, kind)
 
 
+def _nearest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each signature the first that a chain of near ones leads to, the nearest other one, in how many bits it differs, and how many are near."""
+    bits, near = differing(sig[:, None], sig[None])
+    np.fill_diagonal(near, False)
+    head, low = None, np.arange(len(sig))
+    while head is None or (low != head).any():
+        head, low = low, np.minimum(low, np.where(near, low, len(sig)).min(axis=1))
+    bits = np.where(near, bits, BITS + 1)
+    return head, bits.argmin(axis=1), bits.min(axis=1), near.sum(axis=1)
+
+
+def neighbours(rows: DataFrame, most: int = KEY_DOCS) -> DataFrame:
+    """(node, crowd, near, bits, many): for rows (key, node, sig) near another of their key the least node that a chain of near ones leads to, the nearest one,
+    in how many bits it differs, and how many are near.
+
+    A key with over `most` rows is one crowd under its least node, and its rows are compared by so many, each time with that node; bits are more than
+    BITS for those near none of them.
+    """
+    kind = rows.select("node", F.col("node").alias("crowd"), F.col("node").alias("near"), F.lit(0).alias("bits"), F.lit(0).cast("long").alias("many")).schema
+    names = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key, held, large = [], None, [], False
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != key:
+                    out += found(held, large)
+                    key, held, large = k, [], False
+                elif len(held) == most:
+                    out += found(held, True)
+                    held, large = held[:1], True
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=names)
+            out = []
+        yield pa.RecordBatch.from_pylist(found(held, large), schema=names)
+
+    def found(held: list, large: bool) -> list[dict]:
+        if len(held) < 2:
+            return []
+        node = [n for n, _ in held]
+        rows = zip(node, *(x.tolist() for x in _nearest(_words([s for _, s in held]))), strict=True)
+        return [
+            {"node": n, "crowd": node[0 if large else head], "near": node[near], "bits": bits, "many": many}
+            for n, head, near, bits, many in rows
+            if many or large
+        ]
+
+    return rows.select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, kind)
+
+
 def close(pairs: DataFrame) -> DataFrame:
     """(a, b, bits) of pairs (a, b, x, y), x and y their signatures: in how many bits they differ, where their sets are to be compared."""
     kind = pairs.select("a", "b", F.lit(0).alias("bits")).schema
@@ -306,12 +356,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 
 def _promising(block: dict[str, list]) -> np.ndarray:
-    """Which documents of a block differ in few enough bits from one of another group; a matrix."""
-    sig = _words(block["sig"])
+    """Which documents of a pair of blocks, or of one, differ in few enough bits from one of another group; a matrix."""
+    sig, own, alone = _words(block["sig"]), np.array(block["own"]), block["i"][0] == block["j"][0]
     part = np.unique(np.array(block["part"], object), return_inverse=True)[1]
     out = np.zeros((len(sig), len(sig)), bool)
-    for i in range(len(sig)):
-        out[i] = differing(sig, sig[i])[1] & (part != part[i])
+    for i in np.flatnonzero(part != np.bincount(part).argmax()):
+        j = np.flatnonzero((part != part[i]) & (alone | (own != own[i])))
+        out[i, j] = out[j, i] = differing(sig[j], sig[i])[1]
     return out
 
 
@@ -337,6 +388,31 @@ def _linked(block: dict[str, list], words: int) -> Iterator[tuple[int, int]]:
                 yield int(i), int(j)
 
 
+def deal(rooted: DataFrame) -> DataFrame:
+    """(key: the crowd, i, j, own, node, part, sig): documents (node, crowd, part, sig, size) of crowds with several groups, once for each pair of blocks (i, j), or
+    one block, that compares theirs, `own`, with others.
+
+    The largest group of a crowd has its own blocks, which meet those of the rest but not each other. A crowd that fits in a block is one, and in crowds
+    of two the only pair is decided.
+    """
+    largest, n, size = F.max(F.struct("n", "part", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")
+    parts = rooted.groupBy("crowd", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = parts.groupBy("crowd").agg(largest, n, size).where("n > 2 and n > main.n")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK_DOCS, size / BLOCK_BYTES, F.lit(1))).cast("int")
+
+    one = blocks(F.col("n"), F.col("size")) == 1
+    mains = F.when(one, 0).otherwise(blocks(F.col("main.n"), F.col("main.size"))).alias("mains")
+    others = F.when(one, 1).otherwise(blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))).alias("others")
+    left = rooted.join(parts.select("crowd", F.col("main.part").alias("main"), mains, others), "crowd")
+    at, apart = F.xxhash64("node"), (F.col("part") == F.col("main")) & (F.col("mains") > 0)
+    own = F.when(apart, F.col("others") + F.pmod(at, "mains")).otherwise(F.pmod(at, "others")).cast("int").alias("own")
+    met = F.explode(F.sequence(F.lit(0), F.when(apart, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)).alias("met")
+    dealt = left.select("crowd", "node", "part", "sig", own, met)
+    return dealt.select(F.col("crowd").alias("key"), F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "node", "part", "sig")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5) -> DataFrame:
     """(key, component_id): groups of documents linked by pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
@@ -344,11 +420,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     has KEYS keys however long it is, values of the balls around its segments. At a similarity of 0.8 about one pair in 500 isn't found, at higher
     ones fewer.
 
-    1. Documents that meet at a key, near by their check bits, are compared with the first of them (least key), each with the one from whose
-       fingerprint its own differs least.
-    2. Keys at which several groups are left are compared whole, in blocks of bounded size, pairs of blocks where there are many. Documents whose
-       fingerprints differ little from one of another group get their texts (blocks of the same documents once), and groups are hung together set
-       by set; a group once hung to another isn't compared with it again. Only links leave a block, no list of pairs.
+    1. Documents that meet at a key and whose fingerprints differ little form a crowd, together with what they so meet at other keys.
+    2. In it each is compared with the one from whose fingerprint its own differs least, and with the one that is near to most.
+    3. Where several groups are left in a crowd, those outside its largest group are compared with all, in blocks of bounded size, pairs of blocks where
+       there are many. However many keys two documents share, they stand in their crowd once, and those of the largest group aren't compared with each
+       other. Documents whose fingerprints differ little from one of another group get their texts, and groups are hung together set by set; a group
+       once hung to another isn't compared with it again. Only links leave a block, no list of pairs.
 
     Equal sets are one node, so copies cost one. Keys must tell documents apart; those without one (null) aren't grouped. Null, empty and blank
     texts are alike; rows repeated are one document and come back as often; no documents, no rows; other columns play no part.
@@ -359,29 +436,28 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
     nodes = cut_lineage(marked.groupBy("_llm_set").agg(F.min("_llm_key").alias("node"), *(F.first(c).alias(c) for c in ("sig", "keys", "size"))))
     check = F.conv(F.hex(F.substring("sig", 1, CHECK // 8)), 16, -10).cast("long")
     keys = nodes.select("node", check.alias("check"), F.explode("keys").alias("key"))
-    shared = cut_lineage(meetings(keys).select(F.xxhash64("key", "head").alias("key"), "head", "node"))
     sig = nodes.select("node", "sig")
-    heads = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    heads = heads.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    best = cut_lineage(close(heads.select("a", "b", "x", "y")).groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b"))
-    wanted = best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node"))).distinct()
-    bodies, name = _bodies(known, wanted)
-    stars = alike(best, bodies, words)
+    shared = cut_lineage(meetings(keys).select(F.xxhash64("key", "head").alias("key"), "node"))
+    met = cut_lineage(neighbours(shared.join(sig, "node")))
+    nearest = F.min(F.struct("bits", "near")).alias("nearest")
+    met_once = cut_lineage(met.groupBy("node").agg(nearest, F.sum("many").alias("many")).select("node", "nearest.*", "many"))
+    crowds = cut_lineage(components(met.select(F.col("crowd").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("crowd")))
+    hubs = crowds.join(met_once, "node").groupBy("crowd").agg(F.max_by("node", F.struct("many", "node")).alias("hub"), F.count("*").alias("n")).where("n > 2")
+    spokes = crowds.join(hubs, "crowd").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    spokes = spokes.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    pairs = met_once.where(F.col("bits") <= BITS).select(F.col("near").alias("a"), F.col("node").alias("b")).union(close(spokes.select("a", "b", "x", "y")).select("a", "b"))
+    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    bodies, name = _bodies(known, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    stars = alike(pairs, bodies, words)
     spark.sql(f"drop table {name}")
-    rooted = shared.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    open_keys = rooted.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-    left = cut_lineage(rooted.join(open_keys, "key").join(nodes.select("node", "sig", "size"), "node"))
-    count = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_BYTES)).cast("int")
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = left.join(left.groupBy("key").agg(count.alias("blocks")), "key").select("key", "node", "part", "sig", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "sig")
+    rooted = crowds.join(components(stars), "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("part"))
+    rooted = cut_lineage(rooted.join(nodes.select("node", "sig", "size"), "node"))
+    dealt = deal(rooted)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             some = np.flatnonzero(_promising(block).any(axis=1))
-            rows = {c: [v[i] for i in some] for c, v in block.items()}
-            same = xxhash.xxh64_intdigest("\n".join(sorted(map(str, rows["node"])))) - (1 << 63)
-            yield pa.RecordBatch.from_pydict({**rows, "key": [same] * len(some), "i": [0] * len(some), "j": [0] * len(some)}, schema=kinds)
+            yield pa.RecordBatch.from_pydict({c: [v[i] for i in some] for c, v in block.items()}, schema=kinds)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -390,7 +466,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words:
 
     together = ("key", "i", "j")
     kinds = to_arrow_schema(dealt.schema)
-    sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema).dropDuplicates(["key", "node"]))
+    sifted = cut_lineage(dealt.repartition(*together).sortWithinPartitions(*together).mapInArrow(sift, dealt.schema))
     bodies, name = _bodies(known, sifted.select("node").distinct())
     full = sifted.join(bodies, "node").repartition(*together).sortWithinPartitions(*together)
     pair = dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).schema

@@ -421,6 +421,55 @@ def test_recall_at_the_similarity(spark, monkeypatch):
         assert all(found[i] in (i, i % 300) for i in found) and sum(found[300 + i] == i for i in range(300)) >= 270
 
 
+def test_documents_of_a_crowd_are_dealt_once_not_at_every_key(spark, monkeypatch):
+    """200 texts of one template, alike in no pair, share many keys; each is one row of the comparison all the same."""
+    df = spark.createDataFrame(list(enumerate(family(200, 254, 50, "d"))), "doc_id long, text string")
+    plain, seen = type(df).repartition, []
+
+    def counting(self, *by):
+        if by == ("key", "i", "j"):
+            seen.append(self.count())
+        return plain(self, *by)
+
+    monkeypatch.setattr(type(df), "repartition", counting)
+    assert {r["component_id"] for r in simhash.similar(df).collect()} == set(range(200))
+    assert 0 < seen[0] <= 200
+
+
+def test_pairs_of_groups_meet_once_in_blocks(spark, monkeypatch):
+    """1,000 documents of one group and 20 others: rows grow with the others' blocks, and every pair of two groups meets in one pair of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", 15)
+    rows = [(i, 1, 1, b"", 10) for i in range(1000)] + [(2000 + i, 1, 2000 + i // 2, b"", 10) for i in range(20)]
+    rows += [(3000, 2, 3000, b"", 10), (3001, 2, 3001, b"", 10), *((4000 + i, 3, 4000, b"", 10) for i in range(40)), *((5000 + i, 4, 5000 + i % 2, b"", 10) for i in range(4))]
+    dealt = simhash.deal(spark.createDataFrame(rows, "node long, crowd long, part long, sig binary, size long")).collect()
+    assert len(dealt) == 1000 * 2 + 20 * (67 + 2) + 4
+    cells, met = defaultdict(list), defaultdict(int)
+    for r in dealt:
+        cells[r["key"], r["i"], r["j"]].append((r["node"], r["part"], r["own"]))
+    for (_, i, j), held in cells.items():
+        for a, p, x in held:
+            for b, q, y in held:
+                met[a, b] += a < b and p != q and (i == j or x != y)
+    part = {r[0]: (r[1], r[2]) for r in rows}
+    want = {(a, b) for a in part for b in part if a < b and part[a][0] == part[b][0] in (1, 4) and part[a][1] != part[b][1]}
+    assert {p: n for p, n in met.items() if n} == dict.fromkeys(want, 1)
+
+
+def test_neighbours_at_small_and_large_keys(spark):
+    """Rows near another of their key, with chain, nearest and count; a key over the limit is one crowd, compared portion by portion."""
+    r, limit = random.Random(12), simhash.MOST
+    base = [r.getrandbits(simhash.BITS) for _ in range(3)]
+    prints = [b ^ sum(1 << i for i in r.sample(range(simhash.BITS), 60)) for b in base for _ in range(4)] + [r.getrandbits(simhash.BITS)]
+    raw = [p.to_bytes(simhash.BITS // 8, "little") + limit.to_bytes(8, "little") for p in prints]
+    df = spark.createDataFrame([(k, n, s) for k in (1, 2) for n, s in enumerate(raw)], "key int, node int, sig binary")
+    far = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    want = [(n, n // 4 * 4, min((far(n, m), m) for m in range(n // 4 * 4, n // 4 * 4 + 4) if m != n)[0], 3) for n in range(12)]
+    assert sorted((x["node"], x["crowd"], x["bits"], x["many"]) for x in simhash.neighbours(df).collect()) == sorted(want * 2)
+    portions = simhash.neighbours(df.where("key = 1"), most=5).collect()
+    assert {x["node"] for x in portions} == set(range(13)) and {x["crowd"] for x in portions} == {0}
+    assert all(x["bits"] == far(x["node"], x["near"]) <= limit if x["many"] else x["bits"] > simhash.BITS for x in portions)
+
+
 def test_wide_fingerprints_and_the_keys_of_their_balls():
     """Bits are majorities of the spread hashes; keys are values of segments with some of their least sure bits flipped, the likeliest ones."""
     r = np.random.default_rng(4)
